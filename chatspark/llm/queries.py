@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatspark.llm.binary_records import binary_output
 from chatspark.llm.decontaminate import contaminated_words
 from chatspark.llm.exact_dedup import exact_groups
 from chatspark.llm.jaccard_join import jaccard_components
+from chatspark.llm.language_id import document_evidence, document_model, identify, page_evidence
+from chatspark.llm.packing import pack
 from chatspark.llm.substring_dedup import substring_dedup
 
 
@@ -14,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -22,6 +35,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = document_evidence(docs).unionByName(page_evidence(_table(spark, sf_dir, "pages")))
+    return identify(rows, document_model(docs))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -30,5 +49,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_benchmark_decontamination, op8_substring_dedup, op9_exact_dedup)}
+def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard_join, op5_benchmark_decontamination, op6_language_id, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
 ORACLE_SQL = {}
