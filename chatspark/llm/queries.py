@@ -11,6 +11,8 @@ from chatspark.llm.jaccard_join import jaccard_components
 from chatspark.llm.language_id import document_evidence, document_model, identify, page_evidence
 from chatspark.llm.packing import pack
 from chatspark.llm.substring_dedup import substring_dedup
+from chatspark.llm.suffix_dedup import suffix_dedup
+from chatspark.llm.wrapper import main_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +47,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, document_model(docs))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +63,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard_join, op5_benchmark_decontamination, op6_language_id, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
 ORACLE_SQL = {}

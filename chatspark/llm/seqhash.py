@@ -142,3 +142,27 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes at each place; the caller drops those that cross a document's end."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    powers, inverse = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=total[1:])
+    return mix((total[k:] - total[:n]) * inverse[:n] + np.uint64(k))
+
+
+def inside(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Mask over the places of runs of k bytes that stay inside one document."""
+    n = int(offsets[-1]) - k + 1
+    if n <= 0:
+        return np.zeros(0, bool)
+    edge = np.zeros(n + 1, np.int64)
+    size = np.diff(offsets)
+    full = size >= k
+    np.add.at(edge, offsets[:-1][full], 1)
+    np.add.at(edge, offsets[1:][full] - k + 1, -1)
+    return np.cumsum(edge[:-1]) > 0

@@ -50,8 +50,11 @@ def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[at], hashes[at], np.diff(np.append(at, len(doc))) > 1
 
 
-def hash_batch(ids: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+def hash_batch(ids: np.ndarray, doc: np.ndarray, hashes: np.ndarray, copied: np.ndarray | None = None) -> pa.RecordBatch:
+    """Distinct hashes of each document; `often` where a document repeats one or is itself copied."""
     doc, hashes, often = _distinct(doc, hashes)
+    if copied is not None:
+        often = often | copied[doc]
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[doc]), pa.array(often)], names=["hash", "doc", "often"])
 
 
