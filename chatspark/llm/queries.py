@@ -10,6 +10,7 @@ from chatspark.llm.exact_dedup import exact_groups
 from chatspark.llm.jaccard_join import jaccard_components
 from chatspark.llm.language_id import document_evidence, document_model, identify, page_evidence
 from chatspark.llm.packing import pack
+from chatspark.llm.secrets import scan_secrets
 from chatspark.llm.substring_dedup import substring_dedup
 from chatspark.llm.suffix_dedup import suffix_dedup
 from chatspark.llm.wrapper import main_text
@@ -29,6 +30,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -63,5 +68,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
 ORACLE_SQL = {}
