@@ -13,13 +13,14 @@ similarities are one matrix product. A block returns a spanning forest of its li
 is dropped, and no group meets in one task.
 
 Documents without words or with null text have no shingles, get n_shingles 0 and are their own
-component; a document of fewer words than a shingle has its whole sequence as its one shingle.
+component; a null doc_id counts as the smallest; a document of fewer words than a shingle has its whole sequence as its one shingle.
 Repeated rows link as equal texts do. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -30,17 +31,20 @@ from pyspark.sql import functions as F
 
 from chatspark.llm.components import components
 from chatspark.llm.seqhash import WHITE, Words, grams, lower_ascii, mix, text_blocks
-from chatspark.llm.stage import distinct_texts, keyed_rows, written, written_by_key
+from chatspark.llm.stage import distinct_texts, drop_written, keyed_rows, written, written_by_key
 
-#: Counters of the rarity sketch (a fixed size, whatever the input) and the slices that it is summed in.
-SKETCH = 1 << 22
-SLICES = 64
+#: The rarity sketch has a counter for each so many bytes of text, but at most MAX_SKETCH, a byte each when broadcast.
+SKETCH_BYTES = 48
+MIN_SKETCH, MAX_SKETCH = 1 << 16, 1 << 26
+#: Counters in a slice, the unit in which tasks' sketches are summed.
+SLICE = 1 << 16
 #: Prefix lists up to this many classes make pairs; longer ones go to clusters.
 HOT = 64
 #: Classes in a block of a cluster.
 BLOCK = 1024
 #: Dropped ids up to this many (32 MB) are broadcast against the documents; more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+_LEAST = -(1 << 63)
 _SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -72,15 +76,29 @@ def _order(tokens: np.ndarray, rarity: np.ndarray | None, seed: np.uint64) -> np
     hashed = mix(tokens ^ seed)
     if rarity is None:
         return np.argsort(hashed)
-    return np.lexsort((hashed, rarity[tokens & np.uint64(SKETCH - 1)]))
+    return np.lexsort((hashed, rarity[tokens & np.uint64(len(rarity) - 1)]))
 
 
-def _scan(texts: DataFrame, k: int) -> DataFrame:
+def sketch_size(texts: DataFrame) -> int:
+    size = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    return min(MAX_SKETCH, max(MIN_SKETCH, 1 << int(size // SKETCH_BYTES).bit_length()))
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts by byte planes, compressed: a task's counts are small."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _scan(texts: DataFrame, k: int, sketch: int) -> DataFrame:
     """A row (key, first_id, n, cls) for each text, and the task's part of the sketch as rows (slice, counts)."""
     schema = "key binary, first_id long, n long, cls long, slice int, counts binary"
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(sketch, np.uint32)
         for batch in batches:
             n, cls, pending = [], [], []
             for tokens in shingle_sets(batch["text"], k):
@@ -88,34 +106,34 @@ def _scan(texts: DataFrame, k: int) -> DataFrame:
                 cls.append(class_of(tokens))
                 pending.append(tokens)
             if pending:
-                counts += np.bincount((np.concatenate(pending) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                place, times = np.unique(np.concatenate(pending) & np.uint64(sketch - 1), return_counts=True)
+                counts[place.astype(np.int64)] += times.astype(np.uint32)
             empty = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["key", "first_id", "n", "cls", "slice", "counts"])
-        for i, part in enumerate(np.split(counts, SLICES)):
+        for i, part in enumerate(np.split(counts, sketch // SLICE)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["key", "first_id", "n", "cls", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3, pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["key", "first_id", "n", "cls", "slice", "counts"])
 
     return texts.select("key", "first_id", "text").mapInArrow(run, schema)
 
 
-def _rarity(scan: DataFrame) -> np.ndarray:
-    """The sketch in quarter powers of two: one byte a counter, SKETCH bytes at any input size."""
+def _rarity(scan: DataFrame, sketch: int) -> np.ndarray:
+    """The sketch in quarter powers of two: one byte a counter, MAX_SKETCH bytes at most."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch["slice"].to_pylist(), batch["counts"]):
-                part = np.frombuffer(part.as_buffer(), np.uint32).astype(np.uint64)
+                part = _unpack(part.as_buffer().to_pybytes()).astype(np.uint64)
                 total[i] = total[i] + part if i in total else part
         for i, sums in total.items():
             steps = np.minimum(4 * np.log2(1.0 + sums), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["slice", "steps"])
 
     rows = scan.filter("slice is not null").select("slice", "counts").repartition(16, "slice").mapInArrow(run, "slice int, steps binary").collect()
-    out = np.zeros(SKETCH, np.uint8)
+    out = np.zeros(sketch, np.uint8)
     for row in rows:
-        at = row.slice * (SKETCH // SLICES)
-        out[at : at + SKETCH // SLICES] = np.frombuffer(row.steps, np.uint8)
+        out[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.steps, np.uint8)
     return out
 
 
@@ -209,7 +227,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """(cls, tokens, second, third) of the wanted (key, cls): the set and its prefixes under orders 2 and 3."""
+    """(cls, tokens, second, third) of the wanted (first_id, cls): the set and its prefixes under orders 2 and 3."""
 
     def run(batches):
         for batch in batches:
@@ -222,28 +240,40 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int, percent: int, rarity) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([batch["cls"], *[pa.array(c, pa.binary()) for c in zip(*rows)]], names=["cls", "tokens", "second", "third"])
 
-    return texts.join(wanted, "key").select("cls", "text").mapInArrow(run, "cls long, tokens binary, second binary, third binary")
+    return texts.join(wanted, "first_id").select("cls", "text").mapInArrow(run, "cls long, tokens binary, second binary, third binary")
 
 
 def similar(shared: int, n: int, m: int, percent: int) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under orders 2 and 3 too and are similar."""
+def _with_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    side = lambda x: sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _filtered(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFrame:
+    """The pairs (a, b) for which keep(arrays of a's and b's columns) holds."""
 
     def run(batches):
-        read = lambda x: np.frombuffer(x, np.uint64)
         for batch in batches:
-            keep = []
-            for x in zip(*[batch[c].to_pylist() for c in ("second_a", "second_b", "third_a", "third_b", "tokens_a", "tokens_b")]):
-                s2, t2, s3, t3, s, t = map(read, x)
-                near = len(np.intersect1d(s2, t2, True)) and len(np.intersect1d(s3, t3, True))
-                keep.append(bool(near) and similar(len(np.intersect1d(s, t, True)), len(s), len(t), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sides = zip(*[batch[f"{c}_{x}"].to_pylist() for c in columns for x in "ab"])
+            yield batch.select(["a", "b"]).filter(pa.array([keep(*[np.frombuffer(x, np.uint64) for x in row]) for row in sides], pa.bool_()))
+
+    return _with_sides(pairs, sets, columns).mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs (a, b). Only those that share prefix tokens under orders 2 and 3 too have their sets compared."""
+
+    def near(s2, t2, s3, t3):
+        return len(np.intersect1d(s2, t2, True)) > 0 and len(np.intersect1d(s3, t3, True)) > 0
+
+    def same(s, t):
+        return similar(len(np.intersect1d(s, t, True)), len(s), len(t), percent)
 
-    side = lambda x: sets.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("tokens", "second", "third")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    candidates = written(_filtered(pairs, sets, ["second", "third"], near), "candidates")
+    return _filtered(candidates, sets, ["tokens"], same)
 
 
 def _forest(links: np.ndarray) -> np.ndarray:
@@ -304,16 +334,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id that links of at least `percent` similarity reach.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), "text")
     texts = distinct_texts(docs)
-    scan = written(_scan(texts, k), "scan")
-    rarity = spark.sparkContext.broadcast(_rarity(scan))
+    sketch = sketch_size(texts)
+    scan = written(_scan(texts, k, sketch), "scan")
+    rarity = spark.sparkContext.broadcast(_rarity(scan, sketch))
     known = scan.filter("slice is null").select("key", "first_id", "n", "cls")
     lists = written(_lists(_postings(texts, k, percent, rarity), percent), "lists")
     pairs = written(lists.filter("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     hot = lists.filter("hot").select("token", F.col("a").alias("cls"))
     involved = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(hot.select("cls")).distinct()
-    wanted = known.filter("n > 0").groupBy("cls").agg(F.min("key").alias("key")).join(involved, "cls")
-    sets = written_by_key(_sets(texts, wanted, k, percent, rarity), "cls", "sets")
+    wanted = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id")).join(involved, "cls")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = written_by_key(_sets(texts, wanted, k, percent, rarity).repartition(parts, "cls"), "cls", "sets")
+    drop_written(spark, texts)
     links = _verify(pairs, sets, percent)
     if not hot.isEmpty():
         links = links.unionByName(_cluster_links(hot, sets, percent))
@@ -326,7 +360,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     by_class = classes.join(labels, "root").select("cls", "component_id", "n_links")
     by_key = written(known.join(by_class, "cls", "left").select("key", F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, null)").alias("component_id"), F.expr("if(n > 0, n_links, 0)").alias("n_links")), "labels")
     rows = keyed_rows(docs).join(by_key, "key")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    shown = lambda c: F.nullif(c, F.lit(_LEAST))
+    return rows.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(F.coalesce("component_id", "doc_id")).alias("component_id"), "n_links")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -44,15 +44,15 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def written_by_key(df: DataFrame, key: str, label: str = "table") -> DataFrame:
-    """As written(), bucketed by `key`, so that later joins on it don't shuffle this side."""
+    """As written(), bucketed by `key`, so that later joins on it don't shuffle this side.
+
+    A `df` that is already dealt by `key` isn't dealt again.
+    """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffle_cleanup(spark):
-        (
-            df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}")
-            .bucketBy(n, key).saveAsTable(name)
-        )
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}").bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
 
 
@@ -70,15 +70,21 @@ def text_key(column: str = "text"):
     return F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256))
 
 
-def distinct_texts(docs: DataFrame, bucket: str = "key") -> DataFrame:
-    """One row per different text: key, first_id (smallest doc_id), copies, text; bucketed by `bucket`.
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row per different text: first_id (smallest doc_id), key, copies, n_bytes, text; bucketed by first_id.
 
-    Copies are combined before the shuffle, so that a group of copies that holds a
-    third of all rows costs one row per task.
+    Copies are grouped by their hash alone, combined before the shuffle; the texts themselves are dealt once,
+    by doc_id, and only the row with a group's smallest doc_id stays.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = rows.withColumn("key", text_key()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
-    return written_by_key(grouped, bucket, "texts")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    groups = written(rows.withColumn("key", text_key()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "keys")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumnRenamed("doc_id", "first_id").repartition(parts, "first_id")
+    own = F.greatest(text_key(), F.col("_key")) == F.least(text_key(), F.col("_key"))  # not an equi-key: both sides stay dealt by first_id alone
+    joined = dealt.join(groups.withColumnRenamed("key", "_key").repartition(parts, "first_id"), "first_id").filter(own)
+    single = joined.groupBy("first_id", F.col("_key").alias("key"), "copies").agg(F.first("text").alias("text"))
+    return written_by_key(single.select("first_id", "key", "copies", F.octet_length("text").cast("long").alias("n_bytes"), "text"), "first_id", "texts")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
