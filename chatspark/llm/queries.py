@@ -9,6 +9,7 @@ from chatspark.llm.decontaminate import contaminated_words
 from chatspark.llm.exact_dedup import exact_groups
 from chatspark.llm.jaccard_join import jaccard_components
 from chatspark.llm.language_id import document_evidence, document_model, identify, page_evidence
+from chatspark.llm.oracle import ORACLE_SQL
 from chatspark.llm.packing import pack
 from chatspark.llm.secrets import scan_secrets
 from chatspark.llm.substring_dedup import substring_dedup
@@ -35,7 +36,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
-ORACLE_SQL = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
