@@ -80,6 +80,23 @@ def expected_move(tags: Column) -> Column:
     return out
 
 
+#: Concrete setups and their patterns, the first that matches the compact text wins.
+SETUPS = {
+    "location_followup": "人呢|在哪|到哪|什么位置|发个定位|whereareyou",
+    "address_confirmation": "(地址|房间|楼栋|门牌).{0,10}(对|是|没错)|[0-9]+(号楼|楼|室|号门)(吗|吧|[?？])",
+    "task_request": "(帮我|帮忙|麻烦你|替我|给我).{0,16}(拿|取|带|买|改|看|发|问|弄|处理|接|送|查)|canyouhelp",
+    "invitation": "一起|来不来|要不要|走不走|letsgo",
+    "playful_teasing": "你可真|你又|你还|就你|少装|别装",
+    "emotion_vent": "烦死|好烦|累死|好累|难受|疼死|崩了|倒霉|气死|惨了",
+}
+
+
+def precise_situation(text: Column) -> Column:
+    """The first setup whose pattern the compact text has, else empty."""
+    c = compact(text)
+    return F.coalesce(*[F.when(c.rlike(p), n) for n, p in SETUPS.items()], F.lit(""))
+
+
 def profile_compat(a: Column, b: Column, weight: float) -> Column:
     """+weight where two known values are equal, -weight where they differ, 0 where one is unknown."""
     return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, weight).otherwise(-weight)

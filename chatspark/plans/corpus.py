@@ -214,3 +214,9 @@ def temporal_split(spark, d):
     nxt = e.select("chat_id", (F.col("prior_interactions") - 1).alias("prior_interactions"), "end_ts", F.col("reply_ids").alias("message_ids"))
     material = e.select("chat_id", "prior_interactions", F.col("example_id").alias("target_id")).join(nxt, ["chat_id", "prior_interactions"]).select("target_id", "end_ts", "message_ids")
     return S.temporal_split(e.select(F.col("example_id").alias("target_id"), "cutoff_ts", F.col("reply_ids").alias("answer_ids")), material)
+
+
+@query(f"WITH {_EX} SELECT chat_id, reply_start, prior_interactions FROM exs")
+def prior_interactions(spark, d):
+    """Earlier retained examples of the chat."""
+    return examples(spark, d).select("chat_id", "reply_start", "prior_interactions")

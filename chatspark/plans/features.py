@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatspark.functions import text as X
-from chatspark.operators.eligibility import bins
+from chatspark.operators.eligibility import bins as exceeded
 from chatspark.plans.registry import query
 from chatspark.plans.tables import DLG, MSG, dialogue, messages, table
 
@@ -56,8 +56,8 @@ def turn_form(spark, d):
 
 
 @query(f"WITH {MSG} SELECT message_id, CAST(CAST(value > 5 AS INT) + CAST(value > 10 AS INT) + CAST(value > 20 AS INT) + CAST(value > 40 AS INT) AS INTEGER) AS bin FROM msg")
-def bins_of_values(spark, d):
-    return messages(spark, d).select("message_id", bins(F.col("value"), [5, 10, 20, 40]).alias("bin"))
+def bins(spark, d):
+    return messages(spark, d).select("message_id", exceeded(F.col("value"), [5, 10, 20, 40]).alias("bin"))
 
 
 @query("SELECT event_id, CAST(hour(ts + INTERVAL 8 HOUR) // 4 AS BIGINT) AS band, isodow(ts + INTERVAL 8 HOUR) >= 6 AS weekend, CAST(strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS VARCHAR) AS day FROM events")
@@ -103,7 +103,7 @@ def mention_id(spark, d):
 @query(f"WITH {DLG} SELECT message_id, len(string_split(text, '\n')) AS bubbles, CAST(length(text) > 100 AS INT) + CAST(length(text) > 400 AS INT) + CAST(length(text) > 1600 AS INT) AS length_bin, strpos(text, '?') AS question_at, regexp_matches(string_split(text, '\n')[-1], '[.]$') AS ends_with_stop FROM dlg WHERE is_self")
 def reply_local(spark, d):
     lines = F.split("text", "\n")
-    return dialogue(spark, d).filter("is_self").select("message_id", F.size(lines).alias("bubbles"), bins(F.length("text"), [100, 400, 1600]).alias("length_bin"), F.instr("text", "?").alias("question_at"), F.element_at(lines, -1).rlike("[.]$").alias("ends_with_stop"))
+    return dialogue(spark, d).filter("is_self").select("message_id", F.size(lines).alias("bubbles"), exceeded(F.length("text"), [100, 400, 1600]).alias("length_bin"), F.instr("text", "?").alias("question_at"), F.element_at(lines, -1).rlike("[.]$").alias("ends_with_stop"))
 
 
 @query()
@@ -195,3 +195,32 @@ def validity_state(spark, d):
     kind = F.when(F.col("o_orderstatus") == "P", "timeless").otherwise("state")
     until = F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
     return table(spark, d, "orders").select("o_orderkey", X.validity_state(kind, until, F.lit("1998-01-01").cast("date")).alias("state"))
+
+
+@query("WITH c AS (SELECT conv_id AS chat_id, turn AS pos, (['你在哪', '帮我看看', '一起吃饭', '你可真行', '好累', 'ok'])[turn % 6 + 1] AS t FROM conversations) SELECT chat_id, pos, CASE t WHEN '你在哪' THEN 'location_followup' WHEN '帮我看看' THEN 'task_request' WHEN '一起吃饭' THEN 'invitation' WHEN '你可真行' THEN 'playful_teasing' WHEN '好累' THEN 'emotion_vent' ELSE '' END AS setup FROM c")
+def precise_situation(spark, d):
+    """Setups of turns that get a phrase by their place."""
+    phrases = F.array(*[F.lit(x) for x in ("你在哪", "帮我看看", "一起吃饭", "你可真行", "好累", "ok")])
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"))
+    return c.select("chat_id", "pos", X.precise_situation(F.element_at(phrases, (F.col("pos") % 6 + 1).cast("int"))).alias("setup"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 0.0 WHEN toxic = 1 AND quality = 0 THEN 1.0 ELSE doc_id % 10 / 10 END AS probability FROM labels")
+def owner_shift_decide(spark, d):
+    """A flag on one side alone overrides the base probability."""
+    return table(spark, d, "labels").select("doc_id", X.owner_shift(F.col("quality") == 1, F.col("toxic") == 1, (F.col("doc_id") % 10) / 10).alias("probability"))
+
+
+@query(f"WITH {MSG} SELECT message_id, chat_type = 'group' AS in_group, chat_id IN (4, 8, 15, 16, 23, 42) AS known_chat, coalesce(kind = lag(kind) OVER (PARTITION BY chat_id ORDER BY pos), false) AS same_speaker FROM msg")
+def context_booleans(spark, d):
+    """Chat type, known chats and recent-speaker equality."""
+    same = F.coalesce(F.col("kind") == F.lag("kind").over(Window.partitionBy("chat_id").orderBy("pos")), F.lit(False))
+    return messages(spark, d).select("message_id", (F.col("chat_type") == "group").alias("in_group"), F.col("chat_id").isin(4, 8, 15, 16, 23, 42).alias("known_chat"), same.alias("same_speaker"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE '' END AS names FROM customer")
+def vocatives(spark, d):
+    """Names that begin a line before a comma."""
+    k, n = F.col("c_custkey"), F.lower("c_mktsegment")
+    t = F.when(k % 3 == 0, F.concat(F.lit("well\n"), n, F.lit(", come here"))).otherwise(F.concat(F.lit("the "), n, F.lit(", it is")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(X.vocatives(t), ",").alias("names"))
