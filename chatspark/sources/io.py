@@ -30,7 +30,7 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
 
     Line numbers are places in the file's text, which is read whole: journals are bounded by their experiment.
     """
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) != ''").withColumn("line_no", F.col("line_no") + 1)
     parsed = lines.withColumn("row", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     last = F.col("line_no") == F.max("line_no").over(Window.partitionBy("file"))
