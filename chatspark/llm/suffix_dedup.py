@@ -33,7 +33,7 @@ from chatspark.llm.substring_dedup import HASH_ROWS, among_answers, answers, has
 
 LENGTH = 200
 GRAM = 16
-BUCKET_BYTES = 96 << 10
+BUCKET_BYTES = 64 << 10
 GROUP_BYTES = 8 << 20
 _LEAST = -(1 << 63)
 _SEGMENTS = "hash long, segment binary, doc long, start long, weight long"
@@ -92,8 +92,10 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
     return joined.select("first_id", "copies", "text", "hashes").mapInArrow(run, _SEGMENTS)
 
 
-def _runs(start: np.ndarray) -> bytes:
-    """Sorted window starts as (first, last) pairs of 4-byte numbers."""
+def _runs(start: np.ndarray, whole: bool = False) -> bytes:
+    """Sorted window starts as (first, last) pairs of 4-byte numbers; `whole`: the first and last of one run."""
+    if whole:
+        return start.astype("<u4").tobytes()
     if not len(start):
         return b""
     cut = np.flatnonzero(np.diff(start) > 1)
@@ -102,29 +104,50 @@ def _runs(start: np.ndarray) -> bytes:
 
 
 def _merged(distinct: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
-    """(segment_id, runs): the repeats of each distinct segment, bucket by bucket of complete minimizer groups."""
+    """(segment_id, runs): the repeats of each distinct segment, bucket by bucket of complete minimizer groups.
 
-    def run(batches):
-        held: list[tuple[int, bytes, int]] = []
-        size, cut, hash_before = 0, 0, None  # `cut`: rows of complete groups
+    A group of one segment has nothing to merge: it is all repeats when it occurs more than once.
+    """
 
-        def flush(rows):
-            strings, weights = [r[1] for r in rows], [r[2] for r in rows]
-            found = [(hashlib.md5(s).digest(), _runs(start)) for s, start in zip(strings, repeated_starts(strings, weights, length)) if len(start)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["segment_id", "runs"])
+    def run(batches):
+        strings: list[bytes] = []
+        weights: list[int] = []
+        group: list[tuple[bytes, int]] = []
+        out: list[tuple[bytes, bytes]] = []
+        size, before = 0, None
+
+        def close():
+            nonlocal size
+            if len(group) == 1 and group[0][1] > 1:
+                out.append((hashlib.md5(group[0][0]).digest(), _runs(np.array([0, len(group[0][0]) - length]), whole=True)))
+            else:
+                for s, w in group:
+                    strings.append(s)
+                    weights.append(w)
+                    size += len(s)
+            group.clear()
+
+        def flush():
+            nonlocal size
+            if strings:
+                out.extend((hashlib.md5(s).digest(), _runs(start)) for s, start in zip(strings, repeated_starts(strings, weights, length)) if len(start))
+            strings.clear()
+            weights.clear()
+            size = 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["segment_id", "runs"])
+            out.clear()
 
         for batch in batches:
-            for row in zip(batch["hash"].to_pylist(), batch["segment"].to_pylist(), batch["weight"].to_pylist()):
-                if row[0] != hash_before:
-                    cut, hash_before = len(held), row[0]
-                    if size >= bucket_bytes:
-                        yield from flush(held)
-                        held, size, cut = [], 0, 0
-                held.append(row)
-                size += len(row[1])
-        if held:
-            yield from flush(held)
+            for key, segment, weight in zip(batch["hash"].to_pylist(), batch["segment"].to_pylist(), batch["weight"].to_pylist()):
+                if key != before:
+                    close()
+                    before = key
+                    if size >= bucket_bytes or len(out) >= 10_000:
+                        yield from flush()
+                group.append((segment, weight))
+        close()
+        yield from flush()
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("hash", "segment", "weight").repartition(parts, "hash").sortWithinPartitions("hash")
@@ -181,7 +204,7 @@ def _removed(joined: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row: bytes that a repeat of `length` bytes covers go.
 
-    `length` is a multiple of 8 and more than 16.
+    `length` is a multiple of 40.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), "text")
     texts = distinct_texts(docs)

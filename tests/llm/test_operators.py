@@ -45,7 +45,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def rows():
-    return [(i * 3 % 201, t) for i, t in enumerate(texts())]
+    return [(i * 7 % 211, t) for i, t in enumerate(texts())]
 
 
 def frame(spark, rows):
