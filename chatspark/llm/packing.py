@@ -32,12 +32,17 @@ END_ID = 1
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+#: Triples have a shortest length that is a multiple of window / GRID: some ten thousand instead of a third of a million.
+GRID = 64
+
+
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
     """Rows (a, b, c) of present lengths with a <= b <= c and a + b + c = window; a is 0 for pairs."""
     lengths = np.flatnonzero(present)
     lengths = lengths[(lengths > 0) & (lengths < window)]
     out = [np.zeros((0, 3), np.int64)]
-    for a in [0, *lengths[3 * lengths <= window].tolist()]:
+    shortest = lengths[(3 * lengths <= window) & (lengths % max(1, window // GRID) == 0)]
+    for a in [0, *shortest.tolist()]:
         b = lengths[(lengths >= a) & (2 * lengths <= window - a)]
         c = window - a - b
         keep = present[c] > 0
