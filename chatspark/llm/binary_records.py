@@ -81,8 +81,9 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
         end = np.array([end_id], encoder.dtype)
         for batch in batches:
             out, size = [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                out.append(frame(doc_id, np.concatenate([encoder.encode(text.as_py() or ""), end])))
+            texts = (text.as_py() for text in batch["text"])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(texts)):
+                out.append(frame(doc_id, np.concatenate([ids, end])))
                 size += len(out[-1])
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])

@@ -1,19 +1,27 @@
 """Token ids of whole texts, with a cache of white-space separated chunks.
 
 The tokenizer never joins text across a space or a line feed, so the ids of a text are those of
-its chunks in order. Chunks repeat far more often than texts do; each worker looks them up in a
-bounded cache and asks the tokenizers library for new ones only.
+its chunks in order; and it parts letters from marks behind them. Chunks are looked up
+by block of texts: the tokenizers library sees each new word once, and chunks of two blocks in
+succession stay in the worker's bounded cache.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
 #: A worker's cache is emptied beyond this many chunks; longer chunks than CHUNK_CHARS are not kept.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 CHUNK_CHARS = 48
+#: Characters of a block of texts whose chunks are looked up together.
+BLOCK_CHARS = 4 << 20
+#: ASCII marks that the tokenizer parts from letters before them (an apostrophe may be part of a contraction).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Capitals whose lower case depends on their place or on the library.
+_ODD = frozenset("Σİ")
 _loaded: dict[str, ChunkEncoder] = {}
 
 
@@ -25,6 +33,13 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}  # the last block's new chunks
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.tails: dict[str, bytes] = {"": b""}
 
     @classmethod
     def load(cls, path: str) -> ChunkEncoder:
@@ -36,19 +51,60 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         return {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))}
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of `text`, without special tokens."""
-        chunks = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[c] for c in chunks]), self.dtype)
-        except KeyError:
-            pass
-        new = list({c for c in chunks if c not in cache})
-        learned = self._learn(new)
-        if len(cache) + len(new) > CACHE_CHUNKS:
+    def _learn_all(self, chunks: list[str]) -> dict[str, bytes]:
+        """As _learn(), with the words of letters alone in one call: each of their ids that ends a word parts two of them."""
+        words = [c for c in chunks if c.isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(stops) != len(words):
+            return self._learn(chunks)
+        data, at = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+        out = {w: data[a:b] for w, a, b in zip(words, [0, *at], at)}
+        return out | self._learn([c for c in chunks if c not in out])
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, str]:
+        """The chunk's word in lower case and the marks behind it, where it is letters and then marks; else the chunk as it is."""
+        word = chunk.rstrip(_MARKS)
+        return (word.lower(), chunk[len(word) :]) if word.isalpha() and _ODD.isdisjoint(word) else (chunk, "")
+
+    def _block(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        cache, recent, local, new = self.cache, self.recent, {}, []
+        if len(cache) > CACHE_CHUNKS:
             cache.clear()
-            new = list(set(chunks) - set(learned))
-            learned |= self._learn(new)
-        cache.update((c, ids) for c, ids in learned.items() if len(c) <= CHUNK_CHARS)
-        return np.frombuffer(b"".join([cache[c] if c in cache else learned[c] for c in chunks]), self.dtype)
+        for c in set().union(*texts):
+            ids = cache.get(c)
+            if ids is None:
+                ids = recent.get(c)
+                if ids is None:
+                    new.append(c)
+                    continue
+                if len(c) <= CHUNK_CHARS:
+                    cache[c] = ids
+            local[c] = ids
+        parts = [self._parts(c) for c in new]
+        if len(self.tails) > CACHE_CHUNKS:
+            self.tails = {"": b""}
+        self.tails.update(self._learn(list({t for _, t in parts} - self.tails.keys())))
+        words = {w for w, _ in parts}
+        known = {w: local[w] for w in words if w in local}
+        known.update(self._learn_all([w for w in words if w not in known]))
+        self.recent = {c: known[w] + self.tails[t] for c, (w, t) in zip(new, parts)}
+        local.update(self.recent)
+        for chunks in texts:
+            yield np.frombuffer(b"".join([local[c] for c in chunks]), self.dtype)
+
+    def encode_all(self, texts) -> Iterator[np.ndarray]:
+        """The ids of each text, without special tokens; null has none."""
+        block, size = [], 0
+        for text in texts:
+            text = text or ""
+            block.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_all([text]))
