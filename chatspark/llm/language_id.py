@@ -7,8 +7,8 @@ level's counts come from grouped aggregations over all rows, with the languages
 suggests. How far a declaration can be trusted is estimated the same way, as a table of declared by
 suggested language.
 
-The trigram models are trained on labelled rows: at most TRAIN_ROWS of them, the first in the order of a
-hash of their id, a bound that does not depend on the input. Everything else counts all rows.
+The trigram models are trained on labelled rows: about TRAIN_ROWS of them, those with the smallest hashes of
+their id, a bound that does not depend on the input. Everything else counts all rows.
 
 A row is rejected when no language reaches ACCEPT, or when its text isn't language at all: fewer than
 MIN_LETTERS of its bytes are letters. A null or empty text has no likelihood: the other evidence decides,
@@ -46,8 +46,9 @@ def _slots(data: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, label: str, text: str, order: Column) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (language, slot) from the bounded sample of labelled rows."""
-    sample = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), order.alias("order"))
-    sample = sample.orderBy("order").limit(TRAIN_ROWS).select("label", "text")
+    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
+    sample = rows.filter(F.pmod(order, F.lit(1 << 32)) < int(share * (1 << 32))).select(F.col(label).alias("label"), F.col(text).alias("text"))
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}

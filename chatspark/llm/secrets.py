@@ -7,8 +7,8 @@ cover, its path (the source), and its neighbouring words. A random forest traine
 scores every candidate.
 
 Transitions and dictionary are counts over all documents. The dictionary is the DICTIONARY words with the
-highest counts, a fixed bound on what is sent to the executors. The forest is fitted on at most TRAIN_ROWS labelled findings, the first in
-the order of a hash; that bound does not depend on the input. Where no labelled findings are given, rules label
+highest counts, a fixed bound on what is sent to the executors. The forest is fitted on about TRAIN_ROWS labelled findings, those with the
+smallest hashes; that bound does not depend on the input. Where no labelled findings are given, rules label
 the candidates that they are sure of: a random-looking value after an assignment to a name of a credential is a
 secret; addresses, links, numbers and words are not.
 
@@ -136,7 +136,9 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
     words = frozenset(r.word for r in counts.filter("length(word) between 3 and 40").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect())
     found = written(_candidates(docs, transitions(counts), words), "candidates")
     known = found.filter("label is not null") if labelled is None else found.drop("label").join(labelled.select("doc_id", "start", F.col("label").cast("int").alias("label")), ["doc_id", "start"])
-    sample = known.orderBy(F.xxhash64("doc_id", "start", "value")).limit(TRAIN_ROWS).select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
+    share = min(1.0, TRAIN_ROWS / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", "start", "value"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = known.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
     sample = written(sample.select("label", vector_to_array("features").alias("features")), "labelled").select("label", array_to_vector("features").alias("features"))
     kinds = {r.label for r in sample.select("label").distinct().collect()}
     out = found.withColumn("value_sha256", F.sha2("value", 256))
