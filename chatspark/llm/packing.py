@@ -181,7 +181,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFr
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     n = len(part)
-                    rows.append((doc_id, len(ids), start, n, _crc(part), part.astype("<u4").tobytes() if n < window else None, task, ranks[n]))
+                    rows.append((doc_id, len(ids), start, n, _crc(part), part.tobytes() if n < window else None, task, ranks[n]))
                     ranks[n] += 1
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def place(batches):
-        p = plan.value
+        p, kind = plan.value, ChunkEncoder.load(tokenizer).dtype
         for batch in batches:
             length, rank = batch["length"].to_numpy().astype(np.int64), batch["rank"].to_numpy()
             sequence, offset = p.slot(length, rank)
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 for doc_id, start, n, r, ids, total in zip(*[some[c].to_pylist() for c in ("doc_id", "start", "length", "rank", "ids", "doc_tokens")]):
                     done = 0
                     for size, seq, at in p.cuts(int(p.stream_base[n] + (r - p.taken[n]) * n), n):
-                        rows.append((doc_id, start + done, size, zlib.crc32(ids[4 * done : 4 * (done + size)]), total, seq, at))
+                        rows.append((doc_id, start + done, size, _crc(np.frombuffer(ids, kind)[done : done + size]), total, seq, at))
                         done += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: A worker's cache is emptied beyond this many chunks; longer chunks than CHUNK_CHARS are not kept.
+#: A worker's cache is cut to what is in use beyond this many chunks; longer chunks than CHUNK_CHARS are not kept.
 CACHE_CHUNKS = 300_000
 CHUNK_CHARS = 48
 #: Characters of a block of texts whose chunks are looked up together.
@@ -65,13 +65,14 @@ class ChunkEncoder:
     @staticmethod
     def _parts(chunk: str) -> tuple[str, str]:
         """The chunk's word in lower case and the marks behind it, where it is letters and then marks; else the chunk as it is."""
+        if chunk.isascii() and chunk.isalpha():
+            return chunk.lower(), ""
         word = chunk.rstrip(_MARKS)
         return (word.lower(), chunk[len(word) :]) if word.isalpha() and _ODD.isdisjoint(word) else (chunk, "")
 
     def _block(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         cache, recent, local, new = self.cache, self.recent, {}, []
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
+        kept = {} if len(cache) > CACHE_CHUNKS else None  # a full cache keeps what this block uses
         for c in set().union(*texts):
             ids = cache.get(c)
             if ids is None:
@@ -81,7 +82,11 @@ class ChunkEncoder:
                     continue
                 if len(c) <= CHUNK_CHARS:
                     cache[c] = ids
+            elif kept is not None:
+                kept[c] = ids
             local[c] = ids
+        if kept is not None:
+            self.cache = kept
         parts = [self._parts(c) for c in new]
         if len(self.tails) > CACHE_CHUNKS:
             self.tails = {"": b""}
