@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-The first page of each host (smallest page_id) is its reference. Every page's tree is aligned with the
-reference by simple tree matching: the largest set of matched node pairs that keeps parents and the order of
-children. Over a host's different pages, a matched block whose text stays the same is template, one whose text
+A host's pages fall into layouts by the block elements and classes that they use. Each layout with at least
+MIN_PAGES different pages has a reference, the first of its pages (smallest page_id) that reaches its end tag; pages of
+rarer layouts, and of layouts whose pages are all cut off, take that of the host's commonest layout. Every page's tree is
+aligned with its reference by simple tree matching: the largest set of matched node pairs that keeps parents and the
+order of children. Over a host's different pages, a matched block whose text stays the same is template, one whose text
 varies is a content slot. Blocks of template go, as do menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments by their markup; the article's other blocks are the text.
 
 A block is template where at least MIN_PAGES different pages of the host have it and SHARE of those that have
-the node agree. Equal pages count once, so a much copied article is not taken for a template.
+the node agree; or SHARE of those that have blocks of its tag path, so blocks that no reference has are judged too.
+Equal pages count once, so a much copied article is not taken for a template.
 
 Null or empty html gives an empty text. Pages without a host (null or odd url) have one common, empty host.
 Markup may be cut off anywhere: open elements end there, and a cut tag is dropped. Repeated rows give repeated
@@ -20,6 +23,7 @@ import hashlib
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,10 @@ MIN_PAGES = 5
 SHARE = 0.8
 #: Reference pages up to this size in all are broadcast; more are joined by shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
-#: Children of one node that the alignment compares exactly; beyond, equal tags are paired in order.
+#: Children of one node up to which the alignment compares pair by pair; beyond, kind by kind in bounded memory.
 ALIGN_CHILDREN = 64
+#: Cells of an alignment table that are held at a time; larger ones are halved (Hirschberg).
+ALIGN_CELLS = 1 << 22
 
 #: Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +53,7 @@ NOISE = frozenset(
     subscription toolbar topbar widget""".split()
 )
 _NAME = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 _CUT = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
@@ -139,15 +146,25 @@ def content_roots(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def blocks(roots: list[Node], known: dict[int, int]) -> list[tuple[int, str]]:
-    """(reference node or -1, text) of each block in page order; `known` maps id(node) to the reference's node."""
-    out: list[tuple[int, str]] = []
+def blocks(roots: list[Node], known: dict[int, int]) -> list[tuple[int, str, str]]:
+    """(reference node or -1, tag path, text) of each block in page order; `known` maps id(node) to the reference's node."""
+    out: list[tuple[int, str, str]] = []
+    paths: dict[int, str] = {}
+
+    def path(node):
+        up = []
+        while node is not None and id(node) not in paths:
+            up.append(node)
+            node = node.parent
+        for node in reversed(up):
+            paths[id(node)] = hashlib.md5(f"{paths[id(node.parent)] if node.parent else ''}>{node.tag}.{_DIGITS.sub('', node.attrs.get('class', ''))}".encode(errors="replace")).hexdigest()
+        return paths[id(up[0] if up else node)]
     inline: list[str] = []
 
     def end(node):
         if inline:
             if text := " ".join("".join(inline).split()):
-                out.append((known.get(id(node), -1), text))
+                out.append((known.get(id(node), -1), path(node), text))
             inline.clear()
 
     for root in roots:
@@ -201,7 +218,7 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     if not xs or not ys:
         return 1, [(a, b)]
     if len(xs) > ALIGN_CHILDREN or len(ys) > ALIGN_CHILDREN:
-        return _align_in_order(a, b, xs, ys)
+        return _align_many(a, b, xs, ys)
     scores: dict[tuple[int, int], tuple[int, list]] = {}
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs):
@@ -226,18 +243,64 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return 1 + best[-1][-1], pairs
 
 
-def _align_in_order(a, b, xs, ys):
-    size, pairs, waiting = 1, [(a, b)], {}
-    for y in reversed(ys):
-        waiting.setdefault((y.tag, y.attrs.get("class")), []).append(y)
-    for x in xs:
-        if same := waiting.get((x.tag, x.attrs.get("class"))):
-            n, some = align(x, same.pop())
-            size, pairs = size + n, pairs + some
+def _shape(node: Node, shapes: dict) -> int:
+    """Number of the node's kind and those of all below it; equal numbers align equally."""
+    return shapes.setdefault((node.tag, node.attrs.get("class"), tuple(_shape(c, shapes) for c in elements(node)), bool(node.children)), len(shapes))
+
+
+def _align_many(a, b, xs, ys):
+    """`align` for many children: sizes by pair of shapes, the best order-keeping pairs by rows of a table of at most ALIGN_CELLS."""
+    shapes: dict = {}
+    left, right = [_shape(x, shapes) for x in xs], [_shape(y, shapes) for y in ys]
+    kinds, column = np.unique(right, return_inverse=True)
+    some_y = {s: y for s, y in zip(right, ys)}
+    sizes: dict[int, np.ndarray] = {}
+    for s, x in zip(left, xs):
+        if s not in sizes:
+            sizes[s] = np.array([align(x, some_y[k])[0] if same_kind(x, some_y[k]) else 0 for k in kinds.tolist()], np.int64)
+
+    def rows(xi, yi):
+        """The last row and, if it fits, the whole table of the best sizes."""
+        last = np.zeros(len(yi) + 1, np.int64)
+        yield last
+        for i in xi:
+            gain = last.copy()
+            gain[1:] = np.maximum(last[1:], last[:-1] + sizes[left[i]][column[yi]])
+            last = np.maximum.accumulate(gain)
+            yield last
+
+    def best(xi, yi):
+        if not len(xi) or not len(yi):
+            return []
+        if (len(xi) + 1) * (len(yi) + 1) > ALIGN_CELLS and len(xi) > 1:
+            half = len(xi) // 2
+            for head in rows(xi[:half], yi):
+                pass
+            for tail in rows(xi[:half - 1:-1], yi[::-1]):
+                pass
+            cut = int(np.argmax(head + tail[::-1]))
+            return best(xi[:half], yi[:cut]) + best(xi[half:], yi[cut:])
+        table = np.array(list(rows(xi, yi)))
+        found, i, j = [], len(xi), len(yi)
+        while i and j:
+            gain = sizes[left[xi[i - 1]]][column[yi[j - 1]]]
+            if gain and table[i, j] == table[i - 1, j - 1] + gain:
+                i, j = i - 1, j - 1
+                found.append((xi[i], yi[j]))
+            elif table[i, j] == table[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+        return found[::-1]
+
+    size, pairs = 1, [(a, b)]
+    for i, j in best(np.arange(len(xs)), np.arange(len(ys))):
+        n, some = align(xs[i], ys[j])
+        size, pairs = size + n, pairs + some
     return size, pairs
 
 
-def page_blocks(html: str, reference: tuple[Node, dict[int, int]] | None) -> list[tuple[int, str]]:
+def page_blocks(html: str, reference: tuple[Node, dict[int, int]] | None) -> list[tuple[int, str, str]]:
     root = parse(html)
     known: dict[int, int] = {}
     if reference is not None:
@@ -246,46 +309,78 @@ def page_blocks(html: str, reference: tuple[Node, dict[int, int]] | None) -> lis
     return blocks(content_roots(root)[0], known)
 
 
+def _number(*parts) -> int:
+    return int.from_bytes(hashlib.md5("\0".join(map(str, parts)).encode(errors="replace")).digest()[:8], "big", signed=True)
+
+
+def _layout(html):
+    """Hash of the block elements and classes that a page opens; numbers in classes don't count."""
+    tags = "|".join(sorted(BLOCKS))
+    opened = F.regexp_extract_all(html, F.lit(rf"(?i)<((?:{tags})(?=[\s>/])(?:[^<>]*?\sclass\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>]+))?)"), 1)
+    kinds = F.transform(opened, lambda x: F.regexp_replace(F.lower(F.regexp_replace(x, r"(?is)^(\w+).*?\sclass\s*=\s*", "$1 ")), r"\d+", ""))
+    return F.xxhash64(F.array_sort(F.array_distinct(kinds)))
+
+
+def _references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, layout, chosen) and (host, chosen, reference): the layout whose page a layout's pages are aligned with, and that page."""
+    thin = rows.filter(F.length("html") > 0).select("host", "layout", "page_id", F.sha2("html", 256).alias("sha"), F.col("html").rlike(r"(?i)</html\s*>").alias("whole"))
+    order = F.struct((~F.col("whole")).alias("cut"), "page_id", "sha")
+    layouts = thin.groupBy("host", "layout").agg(F.count_distinct("sha").alias("n"), F.min(order).alias("first"), F.sum(F.col("whole").cast("long")).alias("whole"))
+    layouts = written(layouts, "layouts")
+    common = layouts.groupBy("host").agg(F.max_by("layout", F.struct("whole", "n", "layout")).alias("common"))
+    own = (F.col("n") >= MIN_PAGES) & (F.col("whole") > 0)
+    chosen = written(layouts.join(common, "host").select("host", "layout", F.when(own, F.col("layout")).otherwise(F.col("common")).alias("chosen"), F.col("first.page_id").alias("page_id"), F.col("first.sha").alias("sha")), "chosen")
+    wanted = chosen.join(chosen.select("host", F.col("chosen").alias("layout")).distinct(), ["host", "layout"], "left_semi").select("host", "layout", F.col("page_id").alias("_page"), "sha")
+    pages = rows.filter(F.length("html") > 0).withColumn("sha", F.sha2("html", 256))
+    same = (pages["host"] == wanted["host"]) & (pages["layout"] == wanted["layout"]) & (pages["sha"] == wanted["sha"]) & pages["page_id"].eqNullSafe(wanted["_page"])
+    found = pages.join(wanted, same).select(pages["host"], pages["layout"].alias("chosen"), F.col("html").alias("reference")).dropDuplicates(["host", "chosen"])
+    return chosen.select("host", "layout", "chosen"), written(found, "references")
+
+
 def _aligned(rows: DataFrame) -> DataFrame:
-    """page_id, url, host, digest of the page, and its blocks with their reference nodes."""
-    schema = "page_id long, url string, host string, digest binary, blocks array<struct<node:int,hash:binary,text:string>>"
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.binary()), ("text", pa.string())]))
+    """page_id, url, host, digest of the page, and its blocks with the keys of their reference nodes and paths."""
+    schema = "page_id long, url string, host string, digest long, blocks array<struct<node:long,path:long,hash:long,text:string>>"
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("path", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
-        cache: dict[str, tuple[Node, dict[int, int]]] = {}
+        cache: dict[tuple, tuple[Node, dict[int, int]]] = {}
         for batch in batches:
             digests, out = [], []
-            for host, html, reference in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), batch["reference"].to_pylist()):
+            for host, chosen, html, reference in zip(*[batch[c].to_pylist() for c in ("host", "chosen", "html", "reference")]):
                 html = html or ""
-                digests.append(hashlib.md5(html.encode()).digest())
-                if host not in cache:
+                digests.append(_number(html))
+                if (host, chosen) not in cache:
                     if len(cache) > 256:
                         cache.clear()
                     root = parse(reference or "")
-                    cache[host] = (root, number(root))
-                found = page_blocks(html, cache[host])
-                out.append([{"node": n, "hash": hashlib.md5(t.encode()).digest(), "text": t} for n, t in found])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.binary()), pa.array(out, kind)], names=["page_id", "url", "host", "digest", "blocks"])
+                    cache[host, chosen] = (root, number(root))
+                found = page_blocks(html, cache[host, chosen])
+                out.append([{"node": _number("node", chosen, n) if n >= 0 else None, "path": _number("path", p), "hash": _number(t), "text": t} for n, p, t in found])
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.int64()), pa.array(out, kind)], names=["page_id", "url", "host", "digest", "blocks"])
 
-    return rows.select("page_id", "url", "host", "html", "reference").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "host", "chosen", "html", "reference").mapInArrow(run, schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
-    references = written(rows.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct("page_id", F.sha2("html", 256))).alias("reference")), "references")
+    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))).withColumn("layout", _layout(F.col("html")))
+    chosen, references = _references(rows)
     size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
-    side = F.broadcast(references) if size <= MAX_BROADCAST_BYTES else references
-    aligned = written(_aligned(rows.join(side, "host", "left")), "aligned")
-    places = aligned.select("host", "digest", F.explode("blocks").alias("b")).filter("b.node >= 0").select("host", "digest", F.col("b.node").alias("node"), F.col("b.hash").alias("hash")).distinct()
-    same = places.groupBy("host", "node", "hash").agg(F.count(F.lit(1)).alias("n"))
-    nodes = same.groupBy("host", "node").agg(F.sum("n").alias("total"), F.max(F.struct("n", "hash")).alias("top"))
-    template = nodes.filter((F.col("top.n") >= MIN_PAGES) & (F.col("top.n") >= SHARE * F.col("total"))).groupBy("host").agg(F.collect_set(F.struct("node", F.col("top.hash").alias("hash"))).alias("template"))
-    template = written(template, "template")
-    if size <= MAX_BROADCAST_BYTES:
+    small = size <= MAX_BROADCAST_BYTES
+    side = F.broadcast(references) if small else references
+    aligned = written(_aligned(rows.join(chosen, ["host", "layout"], "left").join(side, ["host", "chosen"], "left")), "aligned")
+    # A row without a hash for each path of a page counts the pages that have the path; a node occurs once a page.
+    keys = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(F.struct(b["node"].alias("key"), b["hash"].alias("hash")), F.struct(b["path"].alias("key"), b["hash"].alias("hash")), F.struct(b["path"].alias("key"), F.lit(None).cast("long").alias("hash"))))))
+    places = aligned.select("host", "digest", F.explode(keys).alias("k")).select("host", "digest", "k.key", "k.hash").filter("key is not null").distinct()
+    same = written(places.groupBy("host", "key", "hash").agg(F.count(F.lit(1)).alias("n")), "counts")
+    totals = same.groupBy("host", "key").agg(F.coalesce(F.max(F.when(F.col("hash").isNull(), F.col("n"))), F.sum("n")).alias("total"), F.max(F.when(F.col("hash").isNotNull(), F.col("n"))).alias("most")).filter(F.col("most") >= MIN_PAGES)
+    agreed = same.filter((F.col("n") >= MIN_PAGES) & F.col("hash").isNotNull()).join(totals, ["host", "key"]).filter(F.col("n") >= SHARE * F.col("total"))
+    template = written(agreed.groupBy("host").agg(F.collect_set(F.struct("key", "hash")).alias("template")), "template")
+    if small:
         template = F.broadcast(template)
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.struct(b["node"].alias("node"), b["hash"].alias("hash"))), F.lit(False)))
+    known = lambda b, c: F.coalesce(F.array_contains("template", F.struct(b[c].alias("key"), b["hash"].alias("hash"))), F.lit(False))
+    kept = F.filter("blocks", lambda b: ~known(b, "node") & ~known(b, "path"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     out = aligned.join(template, "host", "left").select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

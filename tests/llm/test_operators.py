@@ -229,6 +229,37 @@ def test_wrapper(spark):
     assert out[90].text.startswith("Title 90\nFirst & bold text 90")
 
 
+def test_wrapper_judges_every_layout_and_cut_reference(spark):
+    rng = random.Random(3)
+    page = lambda kind, n: f"<html><body><div class='{kind}'>" + "".join(f"<p>{kind} {n} {i} text</p>" for i in range(rng.randrange(1, 9))) + f"<div class='{kind}-end'><div>Follow {kind}</div></div></div></body></html>"
+    pages = [(0, "http://h.org/0", "<html><body><div class='a'><p>cut 0 text</p>")]
+    pages += [(n, f"http://h.org/{n}", page("a" if n % 3 else "b", n)) for n in range(1, 40)]
+    pages += [(100 + n, f"http://h.org/{n}", page("c", n).replace("class='c'", f"class='c' id='x'><{'ul' if n % 2 else 'ol'}><li>rare {n}</{'ul' if n % 2 else 'ol'}><p")) for n in range(9)]
+    out = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out.values()) and not [i for i, t in out.items() if "Follow" in t]
+
+
+def test_alignment_of_many_children(monkeypatch):
+    def size(a, b):
+        xs, ys = wrapper.elements(a), wrapper.elements(b)
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size(x, y) if wrapper.same_kind(x, y) else 0)
+        return 1 + best[-1][-1]
+
+    rng = random.Random(4)
+    for cells in (1 << 22, 200):
+        monkeypatch.setattr(wrapper, "ALIGN_CELLS", cells)
+        for _ in range(4):
+            a, b = (wrapper.parse("".join(rng.choice(["<p>x</p>", "<div>x</div>", "<div><b>x</b><i>y</i></div>", "<div><i>y</i></div>", "<p class=k></p>"]) for _ in range(rng.randrange(65, 120)))) for _ in range(2))
+            n, pairs = wrapper.align(a, b)
+            assert n == len(pairs) == size(a, b)
+            place = [{id(c): i for i, c in enumerate(wrapper.elements(t))} for t in (a, b)]
+            top = [(place[0][id(x)], place[1][id(y)]) for x, y in pairs if id(x) in place[0]]
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(top, top[1:]))
+
+
 def test_language(spark):
     from conftest import DATA
 
