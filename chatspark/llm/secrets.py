@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are long tokens (MIN_CHARS or more of letters, digits and the marks of base64 and of names)
-that hold a digit or change case inside. Each has features of five kinds: its length and character classes,
+that hold a digit or change case inside, and every value, of any length and marks, that follows the name of a
+credential. A token `name=value` counts by its value. Each has features of five kinds: its length and character classes,
 how likely its character transitions are in the corpus' own words, the share of it that dictionary words
 cover, its path (the source), and its neighbouring words. A random forest trained on labelled findings
 scores every candidate.
@@ -42,6 +43,18 @@ _CANDIDATE = re.compile(rf"[A-Za-z0-9_\-+/=.@]{{{MIN_CHARS},}}")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
 #: Names that a credential is assigned to.
 NAMES = frozenset("token secret password passwd pwd apikey api_key key auth credential credentials access_key private_key bearer".split())
+#: Names that are sure of a credential as a part of a longer name, as in DB_PASSWORD; a `key` may be any.
+SURE = NAMES - {"key", "auth"}
+_JOINED = "|".join(sorted(NAMES, key=len, reverse=True))
+#: A credential's name or the end of a name from it on, what parts it from the value, and the value: quoted, or up to a space.
+_NAMED = re.compile(
+    rf"(?i)(?:{_JOINED})(?P<rest>[a-z0-9_.\-]{{0,60}}?)"
+    r"""(?P<gap>["'\])}]{0,3}(?:[ \t]*(?:=>|:=|==?|:)[ \t]*|[ \t]+(?:is|was)[ \t]+|[ \t]+)(?:bearer[ \t]+|basic[ \t]+)?)"""
+    r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s"'`]\S*))"""
+)
+_ASSIGNED = re.compile(r"""([A-Za-z0-9_.\-]+)["'\])}]{0,3}\s*(?:=>|:=|==?|:)\s*(?:[Bb]earer\s+|[Bb]asic\s+)?["'`]?$""")
+_NAME_OF_TOKEN = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)=+(?=[^=])")
+_PARTS = re.compile(r"[^a-z0-9]+")
 _LETTERS = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -81,25 +94,61 @@ def features(value: str, before: str, after: str, source: str, table: np.ndarray
     covered = sum(len(w) for w in _WORDS.findall(value) if w.lower() in words)
     share = Counter(value)
     entropy = -sum(k / n * np.log2(k / n) for k in share.values())
-    name = re.sub(r"[^a-z_]", "", (re.split(r"[=:]", before)[0] if re.search(r"[=:]\W*$", before) else before).strip().split(" ")[-1].lower())
+    assigned = _ASSIGNED.search(before)
+    name = assigned[1] if assigned else re.sub(r"\W+$", "", before).split(" ")[-1]
     return [
         float(n), digits / n, upper / n, hexa / n, (sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))) / n, float(entropy),
         float(np.mean(steps)) if steps else -6.0, covered / n, value.count("/") / n, value.count(".") / n, float("@" in value), float(value.count("-") + value.count("_")) / n,
-        float(name in NAMES), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before.endswith(('"', "'")) and after[:1] in ('"', "'")), float(before.rstrip().split(" ")[-1].lower() in words),
+        float(credential(name, NAMES)), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before.endswith(('"', "'")) and after[:1] in ('"', "'")), float(before.rstrip().split(" ")[-1].lower() in words),
         float(sum(map(ord, source)) % 16), float(any(c.isdigit() for c in source)),
     ]
 
 
+def credential(name: str, names: frozenset[str]) -> bool:
+    """Whether a name, or a part of it between marks or capitals, is one of `names`."""
+    low = name.lower().strip("_.-")
+    if low in NAMES or low.replace("-", "_") in NAMES:
+        return True
+    parts = _PARTS.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower())
+    return not names.isdisjoint(parts) or not names.isdisjoint(f"{a}_{b}" for a, b in zip(parts, parts[1:]))
+
+
 def rule_label(value: str, before: str) -> int | None:
     """1 or 0 where the rules are sure of a candidate, else None."""
-    assigned = re.search(r"([A-Za-z_]+)\W{0,3}[=:]\W{0,3}$", before)
-    if assigned and assigned[1].lower() in NAMES and sum(c.isdigit() for c in value) >= 3 and "@" not in value:
-        return 1
+    assigned = _ASSIGNED.search(before)
+    named = bool(assigned) and credential(assigned[1], SURE)
+    address = "://" in value or re.fullmatch(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+", value) is not None
+    if named and not address:
+        return 1 if sum(c.isdigit() for c in value) >= 3 else None
     if "@" in value or "://" in value or re.fullmatch(r"[A-Za-z.\-]+|[\d.\-+/]+", value):
         return 0
     return None
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates of a text, in order."""
+    found = set()
+    at = 0
+    while m := _NAMED.search(text, at):
+        kind = next(k for k in ("double", "single", "back", "bare") if m[k] is not None)
+        at = m.start() + 1
+        if not re.search(r"[=:]", m["gap"]) and (m["rest"].lower() not in ("", "s") or text[m.start() - 1 : m.start()].isalnum()):
+            continue  # within running text only whole words are names
+        value = m[kind] if kind != "bare" else m[kind].rstrip(",;)]}>.") or m[kind]
+        found.add((m.start(kind), m.start(kind) + len(value)))
+    for m in _CANDIDATE.finditer(text):
+        start, whole = m.start(), m[0]
+        while (name := _NAME_OF_TOKEN.match(whole)) and (len(whole) - name.end() >= MIN_CHARS or credential(name["name"], NAMES)):
+            start, whole = start + name.end(), whole[name.end() :]
+        value = whole.strip(".=-")
+        inner = value.swapcase()[1:]
+        if len(value) < MIN_CHARS or not (any(c.isdigit() for c in value) or not (inner.isupper() or inner.islower())):
+            continue
+        start += whole.find(value)
+        found.add((start, start + len(value)))
+    return sorted(found)
+
+
 def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> DataFrame:
     """doc_id, start, length, value, label, features of each candidate of each document."""
     model = docs.sparkSession.sparkContext.broadcast((table, words))
@@ -110,12 +159,8 @@ def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> Da
         for batch in batches:
             rows = []
             for doc_id, text, source in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["source"].to_pylist()):
-                for m in _CANDIDATE.finditer(text or ""):
-                    value = m[0].strip(".=-")
-                    inner = value.swapcase()[1:]
-                    if len(value) < MIN_CHARS or not (any(c.isdigit() for c in value) or not (inner.isupper() or inner.islower())):
-                        continue
-                    start = m.start() + m[0].find(value)
+                for start, end in places(text or ""):
+                    value = text[start:end]
                     before, after = text[max(0, start - 40) : start], text[start + len(value) : start + len(value) + 20]
                     rows.append((doc_id, start, len(value), value, rule_label(value, before), features(value, before, after, source or "", table, words)))
             if rows:

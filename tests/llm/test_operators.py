@@ -292,6 +292,21 @@ def test_secrets(spark):
     assert scan_secrets(spark.read.parquet(f"{DATA}/documents.parquet").filter("false")).count() == 0
 
 
+def test_secret_candidates(spark):
+    from chatspark.llm.secrets import places, rule_label, scan_secrets
+
+    secrets = ["04dbeb1199aa44cc", "hunter2", "Pa$$w0rd!:x", "correcthorsebatterystaple", "p@ss=1234", "04dbebfe11223344556677889900aabbccddeeff"]
+    for value in secrets:
+        for form in ("token={}", "API_KEY={}", "db_password: {}", 'secret = "{}"', "export DB_PASSWORD='{}' x", "--password {} x", "password is {}", "clientSecret:{}", "Authorization: Bearer {}", "password = token={}", '{{"api_key": "{}"}}'):
+            text = "some words before " + form.format(value)
+            assert (at := text.rindex(value), at + len(value)) in places(text), (form, value)
+    assert rule_label("04dbeb1199aa44cc", "x API_KEY=") == 1 and rule_label("hunter2", "db_password: ") is None and rule_label("someword", "say ") == 0
+    assert places("see id of foo-bar1_Baz.qux9-zz") == [(10, 30)]
+    docs = spark.createDataFrame([(i, f"plain words and token={i:040x} then some-long-hyphen-Words-{'x' * 8}", "s") for i in range(10**15, 10**15 + 40)], "doc_id long, text string, source string")
+    found = scan_secrets(docs).filter("is_secret").collect()
+    assert {(r.start, r.length) for r in found} == {(22, 40)} and len(found) == 40
+
+
 def test_empty_tables(spark, tmp_path):
     empty = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
