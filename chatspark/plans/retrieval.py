@@ -37,8 +37,8 @@ def _overlap(spark, d):
 
 @query()
 def terms(spark, d):
-    """Characters and bigrams of each document's first hundred characters' worth of title; tested against a Python loop."""
-    return _pool(spark, d).select("id", F.array_join(X.terms(F.split("text", "\n")[0]), "|").alias("terms"))
+    """Characters and bigrams of each document's whole text; tested against a Python loop."""
+    return _pool(spark, d).select("id", F.array_join(X.terms("text"), "|").alias("terms"))
 
 
 @query(f"WITH {_BAG} SELECT id, term, n FROM pt")

@@ -183,3 +183,11 @@ def test_group_pattern_query_reads_whole_texts(spark, tmp_path):
     rows = [(20, 0, "user", "x" * 420 + ". a sentence that comes late here"), (40, 0, "assistant", "y" * 420 + ". A sentence that comes late there")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.fuzzy for r in QUERIES["group_pattern_reuse"](spark, str(tmp_path)).collect()] == [True]
+
+
+def test_terms_query_reads_whole_texts(spark, tmp_path):
+    from chatspark.plans import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.createDataFrame([(1, "ab\ncdq", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars int").select(*[F.col(c).cast(t) for c, t in docs.dtypes]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert "dq" in QUERIES["terms"](spark, str(tmp_path)).first().terms.split("|")
