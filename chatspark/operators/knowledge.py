@@ -70,27 +70,28 @@ def vocative_claims(vocatives: DataFrame, members: DataFrame, least: int = 2) ->
     return named.groupBy("target", "alias").agg(F.count(F.lit(1)).alias("n")).withColumn("strength", F.when(F.col("n") >= least, "kept").otherwise("weak"))
 
 
-def mention_scan(messages: DataFrame, names: DataFrame, block: int = 5000) -> DataFrame:
-    """(message_id, name, identities): names found with word bounds; several identities make a mention ambiguous.
+def mention_scan(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """(message_id, name, identities): names found with word bounds, also within or across longer ones; several identities make a mention ambiguous.
 
-    Names go to the messages' tasks in blocks of one compiled alternation each; every block passes over all messages.
+    Each message sends its pieces between word bounds that have the length of some name, which are joined with the names; the driver
+    gets the lengths only.
     """
     owned = names.groupBy("name").agg(F.count_distinct("identity").alias("identities"))
-    words = [r.name for r in owned.select("name").orderBy(F.desc(F.length("name")), "name").toLocalIterator()]
-    out = None
-    for at in range(0, max(1, len(words)), block):
-        part = words[at : at + block]
-        pattern = "|".join(re.escape(w) for w in part) or "(?!)"
-
-        def find(batches, pattern=pattern):
-            compiled = re.compile(rf"(?<![0-9A-Za-z_])(?:{pattern})(?![0-9A-Za-z_])")
-            for table in batches:
-                hits = [(i, n) for i, t in zip(table.message_id, table.text) for n in sorted(set(compiled.findall(t or "")))]
-                yield pd.DataFrame(hits, columns=["message_id", "name"])
-
-        one = messages.select("message_id", "text").mapInPandas(find, "message_id long, name string")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct().join(owned, "name").select("message_id", "name", "identities")
+    lengths = sorted(r.n for r in owned.select(F.length("name").alias("n")).filter("n > 0").distinct().collect())
+    word = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+
+    def pieces(batches):
+        for table in batches:
+            hits = []
+            for i, t in zip(table.message_id, table.text):
+                t = t or ""
+                ends = [j == len(t) or t[j] not in word for j in range(len(t) + 1)]
+                found = {t[a : a + n] for a in range(len(t)) if a == 0 or t[a - 1] not in word for n in lengths if a + n <= len(t) and ends[a + n]}
+                hits += [(i, x) for x in found]
+            yield pd.DataFrame(hits, columns=["message_id", "name"])
+
+    found = messages.select("message_id", "text").mapInPandas(pieces, "message_id long, name string")
+    return found.join(owned, "name").select("message_id", "name", "identities").distinct()
 
 
 def inventory_summary(candidates: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import re
 import uuid
 
 import pytest
@@ -191,3 +192,13 @@ def test_terms_query_reads_whole_texts(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     spark.createDataFrame([(1, "ab\ncdq", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars int").select(*[F.col(c).cast(t) for c, t in docs.dtypes]).write.parquet(f"{tmp_path}/documents.parquet")
     assert "dq" in QUERIES["terms"](spark, str(tmp_path)).first().terms.split("|")
+
+
+def test_mentions_overlap(spark):
+    from chatspark.operators.knowledge import mention_scan
+
+    names = ["Ann", "Lee", "Ann Lee", "Lee Roy", "A.B.", "@x", "nn"]
+    texts = ["Ann Lee Roy met A.B. and @x", "Anna, Lee", None, "", "nn_ x@x Ann"]
+    out = mention_scan(spark.createDataFrame(list(enumerate(texts)), "message_id long, text string"), spark.createDataFrame([(n, 1) for n in names], "name string, identity int"))
+    want = {(i, n) for i, t in enumerate(texts) for n in names if re.search(rf"(?<![0-9A-Za-z_]){re.escape(n)}(?![0-9A-Za-z_])", t or "")}
+    assert sorted((r.message_id, r.name) for r in out.collect()) == sorted(want)
