@@ -94,8 +94,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _scan(texts: DataFrame, k: int, sketch: int) -> DataFrame:
-    """A row (key, first_id, n, cls) for each text, and the task's part of the sketch as rows (slice, counts)."""
-    schema = "key binary, first_id long, n long, cls long, slice int, counts binary"
+    """A row (key, first_id, least_id, n, cls) for each text, and the task's part of the sketch as rows (slice, counts)."""
+    schema = "key binary, first_id long, least_id long, n long, cls long, slice int, counts binary"
 
     def run(batches):
         counts = np.zeros(sketch, np.uint32)
@@ -109,12 +109,12 @@ def _scan(texts: DataFrame, k: int, sketch: int) -> DataFrame:
                 place, times = np.unique(np.concatenate(pending) & np.uint64(sketch - 1), return_counts=True)
                 counts[place.astype(np.int64)] += times.astype(np.uint32)
             empty = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["key", "first_id", "n", "cls", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], batch["least_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["key", "first_id", "least_id", "n", "cls", "slice", "counts"])
         for i, part in enumerate(np.split(counts, sketch // SLICE)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3, pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["key", "first_id", "n", "cls", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["key", "first_id", "least_id", "n", "cls", "slice", "counts"])
 
-    return texts.select("key", "first_id", "text").mapInArrow(run, schema)
+    return texts.select("key", "first_id", "least_id", "text").mapInArrow(run, schema)
 
 
 def _rarity(scan: DataFrame, sketch: int) -> np.ndarray:
@@ -328,18 +328,15 @@ def _cluster_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of its class in the search) for each row.
-
-    component_id is the smallest doc_id that links of at least `percent` similarity reach.
-    """
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id (null as _LEAST), key, n_shingles, component_id, n_links of each row, and whether it is the first of its component."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), "text")
     texts = distinct_texts(docs)
     sketch = sketch_size(texts)
     scan = written(_scan(texts, k, sketch), "scan")
     rarity = spark.sparkContext.broadcast(_rarity(scan, sketch))
-    known = scan.filter("slice is null").select("key", "first_id", "n", "cls")
+    known = scan.filter("slice is null").select("key", "first_id", "least_id", "n", "cls")
     lists = written(_lists(_postings(texts, k, percent, rarity), percent), "lists")
     pairs = written(lists.filter("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     hot = lists.filter("hot").select("token", F.col("a").alias("cls"))
@@ -354,20 +351,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = written(links, "links")
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id"))
-    classes = classes.join(roots, "cls", "left").join(degree, "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    labels = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = classes.join(labels, "root").select("cls", "component_id", "n_links")
-    by_key = written(known.join(by_class, "cls", "left").select("key", F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, null)").alias("component_id"), F.expr("if(n > 0, n_links, 0)").alias("n_links")), "labels")
+    classes = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id"), F.min("least_id").alias("least_id"))
+    classes = classes.join(roots, "cls", "left").join(degree, "cls", "left").select("cls", "first_id", "least_id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = classes.groupBy("root").agg(F.min("first_id").alias("head"), F.min("least_id").alias("component_id"))
+    by_class = classes.join(labels, "root").select("cls", "head", "component_id", "n_links")
+    by_key = written(known.join(by_class, "cls", "left").select("key", "least_id", F.expr("n = 0 or first_id = head").alias("head"), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, null)").alias("component_id"), F.expr("if(n > 0, n_links, 0)").alias("n_links")), "labels")
     rows = keyed_rows(docs).join(by_key, "key")
-    shown = lambda c: F.nullif(c, F.lit(_LEAST))
-    return rows.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(F.coalesce("component_id", "doc_id")).alias("component_id"), "n_links")
+    first = (F.col("n_shingles") == 0) | (F.col("head") & (F.col("doc_id") == F.col("least_id")))
+    return rows.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links", first.alias("first"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (verified links of its class in the search) for each row.
+
+    component_id is the smallest doc_id that links of at least `percent` similarity reach.
+    """
+    shown = lambda c: F.nullif(F.col(c), F.lit(_LEAST)).alias(c)
+    return _labelled(docs, k, percent).select(shown("doc_id"), "n_shingles", shown("component_id"), "n_links")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their component, with all their columns."""
-    found = jaccard_components(docs.select("doc_id", "text"), k, percent)
-    gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    """The rows of `docs` that have the smallest doc_id of their component (of texts that share it, the first by key), with all their columns."""
+    found = _labelled(docs.select("doc_id", "text"), k, percent)
+    gone = written(found.filter("not first").select(F.xxhash64("doc_id", "key").alias("__gone")).distinct(), "gone")
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    row = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)))
+    return docs.join(gone, row == F.col("__gone"), "left_anti")

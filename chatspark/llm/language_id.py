@@ -182,8 +182,15 @@ def document_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that language identification doesn't reject, with all their columns."""
-    found = identify(document_evidence(docs), document_model(docs))
-    gone = written(found.filter("not accepted").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    evidence = document_evidence(docs)
+    names, logs = document_model(docs)
+    if not names:
+        return docs.filter("false")
+    row = lambda c: F.xxhash64(*[x for y in c[:3] for x in (y, y.isNull())], F.unhex(F.sha2(F.coalesce(c[3], F.lit("")), 256)))
+    evidence = evidence.withColumn("row", row([F.col(c) for c in ("doc_id", "declared", "host", "text")]))
+    found = fuse(written(_likelihoods(evidence, names, logs), "likelihoods"), names)
+    gone = written(found.filter("not accepted").select(F.col("row").alias("__gone")).distinct(), "gone")
     if gone.count() <= 2_000_000:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    own = row([docs["doc_id"].cast("long"), *[docs[c].cast("string") for c in ("lang", "source", "text")]])
+    return docs.join(gone, own == F.col("__gone"), "left_anti")

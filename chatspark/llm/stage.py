@@ -71,7 +71,9 @@ def text_key(column: str = "text"):
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """One row per different text: first_id (smallest doc_id), key, copies, n_bytes, text; bucketed by first_id.
+    """One row per different text: first_id (the text's own), least_id (smallest doc_id), key, copies, n_bytes, text; bucketed by first_id.
+
+    first_id is the smallest doc_id where no two texts share it; else all texts are numbered in the order of it and the key.
 
     Copies are grouped by their hash alone, combined before the shuffle; the texts themselves are dealt once,
     by doc_id, and only the row with a group's smallest doc_id stays.
@@ -80,11 +82,17 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     groups = written(rows.withColumn("key", text_key()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "keys")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["first_id", "least_id", "key", "copies", F.octet_length("text").cast("long").alias("n_bytes"), "text"]
+    if not groups.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        ordered = groups.repartitionByRange(parts, "first_id", "key").sortWithinPartitions("first_id", "key")
+        ranks = written(ordered.select(F.monotonically_increasing_id().alias("first_id"), F.col("first_id").alias("least_id"), "key", "copies"), "ranks")
+        own = rows.groupBy(F.col("doc_id").alias("least_id"), text_key().alias("key")).agg(F.first("text").alias("text"))
+        return written_by_key(own.join(ranks, ["least_id", "key"]).select(*columns).repartition(parts, "first_id"), "first_id", "texts")
     dealt = rows.withColumnRenamed("doc_id", "first_id").repartition(parts, "first_id")
     own = F.greatest(text_key(), F.col("_key")) == F.least(text_key(), F.col("_key"))  # not an equi-key: both sides stay dealt by first_id alone
     joined = dealt.join(groups.withColumnRenamed("key", "_key").repartition(parts, "first_id"), "first_id").filter(own)
     single = joined.groupBy("first_id", F.col("_key").alias("key"), "copies").agg(F.first("text").alias("text"))
-    return written_by_key(single.select("first_id", "key", "copies", F.octet_length("text").cast("long").alias("n_bytes"), "text"), "first_id", "texts")
+    return written_by_key(single.withColumn("least_id", F.col("first_id")).select(*columns), "first_id", "texts")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

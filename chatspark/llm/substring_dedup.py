@@ -9,7 +9,7 @@ overlapping repeats chain to maximal ones, whose words are removed.
 Equal texts are processed once, for their smallest doc_id; in the other copies every window is a
 repeat. Null or empty text has no words and keeps the empty text; a document of fewer than 13 words
 loses nothing. A null doc_id counts as smallest. Repeated rows (same doc_id and text) get the same
-result, since neither has the smaller id. doc_id is taken as a text's identity: rows that share one
+result, since neither has the smaller id. Texts that share a doc_id, or have none, are told apart by their keys: rows that share both
 and differ in text may lose each other's repeats. Empty tables give empty results, other columns are
 ignored.
 """
@@ -158,7 +158,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     joined = lambda rows, how: texts.join(by_document(rows).withColumnRenamed("doc", "first_id"), "first_id", how)
     seeds = written(shared_hashes(_seed_rows(texts)), "seeds")
     repeats = written(shared_hashes(_window_rows(joined(seeds, "inner")), smaller=True), "repeats")
-    own = written(_removed(joined(repeats, "left")), "removed")
+    own = written(_removed(joined(repeats, "left").withColumn("first_id", F.col("least_id"))), "removed")
     rows = keyed_rows(docs).join(own, "key")
     copy = F.col("doc_id") > F.col("first_id")
     full = copy & (F.col("n_words") >= WINDOW)

@@ -317,6 +317,29 @@ def test_empty_tables(spark, tmp_path):
         assert df.count() == 0
 
 
+def test_null_and_shared_ids_keep_their_texts_apart(spark):
+    from conftest import DATA
+
+    from chatspark.llm.language_id import accepted_documents
+
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80, 10**6) for _ in range(3))
+    near, shared = [*a[:-1], "z"], " ".join(words(rng, 60, 10**6))
+    for i in (None, 7):
+        docs = frame(spark, [(i, " ".join(a)), (i, " ".join(near)), (i, " ".join(b)), (9, " ".join([*b[:-1], "y"])), (i, shared + " " + " ".join(c)), (i, " ".join(c[::-1]) + " " + shared)])
+        kept = [r.text for r in near_dedup(docs).collect()]
+        assert len(kept) == 4 and (" ".join(a) in kept) != (" ".join(near) in kept) and " ".join(b) in kept
+        assert sorted(r.n_links for r in jaccard_components(docs).collect()) == [0, 0, 1, 1, 1, 1]
+        assert sorted({r.component_id for r in jaccard_components(docs).collect()}, key=str) == [i]
+        out = {r.kept_sha256: r for r in suffix_dedup(docs).collect()}
+        assert len(out) == 6 and sum(r.n_removed == 0 for r in out.values()) == 0
+        assert sorted(r.n_removed > 0 for r in substring_dedup(docs).collect()) == [False, False, False, True, True, True]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, "1234567890 " * 40, "en", "src1", 1), (1, "1234567890 " * 40, "en", "src1", 1)], docs.schema)
+    stay = accepted_documents(docs.unionByName(odd))
+    assert stay.count() == accepted_documents(docs).count() and stay.filter("text like '1234567890%'").count() == 0
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(words(random.Random(8), 60))
     docs = frame(spark, [(None, t), (4, t), (4, t), (9, t), (9, "x")])
