@@ -310,22 +310,29 @@ def block_links(tokens: list[np.ndarray], percent: int) -> np.ndarray:
     return links
 
 
-def _cluster_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) among the classes of the hot lists (token, cls), block by block."""
+def _cluster_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Spanning links (a, b) among the classes of the hot lists (token, cls), block by block, with the number of
+    all links of a where b is null; and the cluster of each class (node, root)."""
     heads = hot.groupBy("token").agg(F.min("cls").alias("head"))
     members = hot.select("token", "cls").join(heads, "token").select("cls", "head").distinct()
     clusters = written(components(members.unionByName(members.select("head", F.col("head").alias("cls")).select("cls", "head")), "cls", "head"), "clusters")
     blocks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = placed.select(F.col("node").alias("cls"), "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets.select("cls", "tokens"), "cls")
+    rows = placed.select(F.col("node").alias("cls"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets.select("cls", "tokens"), "cls")
 
     def run(table: pa.Table) -> pa.Table:
         cls = table["cls"].to_numpy()
-        label = _forest(block_links([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], percent))
+        links = block_links([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], percent)
+        label = _forest(links)
         moved = label != np.arange(len(label))
-        return pa.table({"a": cls[moved], "b": cls[label[moved]]})
+        block = table["block"].to_numpy()
+        if table["i"][0].as_py() != table["j"][0].as_py():  # pairs within a block are the block's own
+            links &= block[:, None] != block[None, :]
+        n = links.sum(1).astype(np.int64)
+        a, b = np.concatenate([cls[moved], cls[n > 0]]), pa.array([*cls[label[moved]].tolist(), *[None] * int((n > 0).sum())], pa.int64())
+        return pa.table({"a": a, "b": b, "n": np.concatenate([np.zeros(int(moved.sum()), np.int64), n[n > 0]])})
 
-    return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long, n long"), clusters
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -345,12 +352,19 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = written_by_key(_sets(texts, wanted, k, percent, rarity).repartition(parts, "cls"), "cls", "sets")
     drop_written(spark, texts)
-    links = _verify(pairs, sets, percent)
+    links = written(_verify(pairs, sets, percent), "links")
+    counted = links
+    more = None
     if not hot.isEmpty():
-        links = links.unionByName(_cluster_links(hot, sets, percent))
-    links = written(links, "links")
+        found, clusters = _cluster_links(hot, sets, percent)
+        found = written(found, "cluster_links")
+        more = found.filter("b is null").select(F.col("a").alias("cls"), "n")
+        place = lambda x: clusters.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        counted = links.join(place("a"), "a", "left").join(place("b"), "b", "left").filter("root_a is null or root_b is null or root_a != root_b").select("a", "b")
+        links = links.unionByName(found.filter("b is not null").select("a", "b"))
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
-    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = counted.select(F.col("a").alias("cls"), F.lit(1).cast("long").alias("n")).unionByName(counted.select(F.col("b").alias("cls"), F.lit(1).cast("long").alias("n")))
+    degree = (degree if more is None else degree.unionByName(more)).groupBy("cls").agg(F.sum("n").alias("n_links"))
     classes = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id"), F.min("least_id").alias("least_id"))
     classes = classes.join(roots, "cls", "left").join(degree, "cls", "left").select("cls", "first_id", "least_id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     labels = classes.groupBy("root").agg(F.min("first_id").alias("head"), F.min("least_id").alias("component_id"))

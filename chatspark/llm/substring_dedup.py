@@ -9,8 +9,8 @@ overlapping repeats chain to maximal ones, whose words are removed.
 Equal texts are processed once, for their smallest doc_id; in the other copies every window is a
 repeat. Null or empty text has no words and keeps the empty text; a document of fewer than 13 words
 loses nothing. A null doc_id counts as smallest. Repeated rows (same doc_id and text) get the same
-result, since neither has the smaller id. Texts that share a doc_id, or have none, are told apart by their keys: rows that share both
-and differ in text may lose each other's repeats. Empty tables give empty results, other columns are
+result, since neither has the smaller id. Texts that share a doc_id, or have none, are told
+apart and ordered by their keys. Empty tables give empty results, other columns are
 ignored.
 """
 

@@ -11,9 +11,8 @@ Buckets are read as a stream of about BUCKET_BYTES. The segments of a minimizer
 would not fit a task; their windows are counted by two independent 64-bit hashes in a grouped aggregation instead.
 
 Equal texts are processed once with their number as weight. Null or empty text has no bytes; texts of fewer
-than LENGTH bytes lose nothing. Matches never cross documents. Repeated rows are copies of each other. doc_id is
-taken as a text's identity: rows that share one and differ in text may lose each other's repeats; a null
-doc_id counts as smallest. Empty tables give empty results; other columns are ignored.
+than LENGTH bytes lose nothing. Matches never cross documents. Repeated rows are copies of each other. Texts that
+share a doc_id, or have none, are told apart by their keys. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -317,6 +317,16 @@ def test_empty_tables(spark, tmp_path):
         assert df.count() == 0
 
 
+def test_hot_lists_count_each_link_once(spark, monkeypatch):
+    from chatspark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 25)
+    rng = random.Random(6)
+    base = words(rng, 120, 10**6)
+    docs = frame(spark, [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(90)] + [(100, " ".join(words(rng, 90, 10**6)))])
+    assert {r.doc_id: r.n_links for r in jaccard_components(docs).collect()} == {**{i: 89 for i in range(90)}, 100: 0}
+
+
 def test_null_and_shared_ids_keep_their_texts_apart(spark):
     from conftest import DATA
 
