@@ -113,16 +113,35 @@ def selection_vs_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(deltas: DataFrame, by: str, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """Mean and 95 % interval of per-target deltas; a group's deltas are the bounded table of one report."""
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(table.delta.to_numpy())
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({by: [table[by].iloc[0]], "n": [len(x)], "mean": [x.mean()], "low": [low], "high": [high]})
-
-    return deltas.select(by, "delta").groupBy(by).applyInPandas(run, f"{by} string, n long, mean double, low double, high double")
+    """Mean and 95 % interval of per-target deltas by Poisson bootstrap: each draw weighs each target by a Poisson count of mean 1.
+
+    Equal deltas of a group draw together (n of them have a Poisson count of mean n), seeded by group and value. Tasks send a draw's sums only.
+    """
+    values = deltas.select(F.col(by).cast("string").alias(by), F.col("delta").cast("double").alias("delta")).filter("delta is not null").groupBy(by, "delta").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        sums: dict[str | None, np.ndarray] = {}
+
+        def rows():
+            for group, (w, wd) in sums.items():
+                yield pd.DataFrame({by: pd.Series([group] * draws, dtype=object), "draw": np.arange(draws), "w": w, "wd": wd})
+
+        for table in batches:
+            for group, delta, n, key in zip(table[by], table["delta"], table["n"], table["key"]):
+                w = np.random.default_rng([seed, key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF]).poisson(n, draws)
+                if group not in sums and len(sums) >= 256:
+                    yield from rows()
+                    sums.clear()
+                sums.setdefault(group, np.zeros((2, draws)))
+                sums[group] += (w, w * delta)
+        yield from rows()
+
+    parts = values.withColumn("key", F.xxhash64(by, "delta")).mapInPandas(run, f"`{by}` string, draw long, w double, wd double")
+    means = parts.groupBy(by, "draw").agg((F.sum("wd") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    ends = means.groupBy(F.col(by).alias("_by")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = values.groupBy(by).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("mean"))
+    # Sums depend on the order of rows in their last digits.
+    return whole.join(ends, F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", *[F.round(c, 9).alias(x) for c, x in ((F.col("mean"), "mean"), (F.col("q")[0], "low"), (F.col("q")[1], "high"))])
 
 
 def label_summary(rows: DataFrame) -> DataFrame:

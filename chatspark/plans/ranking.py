@@ -116,7 +116,7 @@ def topk_vs_baseline(spark, d):
 def paired_bootstrap(spark, d):
     """Interval of the difference between a target's best and mean grade, by the target's remainder; tested for coverage and determinism."""
     per = observations(spark, d).groupBy("target_id").agg((F.max("grade") - F.avg("grade")).alias("delta"))
-    return K.paired_bootstrap(per.withColumn("cohort", (F.col("target_id") % 4).cast("string")), "cohort", 200)
+    return K.paired_bootstrap(per.withColumn("cohort", (F.col("target_id") % 4).cast("string")), "cohort")
 
 
 @query(f"WITH {OB}, p AS (SELECT target_id, count(*) AS n, count(z) AS l, coalesce(sum(z), 0) AS o FROM ob GROUP BY 1) SELECT CASE WHEN l = 0 THEN 'none' WHEN l < n THEN 'incomplete' WHEN o = 0 THEN 'all_zero' WHEN o = n THEN 'all_one' ELSE 'mixed' END AS kind, count(*) AS targets, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(o) AS BIGINT) AS ones FROM p GROUP BY 1")

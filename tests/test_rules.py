@@ -202,3 +202,16 @@ def test_mentions_overlap(spark):
     out = mention_scan(spark.createDataFrame(list(enumerate(texts)), "message_id long, text string"), spark.createDataFrame([(n, 1) for n in names], "name string, identity int"))
     want = {(i, n) for i, t in enumerate(texts) for n in names if re.search(rf"(?<![0-9A-Za-z_]){re.escape(n)}(?![0-9A-Za-z_])", t or "")}
     assert sorted((r.message_id, r.name) for r in out.collect()) == sorted(want)
+
+
+def test_bootstrap_is_distributed_and_has_the_normal_interval(spark):
+    from chatspark.plans import QUERIES
+
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("g"), (F.col("id") * 37 % 101 / 10.0).alias("delta"))
+    for r in K.paired_bootstrap(df, "g").collect():
+        x = [i * 37 % 101 / 10 for i in range(4000) if (i % 4 == 0) == (r.g == "b")]
+        mean = sum(x) / len(x)
+        error = (sum((y - mean) ** 2 for y in x) / len(x) / len(x)) ** 0.5
+        assert r.n == len(x) and abs(r["mean"] - mean) < 1e-8 and abs(r.low - mean + 1.96 * error) < 0.2 * error and abs(r.high - mean - 1.96 * error) < 0.2 * error
+    out = QUERIES["paired_bootstrap"](spark, DATA)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString() and out.filter("low <= mean and mean <= high").count() == 4
