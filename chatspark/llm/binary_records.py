@@ -8,8 +8,8 @@ checksum to themselves. Spark's own text writer stores the frames, through its c
 to any file system; a task that is run again replaces its file.
 
 Files are in ascending doc_id order (nulls first; repeated doc_ids each have their record). Null or
-empty text has the end id alone. An empty table gives no record. Other columns are ignored. The size of
-a file is set by spark.sql.shuffle.partitions and the adaptive advisory size; keep it below 1 GB.
+empty text has the end id alone. An empty table gives no record. Other columns are ignored. There are as many
+files as keep their texts at FILE_BYTES on average, so reading a file back takes a bounded part of a worker.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chatspark.llm.stage import shared_dir, shuffle_cleanup
+from chatspark.llm.stage import shared_dir, shuffle_cleanup, small_batches
 from chatspark.llm.tokens import ChunkEncoder
 
 END_ID = 2
+#: Text of a file on average; its ids take about three quarters of that.
+FILE_BYTES = 64 << 20
 _HEAD, _ID = struct.Struct("<QI"), struct.Struct("<Bq")
 
 
@@ -81,8 +83,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
         end = np.array([end_id], encoder.dtype)
         for batch in batches:
             out, size = [], 0
-            texts = (text.as_py() for text in batch["text"])
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(texts)):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 out.append(frame(doc_id, np.concatenate([ids, end])))
                 size += len(out[-1])
                 if size > 8 << 20:
@@ -92,8 +93,12 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    with shuffle_cleanup(docs.sparkSession):
+    spark = docs.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    small_batches(spark)
+    with shuffle_cleanup(spark):
         ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("compression", "none").text(f"{path}/data")
 
 
@@ -121,10 +126,13 @@ def write_index(spark: SparkSession, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all records before), n_tokens, ids_crc32, file, offset, size of each record."""
+    """doc_id, start (ids of all records before), n_tokens, ids_crc32, file, offset, size of each record.
+
+    Files follow each other by their first doc_id (nulls first), whatever their names; equal doc_ids are in one file.
+    """
     index = spark.read.schema("file string, offset long, size long, doc_id long, n_tokens long, before long, ids_crc32 long").parquet(f"{path}/index")
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    base = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.bool_and(F.col("doc_id").isNotNull()).alias("named"), F.min("doc_id").alias("first"))
+    base = totals.select("file", (F.sum("total").over(Window.orderBy("named", "first")) - F.col("total")).alias("base"))
     return index.join(base, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "size")
 
 

@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatspark.llm.seqhash import NON_WORD, Words, covered, grams, lower_ascii, sliding_min, text_blocks, valid_starts
+from chatspark.llm.seqhash import NON_WORD, Words, covered, distinct_hashes, grams, lower_ascii, sliding_min, text_blocks, valid_starts
+from chatspark.llm.stage import fresh, row_key, small_batches, written
 
 WINDOW = 13
 GRAM = 5
-#: Benchmark items are broadcast in blocks of at most this much text, each block to its own pass.
-BLOCK_BYTES = 8 << 20
+#: A benchmark of up to this much text is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 class ItemWindows:
@@ -105,96 +106,153 @@ def scan(texts: pa.Array, items: ItemWindows) -> Iterator[tuple[int, np.ndarray,
             yield int(b - a), hit[a:b], [items.ids[k] for k in pairs[edges[i] : edges[i + 1], 1]]
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        if block and size + len(row.text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id or "", row.text))
-        size += len(row.text)
-    yield block
-
-
 def _summary(n: int, hit: int, items: list[str]) -> tuple:
     items = sorted(set(items))
     return n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n
 
 
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _broadcast(benchmark: DataFrame, limit: int):
+    """The items' windows for every task, or None where the items' texts and ids are over `limit` bytes."""
+    items = _items(benchmark)
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if size > limit:
+        return None
+    return benchmark.sparkSession.sparkContext.broadcast(ItemWindows([tuple(r) for r in items.collect()]))
+
 
+def _marks(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, fingerprints, hashes) of the windows of n words."""
+    at = np.flatnonzero(valid_starts(words, n))
+    hashes = grams(words.hash, n)
+    return at, (sliding_min(grams(words.hash, GRAM), n - GRAM + 1) if n == WINDOW else hashes)[at], hashes[at]
 
-def _scan_rows(rows: DataFrame, items: ItemWindows, keep: list[str], spans: bool, schema: str) -> DataFrame:
-    """`rows` (with _text) through one block of items: its summary, or the spans to merge with other blocks'."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+
+def _item_windows(benchmark: DataFrame) -> DataFrame:
+    """(n, mark, hash, item) of the items' windows."""
 
     def run(batches):
         for batch in batches:
-            if spans:
-                out = [(n, np.packbits(h).tobytes(), sorted(set(found))) for n, h, found in scan(batch["__cs_text"], shared.value)]
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.string()))
-            else:
-                out = [_summary(n, int(h.sum()), found) for n, h, found in scan(batch["__cs_text"], shared.value)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            own = [batch[c] for c in keep]
-            names = schema_names[len(keep) :]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(own + columns, names=keep + names)
+            for at, data, offsets in text_blocks(batch["text"]):
+                words = Words(lower_ascii(data), offsets, NON_WORD)
+                size = np.minimum(words.counts, WINDOW)
+                for n in np.unique(size[size > 0]).tolist():
+                    start, mark, hashes = _marks(words, n)
+                    doc = words.doc[start]
+                    mine = size[doc] == n
+                    out = [pa.array(np.full(int(mine.sum()), n, np.int32)), *[pa.array(x[mine].view(np.int64)) for x in (mark, hashes)], batch["item"].take(pa.array(at + doc[mine]))]
+                    yield pa.RecordBatch.from_arrays(out, names=["n", "mark", "hash", "item"])
+
+    return _items(benchmark).mapInArrow(run, "n int, mark long, hash long, item string").distinct()
+
+
+def _doc_marks(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(row, n, mark): the distinct fingerprints of each document."""
+
+    def run(batches):
+        for batch in batches:
+            for at, data, offsets in text_blocks(batch["text"]):
+                words = Words(lower_ascii(data), offsets, NON_WORD)
+                for n in lengths:
+                    start, mark, _ = _marks(words, n) if len(words) >= n else (np.zeros(0, np.int64), np.zeros(0, np.uint64), None)
+                    doc, mark, _ = distinct_hashes(words.doc[start], mark)
+                    yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(at + doc)), pa.array(np.full(len(doc), n, np.int32)), pa.array(mark.view(np.int64))], names=["row", "n", "mark"])
 
-    schema_names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return rows.mapInArrow(run, schema)
+    return rows.select("row", "text").mapInArrow(run, "row binary, n int, mark long")
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
+def _doc_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(row, n, hash, start) of the windows whose fingerprint is among the row's `marks`."""
+
+    def run(batches):
+        for batch in batches:
+            asked = batch["marks"].to_pylist()
+            for at, data, offsets in text_blocks(batch["text"]):
+                words = Words(lower_ascii(data), offsets, NON_WORD)
+                for n in lengths:
+                    if len(words) < n:
+                        continue
+                    start, mark, hashes = _marks(words, n)
+                    edges = np.searchsorted(start, words.doc_start)
+                    for i in range(len(offsets) - 1):
+                        a, b = edges[i], edges[i + 1]
+                        mine = np.flatnonzero(np.isin(mark[a:b].view(np.int64), [m["mark"] for m in asked[at + i] if m["n"] == n])) + a
+                        if len(mine):
+                            columns = [batch["row"].take(pa.array(np.full(len(mine), at + i))), pa.array(np.full(len(mine), n, np.int32)), pa.array(hashes[mine].view(np.int64)), pa.array(start[mine] - words.doc_start[i])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "hash", "start"])
+
+    return rows.select("row", "text", "marks").mapInArrow(run, "row binary, n int, hash long, start long")
+
+
+def _joined_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As contaminated_words(), for a benchmark of any size: fingerprints and then windows are joined by shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    rows = written(rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "rows")
+    items = written(_item_windows(benchmark), "item_windows")
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    marks = _doc_marks(rows, lengths).join(items.select("n", "mark").distinct(), ["n", "mark"], "left_semi")
+    asked = rows.join(marks.groupBy("row").agg(F.collect_list(F.struct("n", "mark")).alias("marks")), "row")
+    found = written(_doc_windows(asked, lengths), "windows")
+    hits = found.join(items.select("n", "hash").distinct(), ["n", "hash"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("n", "start")).alias("hits"))
+    names = found.select("row", "n", "hash").distinct().join(items.select("n", "hash", "item").distinct(), ["n", "hash"]).select("row", "item").distinct().groupBy("row").agg(F.collect_list("item").alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            out, hits, items = [], batch["hits"].to_pylist(), batch["items"].to_pylist()
+            for at, data, offsets in text_blocks(batch["text"]):
+                for i, n in enumerate(Words(lower_ascii(data), offsets, NON_WORD).counts.tolist(), at):
+                    gone = np.zeros(n, bool)
+                    for x in hits[i] or []:
+                        gone[x["start"] : x["start"] + x["n"]] = True
+                    out.append(_summary(n, int(gone.sum()), items[i] or []))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), _KINDS)] if out else [pa.array([], k) for k in _KINDS]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["copies"], *columns], names=["row", "doc_id", "copies", *[x.split()[0] for x in _OUT.split(", ")]])
+
+    whole = rows.join(hits, "row", "left").join(names, "row", "left").select("row", "doc_id", "copies", "text", "hits", "items")
+    return whole.mapInArrow(run, f"row binary, doc_id long, copies long, {_OUT}")
+
+
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of `docs`.
 
-    A benchmark of one block needs no shuffle at all. A larger one passes over the documents
-    once for each block; the blocks' hit words and items are then merged by row.
+    A benchmark of up to `broadcast_bytes` goes to every task and needs no shuffle; a larger one is joined.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__cs_text"))
-    blocks = _blocks(benchmark, block_bytes)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _scan_rows(rows, ItemWindows(first), ["doc_id"], False, f"doc_id long, {_OUT}")
-    keyed = rows.groupBy("doc_id", "__cs_text").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_key", F.sha2(F.coalesce("__cs_text", F.lit("")), 256))
-    schema = "doc_id long, _key string, _copies long, n_words long, _hit binary, _items array<string>"
-    parts = None
-    for block in (b for some in ([first, second], blocks) for b in some):
-        part = _scan_rows(keyed, ItemWindows(block), ["doc_id", "_key", "_copies"], True, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("doc_id", "_key", "_copies").agg(F.max("n_words").alias("n_words"), F.collect_list("_hit").alias("_hits"), F.collect_list("_items").alias("_items"))
-
-    def merge(batches):
+    small_batches(docs.sparkSession)
+    shared = _broadcast(benchmark, broadcast_bytes)
+    if shared is None:
+        found = _joined_words(docs, benchmark)
+        return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies", "row")
+
+    def run(batches):
         for batch in batches:
-            out = []
-            for n, hits, items in zip(batch["n_words"].to_pylist(), batch["_hits"].to_pylist(), batch["_items"].to_pylist()):
-                bits = np.zeros((n + 7) // 8, np.uint8)
-                for x in hits:
-                    bits |= np.frombuffer(x, np.uint8)
-                out.append(_summary(n, int(np.unpackbits(bits).sum()), [i for some in items for i in some]))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["_copies"], *columns], names=["doc_id", "_copies", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    out = merged.mapInArrow(merge, f"doc_id long, _copies long, {_OUT}")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copy", "_copies")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` that aren't contaminated, with all their columns and without a shuffle of the texts."""
-    columns = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__cs_text"))
-    blocks = _blocks(benchmark, BLOCK_BYTES)
-    first = next(blocks)
-    if next(blocks, None) is None:
-        shared = rows.sparkSession.sparkContext.broadcast(ItemWindows(first))
-
-        def run(batches):
-            for batch in batches:
-                keep = pa.array([not _summary(n, int(h.sum()), [])[4] for n, h, _ in scan(batch["__cs_text"], shared.value)], pa.bool_())
-                yield batch.filter(keep).select(columns)
-
-        return rows.mapInArrow(run, docs.schema)
-    bad = contaminated_words(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+            out = [_summary(n, int(h.sum()), found) for n, h, found in scan(batch["text"], shared.value)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), _KINDS)] if out else [pa.array([], k) for k in _KINDS]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *[x.split()[0] for x in _OUT.split(", ")]])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, {_OUT}")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of `docs` that aren't contaminated, with all their columns; only the texts go to the workers, and a mask comes back."""
+    small_batches(docs.sparkSession)
+    shared = _broadcast(benchmark, broadcast_bytes)
+    if shared is not None:
+
+        @F.arrow_udf("boolean")
+        def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for some in texts:
+                yield pa.array([not _summary(n, int(h.sum()), [])[4] for n, h, _ in scan(some, shared.value)], pa.bool_())
+
+        return docs.filter(clean(docs["text"].cast("string")))
+    gone = fresh(docs.columns, "gone")
+    bad = _joined_words(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("row").alias(gone))
+    own = row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, own == F.col(gone), "left_anti")

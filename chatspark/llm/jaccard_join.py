@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chatspark.llm.components import components
 from chatspark.llm.seqhash import WHITE, Words, grams, lower_ascii, mix, text_blocks
-from chatspark.llm.stage import distinct_texts, drop_written, keyed_rows, written, written_by_key
+from chatspark.llm.stage import distinct_texts, drop_written, fresh, keyed_rows, row_key, written, written_by_key
 
 #: The rarity sketch has a counter for each so many bytes of text, but at most MAX_SKETCH, a byte each when broadcast.
 SKETCH_BYTES = 48
@@ -42,8 +42,8 @@ SLICE = 1 << 16
 HOT = 64
 #: Classes in a block of a cluster.
 BLOCK = 1024
-#: Dropped ids up to this many (32 MB) are broadcast against the documents; more are joined by shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Keys of dropped rows up to this many (32 MB) are broadcast against the documents; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 _LEAST = -(1 << 63)
 _SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -387,8 +387,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that have the smallest doc_id of their component (of texts that share it, the first by key), with all their columns."""
     found = _labelled(docs.select("doc_id", "text"), k, percent)
-    gone = written(found.filter("not first").select(F.xxhash64("doc_id", "key").alias("__gone")).distinct(), "gone")
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    row = F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)))
-    return docs.join(gone, row == F.col("__gone"), "left_anti")
+    gone = fresh(docs.columns, "gone")
+    dropped = written(found.filter("not first").select(row_key(F.col("doc_id"), F.lower(F.hex("key"))).alias(gone)).distinct(), "gone")
+    if dropped.count() <= MAX_BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    own = row_key(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    return docs.join(dropped, own == F.col(gone), "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatspark.llm.seqhash import lower_ascii, text_blocks
-from chatspark.llm.stage import written
+from chatspark.llm.stage import fresh, row_key, written
 
 TRAIN_ROWS = 8_000
 SLOTS = 1 << 15
@@ -34,6 +34,8 @@ MIN_LETTERS = 0.4
 #: Weight of a trigram's log likelihood (trigrams overlap and aren't independent) and of each level's parent.
 TEMPER = 0.15
 PSEUDO = 20.0
+#: Keys of rejected rows up to this many (32 MB) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -186,11 +188,11 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     names, logs = document_model(docs)
     if not names:
         return docs.filter("false")
-    row = lambda c: F.xxhash64(*[x for y in c[:3] for x in (y, y.isNull())], F.unhex(F.sha2(F.coalesce(c[3], F.lit("")), 256)))
-    evidence = evidence.withColumn("row", row([F.col(c) for c in ("doc_id", "declared", "host", "text")]))
+    evidence = evidence.withColumn("row", row_key(*[F.col(c) for c in ("doc_id", "declared", "host", "text")]))
     found = fuse(written(_likelihoods(evidence, names, logs), "likelihoods"), names)
-    gone = written(found.filter("not accepted").select(F.col("row").alias("__gone")).distinct(), "gone")
-    if gone.count() <= 2_000_000:
-        gone = F.broadcast(gone)
-    own = row([docs["doc_id"].cast("long"), *[docs[c].cast("string") for c in ("lang", "source", "text")]])
-    return docs.join(gone, own == F.col("__gone"), "left_anti")
+    gone = fresh(docs.columns, "gone")
+    rejected = written(found.filter("not accepted").select(F.col("row").alias(gone)).distinct(), "gone")
+    if rejected.count() <= MAX_BROADCAST_ROWS:
+        rejected = F.broadcast(rejected)
+    own = row_key(docs["doc_id"].cast("long"), docs["lang"], docs["source"], docs["text"])
+    return docs.join(rejected, own == F.col(gone), "left_anti")

@@ -175,8 +175,7 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFr
         task, ranks = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
             rows = []
-            texts = (text.as_py() for text in batch["text"])
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.encode_all(texts)):
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 ids = np.concatenate([found, end])
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]

@@ -166,3 +166,13 @@ def inside(offsets: np.ndarray, k: int) -> np.ndarray:
     np.add.at(edge, offsets[:-1][full], 1)
     np.add.at(edge, offsets[1:][full] - k + 1, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def distinct_hashes(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, hash) and whether each occurs more than once."""
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], hashes[at], np.diff(np.append(at, len(doc))) > 1

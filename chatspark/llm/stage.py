@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch that a task exchanges with its Python worker, whatever the length of the texts.
+BATCH_BYTES = 8 << 20
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and Spark is one local process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="chatspark-"))
         base = _own_dir[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, so that long texts need no more memory of a worker than short ones."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of `columns` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*columns: Column) -> Column:
+    """128 bits that tell rows with different values apart; a null is a value of its own."""
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.md5(c.cast("string").cast("binary")), F.lit("-")) for c in columns])))
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession):
     """Shuffle files of the jobs inside go as soon as each job has written its table."""
@@ -38,6 +63,7 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
+    small_batches(spark)
     with shuffle_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,14 +72,18 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 def written_by_key(df: DataFrame, key: str, label: str = "table") -> DataFrame:
     """As written(), bucketed by `key`, so that later joins on it don't shuffle this side.
 
-    A `df` that is already dealt by `key` isn't dealt again.
+    A `df` that is already dealt by `key` isn't dealt again. The catalog entry that bucketing needs goes at once;
+    what is returned reads the files.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     with shuffle_cleanup(spark):
         df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{label}").bucketBy(n, key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:

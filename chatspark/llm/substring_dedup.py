@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatspark.llm.repeats import by_document, minimizers, shared_hashes
-from chatspark.llm.seqhash import WHITE, Words, covered, grams, sliding_min, text_blocks, valid_starts
+from chatspark.llm.seqhash import WHITE, Words, covered, distinct_hashes, grams, sliding_min, text_blocks, valid_starts
 from chatspark.llm.stage import distinct_texts, keyed_rows, written
 
 WINDOW = 13
@@ -40,19 +40,9 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seeds, least, chosen
 
 
-def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, hash) and whether each occurs more than once."""
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], hashes[at], np.diff(np.append(at, len(doc))) > 1
-
-
 def hash_batch(ids: np.ndarray, doc: np.ndarray, hashes: np.ndarray, copied: np.ndarray | None = None) -> pa.RecordBatch:
     """Distinct hashes of each document; `often` where a document repeats one or is itself copied."""
-    doc, hashes, often = _distinct(doc, hashes)
+    doc, hashes, often = distinct_hashes(doc, hashes)
     if copied is not None:
         often = often | copied[doc]
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[doc]), pa.array(often)], names=["hash", "doc", "often"])

@@ -112,16 +112,16 @@ def test_suffix_large_groups(docs, rows):
 ITEMS = [(1, None), (2, ""), (3, "w1 w2"), (10, "One, two!"), (11, "é ñ ß")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, docs, rows, block):
-    """A small block limit makes several passes whose results are merged."""
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination(spark, docs, rows, limit):
+    """Broadcast, and joined by shuffle."""
     long = rows[30][1] or ""
     items = [*ITEMS, (20, " ".join(long.split()[3:20])), (21, " ".join(long.split()[5:30]).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = brute.contamination(rows, items)
-    assert got(contaminated_words(docs, bench, block), columns) == want
-    clean = clean_documents(docs, bench)
+    assert got(contaminated_words(docs, bench, limit), columns) == want
+    clean = clean_documents(docs, bench, limit)
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in want if not r[5])
 
@@ -178,6 +178,22 @@ def test_text_special_tokens():
         assert encoder.encode(t).tolist() == tokens(t, 0)[:-1]
 
 
+def test_ids_of_all_scripts():
+    """Random texts of every script, as the tokenizer itself cuts them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from chatspark.llm.tokens import ChunkEncoder
+
+    rng = random.Random(2)
+    blocks = [(0, 128), (0, 0x250), (0x250, 0x600), (0x600, 0xE00), (0xE00, 0x2000), (0x2000, 0x3100), (0xF900, 0x10000), (0xFB1D, 0xFB50), (0x10000, 0x12000), (0x1D100, 0x1D200)]
+    fixed = ["'s", "'T", "<|endoftext|>", "\u09b9\u09df,", "\u0938\u095d.", "\ufb2a.", "İ", "ΑΣ", " ", "\n", "\x0b", "\x85", "\xa0", "word,", "Ünï.", "µ", "ª", "÷×"]
+    char = lambda a, b: chr(c) if not 0xD800 <= (c := rng.randrange(a, b)) < 0xE000 else "x"
+    texts = ["".join(rng.choice(fixed) if rng.random() < 0.4 else "".join(char(*pair) for pair in [rng.choice(blocks)] * rng.randrange(1, 6)) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)] + [None]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in ChunkEncoder(tokenizer_path()).encode_all(pa.array(texts))] == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 5), (7, 7)]
