@@ -5,16 +5,20 @@ MIN_PAGES different pages has a reference, the first of its pages (smallest page
 rarer layouts, and of layouts whose pages are all cut off, take that of the host's commonest layout. Every page's tree is
 aligned with its reference by simple tree matching: the largest set of matched node pairs that keeps parents and the
 order of children. Over a host's different pages, a matched block whose text stays the same is template, one whose text
-varies is a content slot. Blocks of template go, as do menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments by their markup; the article's other blocks are the text.
-
-A block is template where at least MIN_PAGES different pages of the host have it and SHARE of those that have
-the node agree; or SHARE of those that have blocks of its tag path, so blocks that no reference has are judged too.
-Equal pages count once, so a much copied article is not taken for a template.
-
-Null or empty html gives an empty text. Pages without a host (null or odd url) have one common, empty host.
-Markup may be cut off anywhere: open elements end there, and a cut tag is dropped. Repeated rows give repeated
-results. Very long pages are parsed whole. An empty table gives an empty result; other columns are ignored.
+varies is a slot. A block is template where at least MIN_PAGES different pages of the host have it and SHARE of those
+that have the node agree; or SHARE of those that have blocks of its tag path, so blocks that no reference has are judged too.
+
+Of the slots, the main one is the lowest tag path that holds MAIN_SHARE of the varying text of all the host's pages;
+what lies outside (menus, adverts, footers, comments whose text varies) isn't content. Where the markup has an article
+element, it settles which of several nested or rival slots is the main one. Inside, elements that HTML itself gives
+another role (navigation, asides, forms, scripts) go, and so do slots that the markup names as adverts, notices or
+comments, but only where the slot recurs on the host's pages: a name on a page or two is the article's own.
+
+Equal pages count once, so a much copied article is not taken for a template. A host of few pages has no template, and
+its main slot is judged by those pages alone. Null or empty html gives an empty text. Pages without a host (null or odd
+url) have one common, empty host. Markup may be cut off anywhere: open elements end there, and a cut tag is dropped.
+Depth and number of elements are not bounded. Repeated rows give repeated results. Very long pages are parsed whole. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,12 @@ MIN_PAGES = 5
 SHARE = 0.8
 #: Reference pages up to this size in all are broadcast; more are joined by shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
-#: Children of one node up to which the alignment compares pair by pair; beyond, kind by kind in bounded memory.
-ALIGN_CHILDREN = 64
+MAX_BROADCAST_HOSTS = 500_000
+#: Share of a host's varying text that its main slot holds, and share of its pages on which a named slot recurs.
+MAIN_SHARE = 0.6
+NAMED_SHARE = 0.2
+#: Shapes and pairs that a reference's matcher keeps.
+MAX_SOLVED = 200_000
 #: Cells of an alignment table that are held at a time; larger ones are halved (Hirschberg).
 ALIGN_CELLS = 1 << 22
 
@@ -46,23 +54,22 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - {"html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog form menu menubar".split())
-NOISE = frozenset(
-    """ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist
-    consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay
-    pagination popup promo promotion recommended related share sharing sidebar social sponsor sponsored subscribe
-    subscription toolbar topbar widget""".split()
-)
+#: Words by which markup names menus, notices, adverts and comments within an article.
+NAMED = frozenset("ad ads advert adverts advertisement banner comments cookie disqus menu nav newsletter notice promo related share sharing sidebar social sponsored subscribe".split())
+#: Flags of tag paths.
+ARTICLE, TITLE, NAMES, HOLDS = 1, 2, 4, 8
 _NAME = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 _CUT = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "inside")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 class _Tree(HTMLParser):
@@ -113,61 +120,44 @@ def parse(html: str) -> Node:
 
 
 def is_noise(node: Node) -> bool:
+    """Whether the element's own name or role says that it isn't text of an article."""
     if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("role", "").lower() in ROLES or node.attrs.get("aria-hidden") == "true":
         return True
-    if node.tag == "header":
-        return not _within(node, ("article", "main"))
-    if node.tag in ("html", "body", "main"):
-        return False
-    names = set(_NAME.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
-    return not names.isdisjoint(NOISE)
-
+    return node.tag == "header" and not node.inside
 
-def _within(node: Node, tags) -> bool:
-    while node := node.parent:
-        if node.tag in tags:
-            return True
-    return False
-
-
-def content_roots(root: Node) -> tuple[list[Node], bool]:
-    """The outermost articles that aren't noise, else main, else all; and whether the markup names them."""
-
-    def outermost(node, want):
-        out = []
-        for child in node.children:
-            if isinstance(child, Node) and not is_noise(child):
-                out += [child] if want(child) else outermost(child, want)
-        return out
-
-    for want in (lambda n: n.tag == "article" or n.attrs.get("role") == "article", lambda n: n.tag == "main" or n.attrs.get("role") == "main"):
-        if found := outermost(root, want):
-            return found, True
-    return [root], False
 
+def elements(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node)]
 
-def blocks(roots: list[Node], known: dict[int, int]) -> list[tuple[int, str, str]]:
-    """(reference node or -1, tag path, text) of each block in page order; `known` maps id(node) to the reference's node."""
-    out: list[tuple[int, str, str]] = []
-    paths: dict[int, str] = {}
 
-    def path(node):
-        up = []
-        while node is not None and id(node) not in paths:
-            up.append(node)
-            node = node.parent
-        for node in reversed(up):
-            paths[id(node)] = hashlib.md5(f"{paths[id(node.parent)] if node.parent else ''}>{node.tag}.{_DIGITS.sub('', node.attrs.get('class', ''))}".encode(errors="replace")).hexdigest()
-        return paths[id(up[0] if up else node)]
-    inline: list[str] = []
-
-    def end(node):
-        if inline:
-            if text := " ".join("".join(inline).split()):
-                out.append((known.get(id(node), -1), path(node), text))
-            inline.clear()
-
-    for root in roots:
+def _post_order(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += elements(node)
+    return out[::-1]
+
+
+class Page:
+    """A parsed page: its blocks in page order and the tree of its tag paths."""
+
+    def __init__(self, root: Node):
+        #: path of an element by id(): its ancestors' names and classes without digits, as a hash
+        self.paths: dict[int, int] = {}
+        #: path: (path of the parent, depth, flags)
+        self.tree: dict[int, tuple[int | None, int, int]] = {}
+        #: (element of the block, text)
+        self.blocks: list[tuple[Node, str]] = []
+        inline: list[str] = []
+
+        def end(node):
+            if inline:
+                if text := " ".join("".join(inline).split()):
+                    self.blocks.append((_block(node), text))
+                inline.clear()
+
+        self._place(root, None)
         stack: list[tuple[Node, int]] = [(root, 0)]
         while stack:
             node, i = stack.pop()
@@ -179,13 +169,26 @@ def blocks(roots: list[Node], known: dict[int, int]) -> list[tuple[int, str, str
                 elif child.tag == "br":
                     inline.append(" ")
                 elif not is_noise(child):
+                    self._place(child, node)
                     if child.tag in BLOCKS:
-                        end(_block(node))
+                        end(node)
                     stack.append((child, 0))
             elif node.tag in BLOCKS:
                 end(node)
         end(root)
-    return out
+
+    def _place(self, node: Node, parent: Node | None) -> None:
+        up = self.paths[id(parent)] if parent else None
+        names = _DIGITS.sub("", node.attrs.get("class", ""))
+        path = self.paths[id(node)] = _number("path", up, node.tag, names)
+        if path not in self.tree:
+            flags = ARTICLE * (node.tag in ("article", "main") or node.attrs.get("role") in ("article", "main")) | TITLE * (node.tag == "h1")
+            if node.tag in BLOCKS and not NAMED.isdisjoint(_NAME.findall(f"{names} {node.attrs.get('id', '')}".lower())):
+                flags |= NAMES
+            self.tree[path] = (up, self.tree[up][1] + 1 if up is not None else 0, flags)
+        if node.tag in BLOCKS and parent and (parent.tag in BLOCKS or parent.parent is None):
+            over, depth, flags = self.tree[up]
+            self.tree[up] = (over, depth, flags | HOLDS)
 
 
 def _block(node: Node) -> Node:
@@ -194,10 +197,6 @@ def _block(node: Node) -> Node:
     return node
 
 
-def elements(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node)]
-
-
 def number(root: Node) -> dict[int, int]:
     """Numbers of the nodes of a reference, in page order, by id(node)."""
     out, stack = {}, [root]
@@ -208,105 +207,125 @@ def number(root: Node) -> dict[int, int]:
     return out
 
 
-def same_kind(a: Node, b: Node) -> bool:
-    return a.tag == b.tag and a.attrs.get("class") == b.attrs.get("class")
-
-
-def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest matching of two trees of one kind, and its pairs."""
-    xs, ys = elements(a), elements(b)
-    if not xs or not ys:
-        return 1, [(a, b)]
-    if len(xs) > ALIGN_CHILDREN or len(ys) > ALIGN_CHILDREN:
-        return _align_many(a, b, xs, ys)
-    scores: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        row, before = best[i + 1], best[i]
-        for j, y in enumerate(ys):
-            row[j + 1] = max(row[j], before[j + 1])
-            if same_kind(x, y):
-                if (x.children and y.children) and (elements(x) or elements(y)):
-                    scores[i, j] = align(x, y)
-                else:
-                    scores[i, j] = (1, [(x, y)])
-                row[j + 1] = max(row[j + 1], before[j] + scores[i, j][0])
-    pairs, i, j = [(a, b)], len(xs), len(ys)
-    while i and j:
-        if (i - 1, j - 1) in scores and best[i][j] == best[i - 1][j - 1] + scores[i - 1, j - 1][0]:
-            pairs += scores[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
-
-
-def _shape(node: Node, shapes: dict) -> int:
-    """Number of the node's kind and those of all below it; equal numbers align equally."""
-    return shapes.setdefault((node.tag, node.attrs.get("class"), tuple(_shape(c, shapes) for c in elements(node)), bool(node.children)), len(shapes))
-
-
-def _align_many(a, b, xs, ys):
-    """`align` for many children: sizes by pair of shapes, the best order-keeping pairs by rows of a table of at most ALIGN_CELLS."""
-    shapes: dict = {}
-    left, right = [_shape(x, shapes) for x in xs], [_shape(y, shapes) for y in ys]
-    kinds, column = np.unique(right, return_inverse=True)
-    some_y = {s: y for s, y in zip(right, ys)}
-    sizes: dict[int, np.ndarray] = {}
-    for s, x in zip(left, xs):
-        if s not in sizes:
-            sizes[s] = np.array([align(x, some_y[k])[0] if same_kind(x, some_y[k]) else 0 for k in kinds.tolist()], np.int64)
-
-    def rows(xi, yi):
-        """The last row and, if it fits, the whole table of the best sizes."""
-        last = np.zeros(len(yi) + 1, np.int64)
+class Matcher:
+    """Simple tree matching: the largest set of matched node pairs that keeps parents and the order of children.
+
+    What two trees match in depends on their shapes alone, so pairs of shapes are solved once, the deepest first.
+    """
+
+    def __init__(self):
+        self.shapes: dict[tuple, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.kind: list[int] = []  # by shape
+        self.kids: list[tuple[int, ...]] = []  # by shape
+        self.depth: list[int] = []  # by shape
+        self.solved: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def shape(self, root: Node) -> dict[int, int]:
+        """Shapes of all nodes by id()."""
+        out: dict[int, int] = {}
+        for node in _post_order(root):
+            kids = tuple(out[id(c)] for c in elements(node))
+            kind = self.kinds.setdefault((node.tag, node.attrs.get("class")), len(self.kinds))
+            out[id(node)] = n = self.shapes.setdefault((kind, kids), len(self.shapes))
+            if n == len(self.kind):
+                self.kind.append(kind)
+                self.kids.append(kids)
+                self.depth.append(1 + max((self.depth[k] for k in kids), default=0))
+        return out
+
+    def _size(self, x: int, y: int) -> int:
+        """Size of the matching of two shapes whose children are solved; 0 for two kinds."""
+        if self.kind[x] != self.kind[y]:
+            return 0
+        return self.solved[x, y][0] if self.kids[x] and self.kids[y] else 1
+
+    def solve(self, x: int, y: int) -> None:
+        wanted, stack = set(), [(x, y)]
+        while stack:
+            pair = stack.pop()
+            if pair in wanted or pair in self.solved or self.kind[pair[0]] != self.kind[pair[1]] or not (self.kids[pair[0]] and self.kids[pair[1]]):
+                continue
+            wanted.add(pair)
+            stack += [(a, b) for a in set(self.kids[pair[0]]) for b in set(self.kids[pair[1]])]
+        for a, b in sorted(wanted, key=lambda p: self.depth[p[0]]):
+            pairs = in_order(self.kids[a], self.kids[b], self._size)
+            self.solved[a, b] = (1 + sum(self._size(self.kids[a][i], self.kids[b][j]) for i, j in pairs), pairs)
+
+    def align(self, a: Node, b: Node, right: dict[int, int] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+        """The size of the largest matching of two trees, and its pairs; `right`: the shapes of b, if known."""
+        left, right = self.shape(a), right or self.shape(b)
+        self.solve(left[id(a)], right[id(b)])
+        size = self._size(left[id(a)], right[id(b)])
+        out, stack = [], [(a, b)] if size else []
+        while stack:
+            x, y = stack.pop()
+            out.append((x, y))
+            if self.kids[left[id(x)]] and self.kids[right[id(y)]]:
+                xs, ys = elements(x), elements(y)
+                stack += [(xs[i], ys[j]) for i, j in self.solved[left[id(x)], right[id(y)]][1]]
+        return size, out
+
+
+def in_order(xs, ys, size) -> list[tuple[int, int]]:
+    """Pairs (i, j), rising in both, with the largest sum of size(xs[i], ys[j]); 0 is no pair.
+
+    The table has ALIGN_CELLS cells at most at a time; a larger one is halved (Hirschberg).
+    """
+    kinds, column = np.unique(np.asarray(ys), return_inverse=True)
+    sizes = {x: np.array([size(x, k) for k in kinds.tolist()], np.int64)[column] for x in set(xs)}
+
+    def rows(xi, low, high, step):
+        last = np.zeros(high - low + 1, np.int64)
         yield last
         for i in xi:
             gain = last.copy()
-            gain[1:] = np.maximum(last[1:], last[:-1] + sizes[left[i]][column[yi]])
+            gain[1:] = np.maximum(last[1:], last[:-1] + sizes[xs[i]][low:high][::step])
             last = np.maximum.accumulate(gain)
             yield last
 
-    def best(xi, yi):
-        if not len(xi) or not len(yi):
+    def best(first, end, low, high):
+        if first == end or low == high:
             return []
-        if (len(xi) + 1) * (len(yi) + 1) > ALIGN_CELLS and len(xi) > 1:
-            half = len(xi) // 2
-            for head in rows(xi[:half], yi):
+        if (end - first + 1) * (high - low + 1) > ALIGN_CELLS and end - first > 1:
+            half = (first + end) // 2
+            for head in rows(range(first, half), low, high, 1):
                 pass
-            for tail in rows(xi[:half - 1:-1], yi[::-1]):
+            for tail in rows(range(end - 1, half - 1, -1), low, high, -1):
                 pass
-            cut = int(np.argmax(head + tail[::-1]))
-            return best(xi[:half], yi[:cut]) + best(xi[half:], yi[cut:])
-        table = np.array(list(rows(xi, yi)))
-        found, i, j = [], len(xi), len(yi)
+            cut = low + int(np.argmax(head + tail[::-1]))
+            return best(first, half, low, cut) + best(half, end, cut, high)
+        table = np.array(list(rows(range(first, end), low, high, 1)))
+        found, i, j = [], end - first, high - low
         while i and j:
-            gain = sizes[left[xi[i - 1]]][column[yi[j - 1]]]
+            gain = int(sizes[xs[first + i - 1]][low + j - 1])
             if gain and table[i, j] == table[i - 1, j - 1] + gain:
                 i, j = i - 1, j - 1
-                found.append((xi[i], yi[j]))
+                found.append((first + i, low + j))
             elif table[i, j] == table[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
         return found[::-1]
 
-    size, pairs = 1, [(a, b)]
-    for i, j in best(np.arange(len(xs)), np.arange(len(ys))):
-        n, some = align(xs[i], ys[j])
-        size, pairs = size + n, pairs + some
-    return size, pairs
+    return best(0, len(xs), 0, len(ys))
+
+
+class Reference:
+    """A reference page, to align pages with; its matcher keeps what it has solved."""
 
+    def __init__(self, html: str):
+        self.root = parse(html)
+        self.numbers = number(self.root)
+        self.matcher = Matcher()
+        self.shapes = self.matcher.shape(self.root)
 
-def page_blocks(html: str, reference: tuple[Node, dict[int, int]] | None) -> list[tuple[int, str, str]]:
-    root = parse(html)
-    known: dict[int, int] = {}
-    if reference is not None:
-        numbers = reference[1]
-        known = {id(x): numbers[id(y)] for x, y in align(root, reference[0])[1]}
-    return blocks(content_roots(root)[0], known)
+    def nodes(self, root: Node) -> dict[int, int]:
+        """The reference's node of each matched node of a page, by id()."""
+        if len(self.matcher.shapes) + len(self.matcher.solved) > MAX_SOLVED:
+            self.matcher = Matcher()
+            self.shapes = self.matcher.shape(self.root)
+        return {id(x): self.numbers[id(y)] for x, y in self.matcher.align(root, self.root, self.shapes)[1]}
 
 
 def _number(*parts) -> int:
@@ -337,28 +356,112 @@ def _references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chosen.select("host", "layout", "chosen"), written(found, "references")
 
 
+_BLOCKS = "array<struct<node:long,path:long,hash:long,text:string>>"
+_TREE = "array<struct<path:long,parent:long,depth:int,flags:int>>"
+_BLOCK_KIND = pa.list_(pa.struct([("node", pa.int64()), ("path", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
+_TREE_KIND = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("flags", pa.int32())]))
+
+
 def _aligned(rows: DataFrame) -> DataFrame:
-    """page_id, url, host, digest of the page, and its blocks with the keys of their reference nodes and paths."""
-    schema = "page_id long, url string, host string, digest long, blocks array<struct<node:long,path:long,hash:long,text:string>>"
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("path", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
+    """page_id, url, host, digest of the page, its blocks with the keys of their reference nodes and paths, and its tree of paths."""
 
     def run(batches):
-        cache: dict[tuple, tuple[Node, dict[int, int]]] = {}
+        cache: dict[tuple, Reference] = {}
         for batch in batches:
-            digests, out = [], []
+            digests, out, trees = [], [], []
             for host, chosen, html, reference in zip(*[batch[c].to_pylist() for c in ("host", "chosen", "html", "reference")]):
                 html = html or ""
                 digests.append(_number(html))
                 if (host, chosen) not in cache:
-                    if len(cache) > 256:
+                    if len(cache) >= 64:
                         cache.clear()
-                    root = parse(reference or "")
-                    cache[host, chosen] = (root, number(root))
-                found = page_blocks(html, cache[host, chosen])
-                out.append([{"node": _number("node", chosen, n) if n >= 0 else None, "path": _number("path", p), "hash": _number(t), "text": t} for n, p, t in found])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.int64()), pa.array(out, kind)], names=["page_id", "url", "host", "digest", "blocks"])
+                    cache[host, chosen] = Reference(reference or "")
+                root = parse(html)
+                page, known = Page(root), cache[host, chosen].nodes(root)
+                out.append([{"node": _number("node", chosen, known[id(n)]) if id(n) in known else None, "path": page.paths[id(n)], "hash": _number(t), "text": t} for n, t in page.blocks])
+                trees.append([{"path": p, "parent": up, "depth": depth, "flags": flags} for p, (up, depth, flags) in page.tree.items()])
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.int64()), pa.array(out, _BLOCK_KIND), pa.array(trees, _TREE_KIND)], names=["page_id", "url", "host", "digest", "blocks", "tree"])
+
+    return rows.select("page_id", "url", "host", "chosen", "html", "reference").mapInArrow(run, f"page_id long, url string, host string, digest long, blocks {_BLOCKS}, tree {_TREE}")
 
-    return rows.select("page_id", "url", "host", "chosen", "html", "reference").mapInArrow(run, schema)
+
+def _slots(judged: DataFrame) -> DataFrame:
+    """(host, digest, path, depth, flags, chars): the varying text below each path of each page."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for host, digest, tree, varying in zip(*[batch[c].to_pylist() for c in ("host", "digest", "tree", "varying")]):
+                chars: dict[int, int] = {}
+                for x in varying:
+                    chars[x["path"]] = chars.get(x["path"], 0) + x["n"]
+                for x in sorted(tree, key=lambda x: -x["depth"]):
+                    n = chars.get(x["path"], 0)
+                    if x["parent"] is not None:
+                        chars[x["parent"]] = chars.get(x["parent"], 0) + n
+                    rows.append((host, digest, x["path"], x["depth"], x["flags"], n))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["host", "digest", "path", "depth", "flags", "chars"])
+
+    return judged.select("host", "digest", "tree", "varying").mapInArrow(run, "host string, digest long, path long, depth int, flags int, chars long")
+
+
+def _wrappers(judged: DataFrame) -> DataFrame:
+    """(host, main, named): the path of the host's main slot, and the named slots that recur on its pages.
+
+    The main slot is the lowest with blocks in it that holds MAIN_SHARE of the varying text of the host's different pages. An element
+    that the markup calls an article decides where several slots would do: one around the main slot, or else the
+    one with the most varying text.
+    """
+    once = _slots(judged).dropDuplicates(["host", "digest", "path"])
+    paths = written(once.groupBy("host", "path").agg(F.min("depth").alias("depth"), F.bit_or("flags").alias("flags"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("pages")), "paths")
+    totals = paths.filter("depth = 0").groupBy("host").agg(F.sum("chars").alias("total"), F.max("pages").alias("every"))
+    marked = paths.join(F.broadcast(totals) if totals.count() <= MAX_BROADCAST_HOSTS else totals, "host")
+    flag = lambda f: F.col("flags").bitwiseAND(f) > 0
+    article, holds = flag(ARTICLE), F.col("chars") >= MAIN_SHARE * F.col("total")
+    names = flag(NAMES) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= NAMED_SHARE * F.col("every"))
+    by = F.struct("chars", -F.col("depth"), "path")
+    return marked.groupBy("host").agg(
+        F.coalesce(F.min_by("path", F.when(article & holds, F.struct("depth", "path"))), F.max_by("path", F.when(article & (F.col("chars") >= MAIN_SHARE / 2 * F.col("total")) & (F.col("chars") > 0), by)), F.max_by("path", F.when(holds & flag(HOLDS), F.struct("depth", "path")))).alias("main"),
+        F.collect_list(F.when(names, F.col("path"))).alias("named"),
+    )
+
+
+def _texts(judged: DataFrame) -> DataFrame:
+    """page_id, url, text: the varying blocks below the main slot, and a varying title before it."""
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for tree, varying, main, named in zip(*[batch[c].to_pylist() for c in ("tree", "varying", "main", "named")]):
+                up = {x["path"]: (x["parent"], x["flags"]) for x in tree}
+                gone, state = set(named or ()), {}
+
+                def below(path):
+                    """Whether the path is the main slot or in it, outside named slots."""
+                    walk = []
+                    while path is not None and path not in state:
+                        walk.append(path)
+                        if path == main:
+                            state[path] = True
+                            break
+                        if path in gone:
+                            state[path] = False
+                            break
+                        path = up[path][0]
+                    found = state[path] if path is not None else False
+                    for p in walk:
+                        state[p] = found
+                    return found
+
+                if main not in up:  # a page that lacks its host's slot keeps all that varies
+                    main = next((p for p, (parent, _) in up.items() if parent is None), None)
+                inside = [below(x["path"]) for x in varying]
+                start = inside.index(True) if True in inside else len(inside)
+                texts.append("\n".join(x["text"] for i, x in enumerate(varying) if inside[i] or i < start and up[x["path"]][1] & TITLE))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return judged.select("page_id", "url", "tree", "varying", "main", "named").mapInArrow(run, "page_id long, url string, text string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -380,7 +483,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     if small:
         template = F.broadcast(template)
     known = lambda b, c: F.coalesce(F.array_contains("template", F.struct(b[c].alias("key"), b["hash"].alias("hash"))), F.lit(False))
-    kept = F.filter("blocks", lambda b: ~known(b, "node") & ~known(b, "path"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = aligned.join(template, "host", "left").select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    varying = F.transform(F.filter("blocks", lambda b: ~known(b, "node") & ~known(b, "path")), lambda b: F.struct(b["path"].alias("path"), F.length(b["text"]).alias("n"), b["text"].alias("text")))
+    judged = aligned.join(template, "host", "left").select("page_id", "url", "host", "digest", "tree", varying.alias("varying"))
+    thin = judged.select("host", "digest", "tree", F.transform("varying", lambda b: F.struct(b["path"].alias("path"), b["n"].alias("n"))).alias("varying"))
+    wrappers = written(_wrappers(thin), "wrappers")
+    if small:
+        wrappers = F.broadcast(wrappers)
+    return _texts(judged.join(wrappers, "host", "left")).withColumn("n_chars", F.length("text").cast("long"))

@@ -255,27 +255,62 @@ def test_wrapper_judges_every_layout_and_cut_reference(spark):
     assert all(out.values()) and not [i for i, t in out.items() if "Follow" in t]
 
 
-def test_alignment_of_many_children(monkeypatch):
+def test_simple_tree_matching(monkeypatch):
+    """Sizes as of a recursive definition; pairs keep parents and order; tables in halves give the same."""
+
     def size(a, b):
+        if not wrapper_same_kind(a, b):
+            return 0
         xs, ys = wrapper.elements(a), wrapper.elements(b)
         best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, x in enumerate(xs):
             for j, y in enumerate(ys):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size(x, y) if wrapper.same_kind(x, y) else 0)
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size(x, y))
         return 1 + best[-1][-1]
 
+    def wrapper_same_kind(a, b):
+        return (a.tag, a.attrs.get("class")) == (b.tag, b.attrs.get("class"))
+
     rng = random.Random(4)
-    for cells in (1 << 22, 200):
+    kinds = ["<p>x</p>", "<div>x</div>", "<div><b>x</b><i>y</i></div>", "<div><i>y</i></div>", "<p class=k></p>", "<div><div><b>z</b></div><i>y</i><i>w</i></div>"]
+    for cells, counts in ((1 << 22, (0, 12)), (1 << 22, (65, 90)), (40, (20, 40))):
         monkeypatch.setattr(wrapper, "ALIGN_CELLS", cells)
-        for _ in range(4):
-            a, b = (wrapper.parse("".join(rng.choice(["<p>x</p>", "<div>x</div>", "<div><b>x</b><i>y</i></div>", "<div><i>y</i></div>", "<p class=k></p>"]) for _ in range(rng.randrange(65, 120)))) for _ in range(2))
-            n, pairs = wrapper.align(a, b)
+        for _ in range(6):
+            a, b = (wrapper.parse("".join(rng.choice(kinds) for _ in range(rng.randrange(*counts)))) for _ in range(2))
+            n, pairs = wrapper.Matcher().align(a, b)
             assert n == len(pairs) == size(a, b)
+            mate = {id(x): y for x, y in pairs}
+            assert all(x.parent is None or mate[id(x.parent)] is y.parent for x, y in pairs)
             place = [{id(c): i for i, c in enumerate(wrapper.elements(t))} for t in (a, b)]
-            top = [(place[0][id(x)], place[1][id(y)]) for x, y in pairs if id(x) in place[0]]
+            top = sorted((place[0][id(x)], place[1][id(y)]) for x, y in pairs if x.parent is a)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(top, top[1:]))
 
 
+def test_deep_and_broad_markup(spark):
+    """Nothing recurses: 20,000 open elements, and a page with 3,000 paragraphs."""
+    deep = ["<div>" * 20_000 + "deep words", "<b>" * 20_000 + "bold <p>words", "<ul><li>" * 5_000 + "item", "<article>" + "".join(f"<p>paragraph {i}" for i in range(3_000))]
+    pages = [(i, f"http://d{i}.org/", h) for i, h in enumerate(deep)]
+    out = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {0: "deep words", 1: "bold\nwords", 2: "item", 3: "\n".join(f"paragraph {i}" for i in range(3_000))}
+
+
+def test_slots_decide_without_names(spark):
+    """Pages without article or telling classes: constants and side slots go, the main slot stays whole with what names only look like boilerplate."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(words(rng, n, 10**6))
+    pages, want = [], {}
+    for n in range(30):
+        title, body, extra = prose(5), [prose(40) for _ in range(rng.randrange(2, 6))], prose(4)
+        odd = {7: f"<section id='menu'><p>{extra}</p></section>", 8: f"<div class='share-price'>{extra}</div>", 9: f"<p class='comment'>{extra}</p>"}.get(n, "")
+        side = "".join(f"<div>{prose(3)}</div>" for _ in range(rng.randrange(0, 3)))
+        notes = f"<div class='comments'><p>{prose(8)}</p></div>" if n % 2 else ""
+        html = f"<html><body><div class='xa'><a>Home</a> <a>{prose(2)}</a></div><div class='xb'>{side}</div><h1>{title}</h1><div class='xc'>" + "".join(f"<p>{p}</p>" for p in body) + odd + f"<p>Always the same</p>{notes}</div><div class='xd'>made by {prose(2)}</div></body></html>"
+        pages.append((n, f"http://plain.org/{n}", html))
+        want[n] = "\n".join([title, *body, *([extra] if odd else [])])
+    out = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == want
+
+
 def test_language(spark):
     from conftest import DATA
 
