@@ -1,9 +1,11 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass 1 adds every row's text hash to a counting Bloom filter and keeps the slots
-that were hit twice or more, packed into 64-bit words. Pass 2 tests each row against
-them: a row with a slot that was hit once is unique and passes straight through; only
-the others (repeats and a few false positives) shuffle and are grouped exactly.
+that were hit twice or more, packed into 64-bit words; what it exchanges are slot numbers, two of
+8 bytes for a row, combined by task. Pass 2 tests each row against the words: a row with a slot
+that was hit once is unique and passes straight through; only the others (repeats and a few false
+positives) shuffle and are grouped exactly, combined by task first, so that a group of a third of
+all rows doesn't meet in one task.
 
 Null text counts as empty; empty texts are equal to each other. Repeated rows with one
 doc_id and text form a group like any other, of which a single row stays. An empty table
@@ -13,18 +15,21 @@ and kept by `exact_dedup`.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatspark.llm.stage import written
+from chatspark.llm.stage import fresh, written
 
 SLOTS_PER_ROW = 16
-#: Bound of the filter: PROBES * MAX_SLOTS / 64 words, two million, can be broadcast at any input size.
-#: On inputs past it more unique rows test as possible repeats and shuffle; the result stays exact.
+#: Slots of one filter for each probe: PROBES * MAX_SLOTS / 64 words, two million, can be broadcast. More rows than
+#: MAX_SLOTS / SLOTS_PER_ROW (four million) are parted by ranges of their hash, each with a filter of its own.
 MAX_SLOTS = 1 << 26
 PROBES = 2
+#: Groups of possible repeats up to this many (about 100 MB) are broadcast to their rows; more are joined by shuffle.
+MAX_BROADCAST_GROUPS = 1_000_000
 
 
 def _slot(probe: int, slots: int) -> Column:
@@ -50,11 +55,25 @@ def with_maybe_repeated(rows: DataFrame, words: DataFrame, slots: int) -> DataFr
     return out.drop(*[f"_{c}{p}" for p in range(PROBES) for c in "swb"])
 
 
-def _filter(hashes: DataFrame) -> tuple[DataFrame, int]:
-    """The filter for a table of _h: its words and its slots for each probe."""
-    n = hashes.count()
-    slots = min(MAX_SLOTS, 1 << max(10, math.ceil(math.log2(max(1, n) * SLOTS_PER_ROW))))
-    return written(repeated_slots(hashes, slots), "bloom"), slots
+def _tested(thin: DataFrame) -> DataFrame:
+    """`thin`, a table of _h and other columns, with _maybe.
+
+    Beyond one filter's rows, the table is written in ranges of its hash, and each range gets its filter, so the share
+    of unique rows that test as possible repeats doesn't rise with the input: 10^10 rows make 2,400 ranges of four
+    million rows, each read once for its filter and once against it.
+    """
+    ranges = max(1, math.ceil(thin.count() * SLOTS_PER_ROW / MAX_SLOTS))
+    if ranges == 1:
+        return _tested_range(thin)
+    of = fresh(thin.columns, "range")
+    parted = written(thin.withColumn(of, F.pmod(F.xxhash64("_h", F.lit("range")), F.lit(ranges)).cast("int")), "ranges", of)
+    tested = [_tested_range(parted.filter(F.col(of) == i).drop(of)) for i in range(ranges)]
+    return functools.reduce(DataFrame.unionByName, tested)
+
+
+def _tested_range(thin: DataFrame) -> DataFrame:
+    slots = min(MAX_SLOTS, 1 << max(10, math.ceil(math.log2(max(1, thin.count()) * SLOTS_PER_ROW))))
+    return with_maybe_repeated(thin, written(repeated_slots(thin, slots), "bloom"), slots)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -65,11 +84,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row")).withColumn("_h", F.xxhash64("_sha")), "hashes")
-    words, slots = _filter(thin)
-    tested = with_maybe_repeated(thin, words, slots)
+    tested = _tested(thin)
     unique = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
-    maybe = tested.filter("_maybe")
-    groups = maybe.groupBy("_sha").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
+    maybe = tested.filter("_maybe").drop("_maybe")
+    groups = written(maybe.groupBy("_sha").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size")), "groups")
+    if groups.count() <= MAX_BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     repeated = maybe.join(groups, "_sha").select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "_sha")
     return unique.unionByName(repeated).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
 
@@ -78,8 +98,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64(F.unhex(F.sha2("_text", 256))))
-    words, slots = _filter(written(rows.select("_h"), "hashes"))
-    tested = with_maybe_repeated(rows, words, slots)
+    hashes = written(rows.select("_h"), "hashes")
+    if hashes.count() * SLOTS_PER_ROW <= MAX_SLOTS:
+        slots = 1 << max(10, math.ceil(math.log2(max(1, hashes.count()) * SLOTS_PER_ROW)))
+        tested = with_maybe_repeated(rows, written(repeated_slots(hashes, slots), "bloom"), slots)
+    else:  # the filters leave a list of the hashes that really occur again
+        again = written(_tested(hashes).filter("_maybe").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"), "again")
+        if again.count() <= MAX_BROADCAST_GROUPS:
+            again = F.broadcast(again)
+        tested = rows.join(again.withColumn("_maybe", F.lit(True)), "_h", "left").withColumn("_maybe", F.coalesce("_maybe", F.lit(False)))
     unique = tested.filter(~F.col("_maybe")).select("_row")
     order = F.struct(F.col("_row.doc_id").cast("long"), *[F.col(f"_row.`{c}`").cast("string") for c in columns if c not in ("doc_id", "text")])
     best = tested.filter("_maybe").withColumn("_sha", F.unhex(F.sha2("_text", 256))).groupBy("_sha").agg(F.max_by("_row", order).alias("_row")).select("_row")

@@ -1,7 +1,7 @@
 """Exchange of hashes that several documents share, used by the substring operators.
 
 Documents send (hash, doc) rows; the answer has the rows whose hash some other document
-(or, with `smaller`, some document with a smaller id) also sent. Rows are dealt by hash,
+(or some document with a smaller id) also sent. Rows are dealt by hash,
 sorted by Spark (which spills) and read as a stream, so a hash that a third of all
 documents share needs no more memory than a rare one.
 """
@@ -14,12 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_hashes(rows: DataFrame, smaller: bool = False) -> DataFrame:
-    """The distinct rows (hash, doc) whose hash occurs with another doc, or with a smaller one.
-
-    A row with `often` true (the document has the hash at several places) counts as shared
-    by itself, unless `smaller`.
-    """
+def shared_hashes(rows: DataFrame) -> DataFrame:
+    """The distinct rows (hash, doc) whose hash occurs with another doc, or with `often`: at several places of one."""
 
     def run(batches):
         held = None
@@ -42,19 +38,43 @@ def shared_hashes(rows: DataFrame, smaller: bool = False) -> DataFrame:
         same = np.zeros(len(hashes), bool)
         same[1:] = hashes[1:] == hashes[:-1]
         same[0] = before is not None and before == hashes[0]
-        if smaller:
-            keep = same
-        else:
-            following = np.zeros(len(hashes), bool)
-            following[:-1] = hashes[1:] == hashes[:-1]
-            following[-1] = after is not None and after == hashes[-1]
-            keep = same | following | often
+        following = np.zeros(len(hashes), bool)
+        following[:-1] = same[1:]
+        following[-1] = after is not None and after == hashes[-1]
+        keep = same | following | often
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(doc[keep])], names=["hash", "doc"])
 
+    return _dealt(rows).mapInArrow(run, "hash long, doc long")
+
+
+def later_hashes(rows: DataFrame) -> DataFrame:
+    """The rows (hash, doc) whose (hash, other) also occurs with a smaller `least`: two hashes are 128 bits, so matches are of equal words."""
+
+    def run(batches):
+        before = None  # (hash, other, smallest least) of the group that the last batch ended in
+        for batch in batches:
+            hashes, other, doc, least = (batch[c].to_numpy() for c in ("hash", "other", "doc", "least"))
+            if not len(hashes):
+                continue
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (other[1:] != other[:-1])
+            new[0] = before is None or before[:2] != (hashes[0], other[0])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(hashes)), -1))
+            smallest = least[np.maximum(first, 0)]
+            if before is not None:
+                smallest[first < 0] = before[2]
+            before = (hashes[-1], other[-1], smallest[-1])
+            keep = least > smallest
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(doc[keep])], names=["hash", "doc"])
+
+    return _dealt(rows, "other", "least").mapInArrow(run, "hash long, doc long")
+
+
+def _dealt(rows: DataFrame, *then: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "hash").sortWithinPartitions("hash", "doc")
-    return dealt.mapInArrow(run, "hash long, doc long")
+    return rows.repartition(parts, "hash").sortWithinPartitions("hash", *(then or ["doc"]))
 
 
 def by_document(rows: DataFrame) -> DataFrame:

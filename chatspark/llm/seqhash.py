@@ -102,16 +102,18 @@ class Words:
 
 
 _STEP = np.cumprod(np.full(64, np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
+#: Factors of a second, independent hash of runs.
+OTHER = np.cumprod(np.full(64, np.uint64(0xA3B195354A39B70D)), dtype=np.uint64)
 
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+def grams(hashes: np.ndarray, k: int, step: np.ndarray = _STEP) -> np.ndarray:
     """Hash of each run of k hashes; the caller drops runs that cross a document's end."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = hashes[:n] * _STEP[0]
+    total = hashes[:n] * step[0]
     for j in range(1, k):
-        total += hashes[j : j + n] * _STEP[j]
+        total += hashes[j : j + n] * step[j]
     return mix(total + np.uint64(k))
 
 
@@ -168,11 +170,12 @@ def inside(offsets: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def distinct_hashes(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, hash) and whether each occurs more than once."""
+def distinct_hashes(doc: np.ndarray, hashes: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct (doc, hash), whether each occurs more than once, and with `places` an index of each."""
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     at = np.flatnonzero(new)
-    return doc[at], hashes[at], np.diff(np.append(at, len(doc))) > 1
+    out = doc[at], hashes[at], np.diff(np.append(at, len(doc))) > 1
+    return (*out, order[at]) if places else out

@@ -59,13 +59,16 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
+def written(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder, in folders by a column's values if given, and read it back.
+
+    Lineage ends here, and a lost executor costs nothing.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
     small_batches(spark)
     with shuffle_cleanup(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*([by] if by else [])).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,16 +2,16 @@
 
 Seeds are winnowed anchors: the smallest 5-word gram of each window of 13 words, so that every
 window holds a seed that depends on its own words alone. Documents are joined on their seeds;
-only seeds of several documents go on. Each is extended both ways to the windows that it is the
-anchor of; a window that also starts in a document with a smaller doc_id is a repeat, and
-overlapping repeats chain to maximal ones, whose words are removed.
+only seeds of several documents go on. Each is extended both ways, to every window that it anchors,
+and the extensions meet by their words (two 64-bit hashes) instead of by pairs of documents, of
+which a common passage has a quadratic number. A window that also starts in a document with a
+smaller doc_id is a repeat, and overlapping repeats chain to maximal ones, whose words are removed.
 
-Equal texts are processed once, for their smallest doc_id; in the other copies every window is a
+Equal texts are processed once, for their smallest doc_id; in copies with a larger one every window is a
 repeat. Null or empty text has no words and keeps the empty text; a document of fewer than 13 words
-loses nothing. A null doc_id counts as smallest. Repeated rows (same doc_id and text) get the same
-result, since neither has the smaller id. Texts that share a doc_id, or have none, are told
-apart and ordered by their keys. Empty tables give empty results, other columns are
-ignored.
+loses nothing. A null doc_id counts as smallest. Rows that share a doc_id, or have none, take nothing
+from each other, since neither has the smaller one; equal rows get equal results. Empty tables give
+empty results, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatspark.llm.repeats import by_document, minimizers, shared_hashes
-from chatspark.llm.seqhash import WHITE, Words, covered, distinct_hashes, grams, sliding_min, text_blocks, valid_starts
+from chatspark.llm.repeats import by_document, later_hashes, minimizers, shared_hashes
+from chatspark.llm.seqhash import OTHER, WHITE, Words, covered, distinct_hashes, grams, sliding_min, text_blocks, valid_starts
 from chatspark.llm.stage import distinct_texts, keyed_rows, written
 
 WINDOW = 13
@@ -90,25 +90,28 @@ def among_answers(doc: np.ndarray, hashes: np.ndarray, known_doc: np.ndarray, kn
 
 
 def _window_rows(joined: DataFrame) -> DataFrame:
-    """Windows whose anchor is a shared seed."""
+    """The extensions of shared seeds: from each seed to the left and right as far as the windows that it anchors reach."""
 
     def run(batches):
         for batch in batches:
-            ids = batch["first_id"].to_numpy()
+            ids, least_id = batch["first_id"].to_numpy(), batch["least_id"].to_numpy()
             for at, data, offsets in text_blocks(batch["text"]):
                 words = Words(data, offsets, WHITE)
                 seeds, least, _ = _anchors(words)
                 shared = among_answers(words.doc[: len(seeds)], seeds, *answers(batch, at, len(offsets) - 1))
                 best = sliding_min(np.where(shared, seeds, ~np.uint64(0)), WINDOW - SEED + 1)
                 start = np.flatnonzero((best == least) & valid_starts(words, WINDOW))
-                yield hash_batch(ids[at:], words.doc[start], grams(words.hash, WINDOW)[start])
+                windows, other = grams(words.hash, WINDOW), grams(words.hash, WINDOW, OTHER)
+                doc, hashes, _, place = distinct_hashes(words.doc[start], windows[start], places=True)
+                columns = [hashes.view(np.int64), other[start][place].view(np.int64), ids[at:][doc], least_id[at:][doc]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "other", "doc", "least"])
 
-    return joined.select("first_id", "text", "hashes").mapInArrow(run, HASH_ROWS)
+    return joined.select("first_id", "least_id", "text", "hashes").mapInArrow(run, "hash long, other long, doc long, least long")
 
 
 def _removed(joined: DataFrame) -> DataFrame:
     """n_words, n_removed, n_spans and the kept words' digest of each text, for its smallest doc_id."""
-    schema = "key binary, first_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "key binary, least_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches):
         for batch in batches:
@@ -136,9 +139,9 @@ def _removed(joined: DataFrame) -> DataFrame:
                     rows.append((int(b - a), lost, spans, hashlib.sha256(b" ".join(kept)).hexdigest()))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=["key", "first_id", "n_words", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch["key"], batch["least_id"], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=["key", "least_id", "n_words", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select("key", "first_id", "text", "hashes").mapInArrow(run, schema)
+    return joined.select("key", "least_id", "text", "hashes").mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -147,10 +150,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     texts = distinct_texts(docs)
     joined = lambda rows, how: texts.join(by_document(rows).withColumnRenamed("doc", "first_id"), "first_id", how)
     seeds = written(shared_hashes(_seed_rows(texts)), "seeds")
-    repeats = written(shared_hashes(_window_rows(joined(seeds, "inner")), smaller=True), "repeats")
-    own = written(_removed(joined(repeats, "left").withColumn("first_id", F.col("least_id"))), "removed")
+    repeats = written(later_hashes(_window_rows(joined(seeds, "inner"))), "repeats")
+    own = written(_removed(joined(repeats, "left")), "removed")
     rows = keyed_rows(docs).join(own, "key")
-    copy = F.col("doc_id") > F.col("first_id")
+    copy = F.col("doc_id") > F.col("least_id")
     full = copy & (F.col("n_words") >= WINDOW)
     return rows.select(
         F.nullif("doc_id", F.lit(_LEAST)).alias("doc_id"), "n_words",
