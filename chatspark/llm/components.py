@@ -2,89 +2,46 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatspark.llm.stage import drop_written, written
 
 MAX_ROUNDS = 60
-_SCHEMA = "u long, v long, open long"
+#: Least neighbours of up to this many nodes (32 MB) are broadcast to the edges; more are joined by shuffle.
+MAX_BROADCAST_NODES = 1_000_000
 
 
-def _batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "open"])
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) with `least`, the least v of each u: combined by task, so a node of many edges meets in no task."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
+    return edges.join(F.broadcast(least) if least.count() <= MAX_BROADCAST_NODES else least, "u")
 
 
-def _by_node(edges: DataFrame, step) -> DataFrame:
-    """Runs `step` over the edges dealt by u and sorted by (u, v); a node's edges are a stream of any length."""
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(step, _SCHEMA)
-
-
-def _groups(u: np.ndarray, v: np.ndarray, before) -> tuple[np.ndarray, np.ndarray]:
-    """(least v of each row's node, mask of rows that begin a node); `before` is (node, least v) of the last batch."""
-    new = np.ones(len(u), bool)
-    new[1:] = u[1:] != u[:-1]
-    new[0] = before is None or before[0] != u[0]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
-    least = v[np.maximum(first, 0)]
-    if before is not None:
-        least[first < 0] = before[1]
-    return least, new
-
-
-def _large_star(batches):
-    """Links the larger neighbours of each node to its least neighbour or itself; counts nodes that aren't in a star yet."""
-    before, unfinished = None, 0
-    for batch in batches:
-        u, v = batch["u"].to_numpy(), batch["v"].to_numpy()
-        if not len(u):
-            continue
-        least, _ = _groups(u, v, before)
-        before = (u[-1], least[-1])
-        unfinished += int(((least < u) & (v != least)).sum())
-        far = v > u
-        yield _batch(v[far], np.minimum(least, u)[far])
-    if unfinished:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([unfinished])], names=["u", "v", "open"])
-
-
-def _small_star(batches):
-    """Links each node and its smaller neighbours to the least of them; edges have v < u. Counts pass through."""
-    before = None
-    for batch in batches:
-        counts = batch.filter(batch["u"].is_null())
-        if len(counts):
-            yield counts
-        batch = batch.filter(batch["u"].is_valid())
-        u, v = batch["u"].to_numpy(), batch["v"].to_numpy()
-        if not len(u):
-            continue
-        least, new = _groups(u, v, before)
-        before = (u[-1], least[-1])
-        moved = v != least
-        moved[1:] &= (v[1:] != v[:-1]) | new[1:]
-        yield _batch(np.concatenate([u[new], v[moved]]), np.concatenate([least[new], least[moved]]))
+def _edges(df: DataFrame, a, b) -> DataFrame:
+    """Distinct edges from the larger to the smaller end."""
+    return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for each node of the edges (of longs), root being the least node of its component.
 
-    Loops and repeated edges are allowed; null ends are ignored. A round is one job of two shuffles and is written
-    to the shared folder, so the loop's plan stays short and a lost executor costs one round.
+    Loops and repeated edges are allowed; null ends are ignored. Each round is written to the shared folder, so the
+    loop's plan stays short and a lost executor costs one round; it ends when a round changes nothing.
     """
-    state = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v"), "edges")
+    state, before = written(_edges(edges, F.col(a), F.col(b)), "edges"), None
     for _ in range(MAX_ROUNDS):
-        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        new = written(_by_node(_by_node(both, _large_star), _small_star), "edges")
-        unfinished = new.agg(F.sum("open")).first()[0]
-        new = new.filter("u is not null")
-        drop_written(state.sparkSession, state)
-        state = new
-        if not unfinished:
+        sign = tuple(state.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        if sign == before:
             break
+        before = sign
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
+        large = written(large.distinct(), "large")
+        small = _with_least(large)
+        new = written(_edges(small.select("u", "least").unionByName(small.select(F.col("v").alias("u"), "least")), F.col("u"), F.col("least")), "edges")
+        drop_written(state.sparkSession, state, large)
+        state = new
     else:
         raise RuntimeError("components did not converge")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -6,11 +6,13 @@ Order 1 is by rarity (a fixed-size count sketch of all shingles) and generates c
 an equi-join on the token. Orders 2 and 3 permute the tokens by other hashes; a candidate pair
 must also share a prefix token under these before its sets are compared.
 
-Texts that are equal, and texts with equal shingle sets, are one class throughout, so copies
-cost one row. A token that more than HOT classes have in their prefix would make a quadratic
-number of pairs; its classes go to clusters, and clusters to blocks of bounded size whose
-similarities are one matrix product. A block returns a spanning forest of its links. No pair
-is dropped, and no group meets in one task.
+Texts that are equal, and texts with equal shingle sets (by 128 bits), are one class throughout, so
+copies cost one row. A token that more than HOT classes have in their prefix would make a quadratic
+number of pairs: its list is parted by the classes' order 2 prefixes, and only the parts within HOT make
+pairs. What is still longer than that are groups of near copies, or pass for such: they form clusters,
+parted once more by the order 3 prefixes, whose sets are compared in blocks of bounded size, those of
+similar sizes only, by a matrix product. A block returns a spanning forest of its links and the number of
+each class' links. No pair is dropped, and no group meets in one task.
 
 Documents without words or with null text have no shingles, get n_shingles 0 and are their own
 component; a null doc_id counts as the smallest; a document of fewer words than a shingle has its whole sequence as its one shingle.
@@ -20,6 +22,7 @@ Repeated rows link as equal texts do. Empty tables give empty results; other col
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -38,10 +41,11 @@ SKETCH_BYTES = 48
 MIN_SKETCH, MAX_SKETCH = 1 << 16, 1 << 26
 #: Counters in a slice, the unit in which tasks' sketches are summed.
 SLICE = 1 << 16
-#: Prefix lists up to this many classes make pairs; longer ones go to clusters.
+#: Lists up to this many classes make pairs; longer ones are parted by the next order.
 HOT = 64
-#: Classes in a block of a cluster.
+#: Classes and tokens in a block of a cluster.
 BLOCK = 1024
+BLOCK_TOKENS = 1 << 21
 #: Keys of dropped rows up to this many (32 MB) are broadcast against the documents; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _LEAST = -(1 << 63)
@@ -62,9 +66,9 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A 64-bit digest of a shingle set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(tokens: np.ndarray) -> bytes:
+    """128 bits of a shingle set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -94,25 +98,26 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _scan(texts: DataFrame, k: int, sketch: int) -> DataFrame:
-    """A row (key, first_id, least_id, n, cls) for each text, and the task's part of the sketch as rows (slice, counts)."""
-    schema = "key binary, first_id long, least_id long, n long, cls long, slice int, counts binary"
+    """A row (key, first_id, least_id, n, digest) for each text, and the task's part of the sketch as rows (slice, counts)."""
+    schema = "key binary, first_id long, least_id long, n long, digest binary, slice int, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         counts = np.zeros(sketch, np.uint32)
         for batch in batches:
-            n, cls, pending = [], [], []
+            n, digests, pending = [], [], []
             for tokens in shingle_sets(batch["text"], k):
                 n.append(len(tokens))
-                cls.append(class_of(tokens))
+                digests.append(digest(tokens))
                 pending.append(tokens)
             if pending:
                 place, times = np.unique(np.concatenate(pending) & np.uint64(sketch - 1), return_counts=True)
                 counts[place.astype(np.int64)] += times.astype(np.uint32)
             empty = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], batch["least_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["key", "first_id", "least_id", "n", "cls", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["first_id"], batch["least_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
         for i, part in enumerate(np.split(counts, sketch // SLICE)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["key", "first_id", "least_id", "n", "cls", "slice", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names=names)
 
     return texts.select("key", "first_id", "least_id", "text").mapInArrow(run, schema)
 
@@ -137,29 +142,44 @@ def _rarity(scan: DataFrame, sketch: int) -> np.ndarray:
     return out
 
 
+def _of_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class; the texts stay where they are."""
+    return texts.join(classes.select(F.col("cls").alias("first_id")).hint("shuffle_hash"), "first_id").select(F.col("first_id").alias("cls"), "text")
+
+
 def _postings(texts: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """(token, cls, n) for the order 1 prefix of each class; a task gives a class once."""
+    """(token, cls, n) for the order 1 prefix of each class."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
-            tokens, cls, size = [], [], []
+            tokens, size, own = [], [], []
             for s in shingle_sets(batch["text"], k):
-                if not len(s) or (c := class_of(s)) in seen:
-                    continue
-                seen.add(c)
                 first = s[_order(s, rarity.value, _SEEDS[0])[: prefix_length(len(s), percent)]]
                 tokens.append(first)
-                cls.append(np.full(len(first), c, np.int64))
                 size.append(np.full(len(first), len(s), np.int32))
+                own.append(len(first))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(batch["cls"].to_numpy(), own)), pa.array(np.concatenate(size))], names=["token", "cls", "n"])
+
+    return texts.select("cls", "text").mapInArrow(run, "token long, cls long, n int")
 
-    return texts.select("text").mapInArrow(run, "token long, cls long, n int")
+
+def _second_postings(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, cls, n) of the hot lists, each parted by the order 2 prefix of its classes: a token stands for one of each order."""
+
+    def run(batches):
+        for batch in batches:
+            second = [np.frombuffer(x, np.uint64) for x in batch["second"].to_pylist()]
+            own = [len(x) for x in second]
+            first = np.repeat(batch["token"].to_numpy().view(np.uint64), own)
+            token = mix(mix(first) + np.concatenate(second)) if second else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(np.repeat(batch[c].to_numpy(), own)) for c in ("cls", "n")]], names=["token", "cls", "n"])
+
+    return hot.join(sets.select("cls", "second"), "cls").select("token", "cls", "n", "second").mapInArrow(run, "token long, cls long, n int")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a prefix token, or rows (a, token) for tokens with more than HOT classes.
+    """Pairs (a, b) of classes that share a token, or rows (a, token, n) for tokens with more than HOT classes.
 
     Reads postings sorted by token and class as a stream, and holds at most HOT rows of an unfinished list.
     """
@@ -173,13 +193,13 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             at = starts[sizes == s]
             if s > HOT:
                 index = (at[:, None] + np.arange(s)).ravel()
-                yield cls[index], np.zeros(len(index), np.int64), token[index], np.ones(len(index), bool)
+                yield cls[index], np.zeros(len(index), np.int64), token[index], n[index], np.ones(len(index), bool)
             elif s > 1:
                 i, j = pick[int(s)]
                 i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
                 near = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
                 i, j = i[near], j[near]
-                yield cls[i], cls[j], token[i], np.zeros(len(i), bool)
+                yield cls[i], cls[j], token[i], n[i], np.zeros(len(i), bool)
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
@@ -197,7 +217,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             if hot is not None:
                 more = int(np.searchsorted(token != hot, True))
                 index = slice(0, more)
-                out.append((cols[1][index], np.zeros(more, np.int64), token[index], np.ones(more, bool)))
+                out.append((cols[1][index], np.zeros(more, np.int64), token[index], cols[2][index], np.ones(more, bool)))
                 cols = [c[more:] for c in cols]
                 token = cols[0]
                 if len(token):
@@ -209,7 +229,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
                 held = [c[last:] for c in cols]
                 if len(held[0]) > HOT:
                     hot = held[0][0]
-                    out.append((held[1], np.zeros(len(held[1]), np.int64), held[0], np.ones(len(held[0]), bool)))
+                    out.append((held[1], np.zeros(len(held[1]), np.int64), held[0], held[2], np.ones(len(held[0]), bool)))
                     held = [c[:0] for c in held]
             else:
                 held = [c[:0] for c in cols]
@@ -218,16 +238,16 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             yield from frames(lists(*held))
 
     def frames(parts):
-        for a, b, token, hot in parts:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token), pa.array(hot)], names=["a", "b", "token", "hot"])
+        for columns in parts:
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "token", "n", "hot"])
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(parts, "token").sortWithinPartitions("token", "cls").mapInArrow(run, "a long, b long, token long, hot boolean")
+    return postings.repartition(parts, "token").sortWithinPartitions("token", "cls").mapInArrow(run, "a long, b long, token long, n int, hot boolean")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, k: int, percent: int, rarity) -> DataFrame:
-    """(cls, tokens, second, third) of the wanted (first_id, cls): the set and its prefixes under orders 2 and 3."""
+def _sets(texts: DataFrame, k: int, percent: int, rarity) -> DataFrame:
+    """(cls, tokens, second, third) of (cls, text): the set and its prefixes under orders 2 and 3."""
 
     def run(batches):
         for batch in batches:
@@ -240,7 +260,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int, percent: int, rarity) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([batch["cls"], *[pa.array(c, pa.binary()) for c in zip(*rows)]], names=["cls", "tokens", "second", "third"])
 
-    return texts.join(wanted, "first_id").select("cls", "text").mapInArrow(run, "cls long, tokens binary, second binary, third binary")
+    return texts.select("cls", "text").mapInArrow(run, "cls long, tokens binary, second binary, third binary")
 
 
 def similar(shared: int, n: int, m: int, percent: int) -> bool:
@@ -297,42 +317,78 @@ def block_links(tokens: list[np.ndarray], percent: int) -> np.ndarray:
     row, column = row[order], column[order]
     several = count[column] > 1
     row, column = row[several], column[several]
-    common = np.zeros((len(tokens), len(tokens)), np.float32)
+    common = np.zeros((len(tokens), len(tokens)), np.int32)
     width = 2048
     for low in range(0, len(kinds), width):
         a, b = np.searchsorted(column, [low, low + width])
         if b > a:
             part = np.zeros((len(tokens), width), np.float32)
             part[row[a:b], column[a:b] - low] = 1
-            common += part @ part.T
+            common += (part @ part.T).astype(np.int32)
+    common = common.astype(np.int64)
     links = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     np.fill_diagonal(links, False)
     return links
 
 
-def _cluster_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Spanning links (a, b) among the classes of the hot lists (token, cls), block by block, with the number of
-    all links of a where b is null; and the cluster of each class (node, root)."""
-    heads = hot.groupBy("token").agg(F.min("cls").alias("head"))
-    members = hot.select("token", "cls").join(heads, "token").select("cls", "head").distinct()
-    clusters = written(components(members.unionByName(members.select("head", F.col("head").alias("cls")).select("cls", "head")), "cls", "head"), "clusters")
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = placed.select(F.col("node").alias("cls"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets.select("cls", "tokens"), "cls")
+def _clusters(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, n, root): classes that hot lists of two orders connect, parted by the prefixes of order 3."""
+
+    def joined(rows, key):
+        """(cls, root): components of the classes that share a key."""
+        heads = rows.groupBy(*key).agg(F.min("cls").alias("head"))
+        edges = rows.join(heads, key).select("cls", "head").distinct()
+        alone = edges.filter("cls = head").select("cls", F.col("cls").alias("root"))
+        found = components(edges, "cls", "head").select(F.col("node").alias("cls"), "root")
+        return written(found.unionByName(alone).groupBy("cls").agg(F.min("root").alias("root")), "clusters")
+
+    def run(batches):
+        for batch in batches:
+            third = [np.frombuffer(x, np.uint64) for x in batch["third"].to_pylist()]
+            own = [len(x) for x in third]
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(batch[c].to_numpy(), own)) for c in ("cls", "root")], pa.array(np.concatenate(third).view(np.int64) if third else np.zeros(0, np.int64))], names=["cls", "root", "token"])
+
+    by_two = joined(hot.select("cls", "token"), ["token"])
+    third = by_two.join(sets.select("cls", "third"), "cls").select("cls", "root", "third").mapInArrow(run, "cls long, root long, token long")
+    return joined(third, ["root", "token"]).join(hot.select("cls", "n").distinct(), "cls")
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links (a, b) among the classes of each cluster, block by block, with the number of all links of a where b is null.
+
+    A step of sizes is as wide as similar sets can differ, so only blocks of one step or of two neighbouring ones
+    are compared. A block has BLOCK sets and about BLOCK_TOKENS tokens at most.
+    """
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-6
+    stepped = clusters.withColumn("step", F.floor(F.log("n") / width).cast("long"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_TOKENS)) / F.exp((F.col("step") + 1) * width)))
+    counts = written(stepped.groupBy("root", "step").agg(F.ceil(F.count(F.lit(1)) / F.first(most)).alias("blocks")), "blocks")
+    near = lambda d, c: counts.select("root", (F.col("step") - d).alias("step"), F.col("blocks").alias(c))
+    placed = stepped.join(counts, ["root", "step"]).join(near(1, "above"), ["root", "step"], "left").join(near(-1, "below"), ["root", "step"], "left")
+    every = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    meet = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+    step = F.col("step")
+    meets = F.concat(
+        F.transform(every("blocks"), lambda x: meet(step, F.least(F.col("block"), x), step, F.greatest(F.col("block"), x))),
+        F.transform(every("above"), lambda x: meet(step, F.col("block"), step + 1, x)), F.transform(every("below"), lambda x: meet(step - 1, x, step, F.col("block"))),
+    )
+    rows = placed.withColumn("block", block).select("cls", "root", (F.col("step") * (1 << 32) + F.col("block")).alias("place"), F.explode(meets).alias("m")).select("cls", "root", "place", "m.*").join(sets.select("cls", "tokens"), "cls")
 
     def run(table: pa.Table) -> pa.Table:
         cls = table["cls"].to_numpy()
         links = block_links([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], percent)
+        place = table["place"].to_numpy()
+        low, i, high, j = (table[c][0].as_py() for c in ("low", "i", "high", "j"))
+        if (low, i) != (high, j):  # pairs within a block are the block's own
+            links &= place[:, None] != place[None, :]
         label = _forest(links)
         moved = label != np.arange(len(label))
-        block = table["block"].to_numpy()
-        if table["i"][0].as_py() != table["j"][0].as_py():  # pairs within a block are the block's own
-            links &= block[:, None] != block[None, :]
         n = links.sum(1).astype(np.int64)
         a, b = np.concatenate([cls[moved], cls[n > 0]]), pa.array([*cls[label[moved]].tolist(), *[None] * int((n > 0).sum())], pa.int64())
         return pa.table({"a": a, "b": b, "n": np.concatenate([np.zeros(int(moved.sum()), np.int64), n[n > 0]])})
 
-    return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long, n long"), clusters
+    return rows.groupBy("root", "low", "i", "high", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -343,33 +399,39 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketch = sketch_size(texts)
     scan = written(_scan(texts, k, sketch), "scan")
     rarity = spark.sparkContext.broadcast(_rarity(scan, sketch))
-    known = scan.filter("slice is null").select("key", "first_id", "least_id", "n", "cls")
-    lists = written(_lists(_postings(texts, k, percent, rarity), percent), "lists")
-    pairs = written(lists.filter("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    hot = lists.filter("hot").select("token", F.col("a").alias("cls"))
+    known = scan.filter("slice is null").select("key", "first_id", "least_id", "n", "digest")
+    classes = written(known.filter("n > 0").groupBy("digest").agg(F.min("first_id").alias("cls"), F.min("least_id").alias("least_id")), "classes")
+    lists = written(_lists(_postings(_of_classes(texts, classes), k, percent, rarity), percent), "lists")
+    ordered = lambda x: x.filter("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = lists.filter("hot").select("token", F.col("a").alias("cls"), "n")
+    pairs = ordered(lists)
     involved = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(hot.select("cls")).distinct()
-    wanted = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id")).join(involved, "cls")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = written_by_key(_sets(texts, wanted, k, percent, rarity).repartition(parts, "cls"), "cls", "sets")
+    sets = written_by_key(_sets(_of_classes(texts, involved), k, percent, rarity).repartition(parts, "cls"), "cls", "sets")
     drop_written(spark, texts)
-    links = written(_verify(pairs, sets, percent), "links")
-    counted = links
-    more = None
+    clusters = None
     if not hot.isEmpty():
-        found, clusters = _cluster_links(hot, sets, percent)
-        found = written(found, "cluster_links")
+        second = written(_lists(_second_postings(hot, sets), percent), "second_lists")
+        pairs = pairs.unionByName(ordered(second))
+        dense = second.filter("hot").select("token", F.col("a").alias("cls"), "n")
+        if not dense.isEmpty():
+            clusters = written(_clusters(dense, sets), "dense")
+    links = written(_verify(written(pairs.distinct(), "pairs"), sets, percent), "links")
+    counted, more = links, None
+    if clusters is not None:
+        found = written(_cluster_links(clusters, sets, percent), "cluster_links")
         more = found.filter("b is null").select(F.col("a").alias("cls"), "n")
-        place = lambda x: clusters.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        place = lambda x: clusters.select(F.col("cls").alias(x), F.col("root").alias(f"root_{x}"))
         counted = links.join(place("a"), "a", "left").join(place("b"), "b", "left").filter("root_a is null or root_b is null or root_a != root_b").select("a", "b")
         links = links.unionByName(found.filter("b is not null").select("a", "b"))
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
     degree = counted.select(F.col("a").alias("cls"), F.lit(1).cast("long").alias("n")).unionByName(counted.select(F.col("b").alias("cls"), F.lit(1).cast("long").alias("n")))
     degree = (degree if more is None else degree.unionByName(more)).groupBy("cls").agg(F.sum("n").alias("n_links"))
-    classes = known.filter("n > 0").groupBy("cls").agg(F.min("first_id").alias("first_id"), F.min("least_id").alias("least_id"))
-    classes = classes.join(roots, "cls", "left").join(degree, "cls", "left").select("cls", "first_id", "least_id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    labels = classes.groupBy("root").agg(F.min("first_id").alias("head"), F.min("least_id").alias("component_id"))
-    by_class = classes.join(labels, "root").select("cls", "head", "component_id", "n_links")
-    by_key = written(known.join(by_class, "cls", "left").select("key", "least_id", F.expr("n = 0 or first_id = head").alias("head"), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, null)").alias("component_id"), F.expr("if(n > 0, n_links, 0)").alias("n_links")), "labels")
+    rooted = classes.join(roots, "cls", "left").join(degree, "cls", "left").select("digest", "cls", "least_id", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rooted = written(rooted, "rooted")
+    labels = rooted.groupBy("root").agg(F.min("cls").alias("head"), F.min("least_id").alias("component_id"))
+    by_class = written(rooted.join(labels, "root").select("digest", "head", "component_id", "n_links"), "by_class")
+    by_key = written(known.join(by_class, "digest", "left").select("key", "least_id", F.expr("n = 0 or first_id = head").alias("head"), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, null)").alias("component_id"), F.expr("if(n > 0, n_links, 0)").alias("n_links")), "labels")
     rows = keyed_rows(docs).join(by_key, "key")
     first = (F.col("n_shingles") == 0) | (F.col("head") & (F.col("doc_id") == F.col("least_id")))
     return rows.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links", first.alias("first"))
