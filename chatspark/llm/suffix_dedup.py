@@ -7,8 +7,10 @@ weight. All segments of a minimizer meet in one bucket, where shards of them are
 merged by interleave refinement, and the intervals of common prefixes of LENGTH bytes read off: the places of
 an interval of weight two or more are repeats. Overlapping repeats chain to maximal runs, which are removed.
 
-Buckets are read as a stream of about BUCKET_BYTES. The segments of a minimizer that fill more than GROUP_BYTES
-would not fit a task; their windows are counted by two independent 64-bit hashes in a grouped aggregation instead.
+Buckets are read as a stream of about BUCKET_BYTES. The different segments of a minimizer that fill more than
+GROUP_BYTES are cut, by the place of the minimizer in their windows, into pieces that are dealt by the bytes which all
+windows of a piece share, and merged in the same way: a passage that very many documents have doesn't meet in one
+task, since its inner pieces are equal and combine, and its outer ones differ and part.
 
 Equal texts are processed once with their number as weight. Null or empty text has no bytes; texts of fewer
 than LENGTH bytes lose nothing. Matches never cross documents. Repeated rows are copies of each other. Texts that
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 
 from chatspark.llm.bwt import repeated_starts
 from chatspark.llm.repeats import by_document, minimizers, shared_hashes
-from chatspark.llm.seqhash import byte_grams, inside, mix, text_blocks
+from chatspark.llm.seqhash import byte_grams, inside, text_blocks
 from chatspark.llm.stage import distinct_texts, keyed_rows, written
 from chatspark.llm.substring_dedup import HASH_ROWS, among_answers, answers, hash_batch
 
 LENGTH = 200
 GRAM = 16
 BUCKET_BYTES = 64 << 10
-GROUP_BYTES = 8 << 20
+#: Different segments of one minimizer beyond this size are cut into PIECES ranges and dealt to several tasks.
+GROUP_BYTES = 128 << 10
+PIECES = 16
 _LEAST = -(1 << 63)
 _SEGMENTS = "hash long, segment binary, doc long, start long, weight long"
 
@@ -153,28 +157,50 @@ def _merged(distinct: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
     return dealt.mapInArrow(run, "segment_id binary, runs binary")
 
 
-def _counted(distinct: DataFrame, length: int) -> DataFrame:
-    """As _merged(), for groups of any size: each window is a row, counted by its hashes."""
+def _pieces(distinct: DataFrame, length: int, parts: int) -> DataFrame:
+    """(hash, segment, gram, weight, parent, offset): the segments cut by the place of the minimizer in their windows.
 
-    def windows(batches):
-        for batch in batches:
-            for segment, weight in zip(batch["segment"].to_pylist(), batch["weight"].to_pylist()):
-                data = np.frombuffer(segment, np.uint8)
-                hashes = byte_grams(data, length)
-                other = byte_grams(data[::-1], length)[::-1]
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(mix(other).view(np.int64)), pa.array([hashlib.md5(segment).digest()] * n, pa.binary()), pa.array(np.arange(n)), pa.array(np.full(n, weight))], names=["w1", "w2", "segment_id", "start", "weight"])
-
-    rows = written(distinct.select("segment", "weight").mapInArrow(windows, "w1 long, w2 long, segment_id binary, start long, weight long"), "windows")
-    several = rows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
-    starts = rows.join(several, ["w1", "w2"]).groupBy("segment_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-
-    def pack(batches):
-        for batch in batches:
-            runs = [_runs(np.array(x)) for x in batch["starts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["segment_id"], pa.array(runs, pa.binary())], names=["segment_id", "runs"])
+    Equal windows have their first minimizer at the same place j. The places fall into `parts` ranges; the windows of
+    a range share the bytes from the least to the greatest j on, and these bytes' hash is the piece's key: equal windows
+    meet again, and segments that differ there no longer do.
+    """
+    places = length - GRAM + 1
 
-    return starts.mapInArrow(pack, "segment_id binary, runs binary")
+    def run(batches):
+        for batch in batches:
+            out = []
+            for gram, segment, weight in zip(*[batch[c].to_pylist() for c in ("gram", "segment", "weight")]):
+                at = np.flatnonzero(byte_grams(np.frombuffer(segment, np.uint8), GRAM).view(np.int64) == gram)
+                start = np.arange(len(segment) - length + 1)
+                first = at[np.searchsorted(at, start)]
+                part = (first - start) * parts // places
+                cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(first) != 0)) + 1
+                parent = hashlib.md5(segment).digest()
+                for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(start)).tolist()):
+                    r, p = int(part[a]), int(first[a])
+                    low, high = -(-r * places // parts), -(-(r + 1) * places // parts) - 1
+                    common = hashlib.blake2b(segment[p - low : p - high + length], digest_size=8, salt=r.to_bytes(4, "little"))
+                    out.append((int.from_bytes(common.digest(), "little", signed=True), segment[a : b - 1 + length], gram, weight, parent, a))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            for i in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000]), kinds)], names=["hash", "segment", "gram", "weight", "parent", "offset"])
+
+    return distinct.mapInArrow(run, "hash long, segment binary, gram long, weight long, parent binary, offset long")
+
+
+def _repeats(segments: DataFrame, length: int, bucket_bytes: int, group_bytes: int, cuts: list[int]) -> DataFrame:
+    """(segment_id, offset, runs): the repeats of each distinct segment (hash, segment, gram, weight). Groups beyond `group_bytes` are cut and dealt anew."""
+    distinct = segments.groupBy("hash", "segment").agg(F.sum("weight").alias("weight"), F.first("gram").alias("gram"))
+    thin = segments.select("hash", F.xxhash64("segment").alias("of"), F.length("segment").cast("long").alias("n")).distinct()
+    large = written(thin.groupBy("hash").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("several")).filter((F.col("size") > group_bytes) & (F.col("several") > 1)).select("hash"), "large") if cuts else None
+    if large is None or large.isEmpty():
+        return _merged(distinct, length, bucket_bytes).withColumn("offset", F.lit(0).cast("long"))
+    pieces = written(_pieces(distinct.join(large, "hash", "left_semi"), length, cuts[0]), "pieces")
+    found = written(_repeats(pieces.select("hash", "segment", "gram", "weight"), length, bucket_bytes, group_bytes, cuts[1:]), "repeats")
+    of = pieces.select(F.unhex(F.md5("segment")).alias("segment_id"), "parent", F.col("offset").alias("from"))
+    up = of.join(found, "segment_id").select(F.col("parent").alias("segment_id"), "runs", (F.col("from") + F.col("offset")).alias("offset"))
+    rest = _merged(distinct.join(large, "hash", "left_anti"), length, bucket_bytes)
+    return rest.withColumn("offset", F.lit(0).cast("long")).unionByName(up)
 
 
 def _removed(joined: DataFrame, length: int) -> DataFrame:
@@ -210,14 +236,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCK
     seeds = written(shared_hashes(_seed_rows(texts, length)), "seeds")
     asked = texts.join(by_document(seeds).withColumnRenamed("doc", "first_id"), "first_id")
     segments = written(_segments(asked, length), "segments")
-    distinct = segments.groupBy("hash", "segment").agg(F.sum("weight").alias("weight"))
-    large = written(segments.groupBy("hash").agg(F.sum(F.length("segment")).alias("size")).filter(F.col("size") > group_bytes).select("hash"), "large")
-    if large.isEmpty():
-        repeats = _merged(distinct, length, bucket_bytes)
-    else:
-        repeats = _merged(distinct.join(large, "hash", "left_anti"), length, bucket_bytes).unionByName(_counted(distinct.join(large, "hash", "left_semi"), length))
-    repeats = written(repeats, "repeats")
+    repeats = written(_repeats(segments.withColumn("gram", F.col("hash")), length, bucket_bytes, group_bytes, [PIECES, length - GRAM + 1]), "repeats")
     places = segments.select(F.unhex(F.md5("segment")).alias("segment_id"), F.col("doc").alias("first_id"), "start").join(repeats, "segment_id")
+    places = places.select("first_id", (F.col("start") + F.col("offset")).alias("start"), "runs")
     found = places.groupBy("first_id").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
     own = written(_removed(texts.join(found, "first_id", "left"), length), "removed")
     return keyed_rows(docs).join(own, "key").select(F.nullif("doc_id", F.lit(_LEAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
