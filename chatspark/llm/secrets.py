@@ -4,7 +4,7 @@ Candidates are long tokens (MIN_CHARS or more of letters, digits and the marks o
 that hold a digit or change case inside, and every value, of any length and marks, that follows the name of a
 credential. A token `name=value` counts by its value. Each has features of five kinds: its length and character classes,
 how likely its character transitions are in the corpus' own words, the share of it that dictionary words
-cover, its path (the source), and its neighbouring words. A random forest trained on labelled findings
+cover, its path (the source: its parts, and how many candidates its documents have), and its neighbouring words. A random forest trained on labelled findings
 scores every candidate.
 
 Transitions and dictionary are counts over all documents. The dictionary is the DICTIONARY words with the
@@ -38,9 +38,12 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 TREES = 24
 DEPTH = 6
+#: Paths up to this many are broadcast with their rates; more are joined by shuffle.
+MAX_BROADCAST_PATHS = 200_000
 SEED = 7
 _CANDIDATE = re.compile(rf"[A-Za-z0-9_\-+/=.@]{{{MIN_CHARS},}}")
 _WORDS = re.compile(r"[A-Za-z]{3,}")
+_TOKENS = re.compile(r"[A-Za-z0-9_]+")
 #: Names that a credential is assigned to.
 NAMES = frozenset("token secret password passwd pwd apikey api_key key auth credential credentials access_key private_key bearer".split())
 #: Names that are sure of a credential as a part of a longer name, as in DB_PASSWORD; a `key` may be any.
@@ -95,12 +98,16 @@ def features(value: str, before: str, after: str, source: str, table: np.ndarray
     share = Counter(value)
     entropy = -sum(k / n * np.log2(k / n) for k in share.values())
     assigned = _ASSIGNED.search(before)
-    name = assigned[1] if assigned else re.sub(r"\W+$", "", before).split(" ")[-1]
+    left, right = _TOKENS.findall(before)[-3:], _TOKENS.findall(after)[:3]
+    name = assigned[1] if assigned else (left or [""])[-1]
+    known = lambda some: sum(w.lower() in words for w in some) / len(some) if some else -1.0
+    path = _TOKENS.findall(source)
     return [
         float(n), digits / n, upper / n, hexa / n, (sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))) / n, float(entropy),
         float(np.mean(steps)) if steps else -6.0, covered / n, value.count("/") / n, value.count(".") / n, float("@" in value), float(value.count("-") + value.count("_")) / n,
-        float(credential(name, NAMES)), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before.endswith(('"', "'")) and after[:1] in ('"', "'")), float(before.rstrip().split(" ")[-1].lower() in words),
-        float(sum(map(ord, source)) % 16), float(any(c.isdigit() for c in source)),
+        float(credential(name, NAMES)), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before.endswith(('"', "'")) and after[:1] in ('"', "'")),
+        known(left[-1:]), known(left), known(right[:1]), known(right), float("\n" in before[-20:]), float("\n" in after[:20]),
+        float(len(path)), float(source.count("/")), known(path), sum(c.isdigit() for c in source) / max(1, len(source)),
     ]
 
 
@@ -150,9 +157,9 @@ def places(text: str) -> list[tuple[int, int]]:
 
 
 def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> DataFrame:
-    """doc_id, start, length, value, label, features of each candidate of each document."""
+    """doc_id, source, start, length, value, label, features of each candidate of each document."""
     model = docs.sparkSession.sparkContext.broadcast((table, words))
-    schema = "doc_id long, start long, length long, value string, label int, features array<double>"
+    schema = "doc_id long, source string, start long, length long, value string, label int, features array<double>"
 
     def run(batches):
         table, words = model.value
@@ -162,15 +169,26 @@ def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> Da
                 for start, end in places(text or ""):
                     value = text[start:end]
                     before, after = text[max(0, start - 40) : start], text[start + len(value) : start + len(value) + 20]
-                    rows.append((doc_id, start, len(value), value, rule_label(value, before), features(value, before, after, source or "", table, words)))
+                    rows.append((doc_id, source, start, len(value), value, rule_label(value, before), features(value, before, after, source or "", table, words)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(run, schema)
 
 
+def _with_path(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The candidates with a last feature, how many of them a document of their path has: logs and listings have many."""
+    source = F.col("source").cast("string").alias("source")
+    rates = docs.select(source, F.lit(0).alias("n")).unionByName(found.select("source", F.lit(1).alias("n"))).groupBy("source").agg((F.sum("n") / F.greatest(F.lit(1), F.count(F.lit(1)) - F.sum("n"))).alias("rate"))
+    rates = written(rates, "paths").select(F.col("source").alias("_source"), "rate")
+    if rates.count() <= MAX_BROADCAST_PATHS:
+        rates = F.broadcast(rates)
+    joined = found.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("features", F.concat("features", F.array(F.log1p("rate")))).drop("_source", "rate", "source")
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, start (in code points), length, value_sha256, score, is_secret for each candidate.
 
@@ -179,7 +197,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
     spark = docs.sparkSession
     counts = written(word_counts(docs), "words")
     words = frozenset(r.word for r in counts.filter("length(word) between 3 and 40").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect())
-    found = written(_candidates(docs, transitions(counts), words), "candidates")
+    found = written(_with_path(written(_candidates(docs, transitions(counts), words), "found"), docs), "candidates")
     known = found.filter("label is not null") if labelled is None else found.drop("label").join(labelled.select("doc_id", "start", F.col("label").cast("int").alias("label")), ["doc_id", "start"])
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id", "start", "value"), F.lit(1 << 32)) < int(share * (1 << 32)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -110,3 +111,30 @@ def exact(docs):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def posterior(rows, names, temper_pseudo, accept, min_letters):
+    """rows: [(ll, letters, declared, suffix, domain, host)] -> [(detected, posterior, accepted)], by the formulas alone."""
+    pseudo, k = temper_pseudo, len(names)
+    guess = [r[0].index(max(r[0])) if r[1] >= min_letters else None for r in rows]
+
+    def counts(keep):
+        return [sum(g == i and keep(r) for g, r in zip(guess, rows)) for i in range(k)]
+
+    def smooth(c, parent):
+        return [(x + pseudo * p) / (sum(c) + pseudo) for x, p in zip(c, parent)]
+
+    totals = counts(lambda r: True)
+    every = [(t + pseudo / k) / (sum(totals) + pseudo) for t in totals]
+    kinds = len({r[2] for r in rows})
+    out = []
+    for ll, letters, declared, *place in rows:
+        prior = every
+        for level in (1, 2, 3):
+            prior = smooth(counts(lambda r: r[3 : 3 + level] == tuple(place[:level])), prior)  # noqa: B023
+        trust = [(c + 1) / (t + kinds) for c, t in zip(counts(lambda r: r[2] == declared), totals)]  # noqa: B023
+        logs = [x + math.log(t) + math.log(p) for x, t, p in zip(ll, trust, prior)]
+        best = logs.index(max(logs))
+        share = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        out.append((names[best], share, share >= accept and letters >= min_letters))
+    return out

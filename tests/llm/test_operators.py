@@ -99,6 +99,33 @@ def test_jaccard_clusters(spark, monkeypatch):
     assert got(jaccard_components(frame(spark, many), 3, 90), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(many, 3, 90)
 
 
+def test_jaccard_boilerplate(spark, monkeypatch):
+    """One boilerplate in all rows, and two dense groups: lists are parted by every order, and blocks by size."""
+    from chatspark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 400)
+    rng = random.Random(31)
+    notice = words(rng, 12, 10**6)
+    many = [" ".join(notice + words(rng, rng.randrange(0, 6), 10**6)) for _ in range(60)]
+    for size in (60, 63):
+        base = notice + words(rng, size, 10**6)
+        for i in range(45):
+            near = list(base)
+            near[12 + rng.randrange(size)] = f"z{rng.randrange(10**6)}"
+            many.append(" ".join(near[: len(near) - rng.randrange(0, 3)]))
+    rows = list(enumerate(many))
+    out = jaccard_components(frame(spark, rows), 1, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute.jaccard(rows, 1, 90)
+    sets = [brute.shingles(t, 1) for t in many]
+    cls = {}
+    for i, s in enumerate(sets):
+        cls.setdefault(frozenset(s), i)
+    links = {a: sum(a != b and 100 * len(s & t) >= 90 * len(s | t) for t, b in cls.items()) for s, a in cls.items()}
+    assert {r.doc_id: r.n_links for r in out} == {i: links[cls[frozenset(s)]] for i, s in enumerate(sets)}
+
+
 def test_near_dedup(docs, rows):
     kept = near_dedup(docs)
     assert kept.columns == docs.columns
@@ -113,9 +140,15 @@ def test_suffix(docs, rows):
     assert got(suffix_dedup(docs), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeated_bytes(rows)
 
 
-def test_suffix_large_groups(docs, rows):
-    """Groups over the bucket limit are counted by hash, with the same result."""
-    assert got(suffix_dedup(docs, group_bytes=1000), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeated_bytes(rows)
+@pytest.mark.parametrize("group", [0, 3000])
+def test_suffix_large_groups(spark, docs, rows, group):
+    """Groups over the limit are cut once or twice, with the same result; one passage is in a third of all rows."""
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got(suffix_dedup(docs, group_bytes=group), columns) == brute.repeated_bytes(rows)
+    rng = random.Random(17)
+    passage = " ".join(words(rng, 70, 10**6))
+    hot = [(i, " ".join(words(rng, rng.randrange(1, 60), 10**6)) + (passage[rng.randrange(0, 90) : len(passage) - rng.randrange(0, 90)] if i % 3 == 0 else "aaaa" * rng.randrange(0, 90)) + " ".join(words(rng, 9, 10**6))) for i in range(90)]
+    assert got(suffix_dedup(frame(spark, hot), group_bytes=group), columns) == brute.repeated_bytes(hot)
 
 
 ITEMS = [(1, None), (2, ""), (3, "w1 w2"), (10, "One, two!"), (11, "é ñ ß")]
@@ -153,11 +186,41 @@ def test_records(spark, docs, rows, tmp_path):
     some = index.filter("doc_id % 5 = 1")
     read = {r.doc_id: r.ids for r in binary_records.read_records(spark, path, some).collect()}
     assert read == {d: tokens(t, 2) for d, t in rows if d % 5 == 1}
-    file = next(Path(tmp_path, "records", "data").glob("part-*"))
-    data = bytearray(file.read_bytes())
-    data[20] ^= 1
-    with pytest.raises(ValueError):
-        list(binary_records.records(memoryview(bytes(data))))
+    for r in index.collect():
+        with open(f"{tmp_path}/records/data/{r.file}", "rb") as file:
+            doc_id, ids = binary_records.read_at(file, r.offset, r.size)
+        assert doc_id == r.doc_id and brute.crc(ids) == r.ids_crc32
+    line = binary_records.stuffed(binary_records.frame(10, __import__("numpy").arange(3000, dtype="<u2")))
+    assert b"\n" not in line and binary_records.parse(binary_records.payload_of(line))[1].tolist() == list(range(3000))
+    for at in (0, 9, 20, len(line) - 1):
+        damaged = bytearray(line)
+        damaged[at] ^= 1 << 6
+        with pytest.raises(ValueError):
+            binary_records.payload_of(bytes(damaged))
+
+
+def test_record_files_follow_each_other(spark, tmp_path, monkeypatch):
+    """Several files, read in parts, whose names don't sort like their ids; nulls first."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(words(rng, 30, 10**6))) for d in [None, None, *range(-40, 200)]]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        path = f"file://{tmp_path}/records"
+        binary_records.write_records(frame(spark, rows), tokenizer_path(), path)
+        names = sorted(p for p in Path(tmp_path, "records", "data").glob("part-*"))
+        for i, p in enumerate(names):
+            p.rename(p.with_name(f"part-{len(names) - i}"))
+        binary_records.write_index(spark, path)
+        found = sorted(binary_records.read_index(spark, path).collect(), key=lambda r: r.start)
+        assert len(names) > 2 and [r.doc_id for r in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+        assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+        wanted = {(r.file, r.offset): r.ids_crc32 for r in found}
+        for (name, offset), crc in wanted.items():
+            with open(f"{tmp_path}/records/data/{name}", "rb") as file:
+                assert brute.crc(binary_records.read_at(file, offset, next(r.size for r in found if (r.file, r.offset) == (name, offset)))[1]) == crc
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_packing(docs, rows):
@@ -337,6 +400,90 @@ def test_language(spark):
     assert document_model(docs.filter("false"))[0] == []
 
 
+def test_posterior(spark):
+    """The fused posterior against its formulas in plain Python, with nulls, ties and repeated rows."""
+    from chatspark.llm import language_id as module
+
+    rng = random.Random(4)
+    names = ["aa", "bb", "cc"]
+    rows = [([-rng.random() * rng.choice([1, 30]) * (i != j) for i in range(3)], rng.choice([0.0, 0.3, 0.9]), rng.choice([None, *names]), (s := rng.choice([None, "org", "net"])), f"{s}.{(d := rng.randrange(3))}", rng.choice([None, f"h{d}", f"g{d}"])) for j in (rng.randrange(3) for _ in range(120))]
+    rows += rows[:7] + [([0.0, 0.0, 0.0], 0.9, None, None, None, None)] * 2
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, ll array<double>, letters double, declared string, suffix string, domain string, host string")
+    out = {r.doc_id: r for r in module.fuse(df, names).collect()}
+    for i, (name, share, accepted) in enumerate(brute.posterior(rows, names, module.PSEUDO, module.ACCEPT, module.MIN_LETTERS)):
+        assert (out[i].detected, out[i].accepted) == (name, accepted) and abs(out[i].posterior - share) < 1e-9
+
+
+def test_language_held_out(spark):
+    """Accuracy on documents whose label neither trains nor is declared, and on pages whose markup is stripped of it."""
+    from pyspark.sql import functions as F
+
+    from chatspark.llm.language_id import document_evidence, document_model, identify, page_evidence
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    bare = pages.withColumn("html", F.regexp_replace("html", "<html[^>]*>", "<html>"))
+    found = identify(document_evidence(hidden).unionByName(page_evidence(bare)), document_model(hidden)).collect()
+    truth = {r.doc_id: r.lang for r in docs.filter("doc_id % 4 = 0").select("doc_id", "lang").collect()}
+    declared = {r.page_id: r.declared for r in page_evidence(pages).select("page_id", "declared").collect()}
+    right = [r.detected == truth[r.doc_id] for r in found if r.doc_id in truth]
+    assert len(right) == len(truth) > 200 and sum(right) >= 0.98 * len(right)
+    right = [r.detected == declared[r.page_id] for r in found if r.origin == "pages"]
+    assert len(right) == len(declared) and sum(right) >= 0.95 * len(right)
+
+
+def planted_findings(rng, n):
+    """Documents with one candidate each, and its label: what makes a secret is not what the rules look at."""
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    plain = lambda k: " ".join(rng.choice(["the", "and", "with", "from", "about", "over", "under", "again", "after"]) for _ in range(k))
+    rows = []
+    for i in range(n):
+        secret = i % 2
+        if secret:  # names that the rules don't know, in settings files; some under a known name without digits
+            value, form = (hexa(32), rng.choice(["conn_str={}", "signing {} now", "hook -> {}"])) if rng.random() < 0.8 else ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(24)), "password={}")
+            path = f"home/deploy/settings{rng.randrange(40)}.env"
+        else:  # checksums and samples, often under a known name, in docs
+            value, form = (hexa(32), rng.choice(["token={}", "digest {} ok", "secret: {}"])) if rng.random() < 0.8 else ("-".join(rng.choice(["some", "page", "name", "with"]) + str(rng.randrange(9)) for _ in range(4)), "see {}")
+            path = f"docs/guide/chapter/part{rng.randrange(40)}"
+        before, after = plain(6), plain(5)
+        if not secret:
+            before, after = before + "\n", "\n" + after
+        text = f"{before} {form.format(value)} {after}"
+        rows.append((i, text, path, text.index(value), secret))
+    return rows
+
+
+def test_secrets_held_out(spark):
+    """A forest on half of the planted findings beats the rules by far on the other half."""
+    from chatspark.llm.secrets import rule_label, scan_secrets
+
+    rows = planted_findings(random.Random(23), 600)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    labelled = spark.createDataFrame([(d, at, label) for d, _, _, at, label in rows if d % 4 < 2], "doc_id long, start long, label int")
+    found = {(r.doc_id, r.start): r.is_secret for r in scan_secrets(docs, labelled).collect()}
+    test = [r for r in rows if r[0] % 4 >= 2]
+
+    def measures(says):
+        hits = sum(says(r) and r[4] for r in test)
+        return hits / max(1, sum(map(bool, map(says, test)))), hits / sum(r[4] for r in test)
+
+    precision, recall = measures(lambda r: found[r[0], r[3]])
+    by_rules = measures(lambda r: rule_label(r[1][r[3] :].split()[0], r[1][max(0, r[3] - 40) : r[3]]) == 1)
+    assert precision >= 0.95 and recall >= 0.95 and min(by_rules) <= 0.5, (precision, recall, by_rules)
+
+
+def test_secrets_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, ties and clashing columns have their results; nothing is lost."""
+    from chatspark.llm.secrets import scan_secrets
+
+    text = f"x api_key={'ab12' * 8} y"
+    rows = [(None, text, None), (1, None, "s"), (2, "", None), (3, text, "s"), (3, text, "s"), (4, "word " * 60_000 + text, "long/path")]
+    docs = spark.createDataFrame([(*r, "c", 1.0, 2) for r in rows], "doc_id long, text string, source string, value string, score double, start int")
+    out = [(r.doc_id, r.start) for r in scan_secrets(docs).collect()]
+    assert sorted(out, key=str) == sorted([(None, 10), (3, 10), (3, 10), (4, 300_010)], key=str)
+
+
 def test_secrets(spark):
     import re
 
