@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.functions import situations as S
 from chatspark.functions import text as X
 from chatspark.operators.eligibility import bins as exceeded
 from chatspark.plans.registry import query
@@ -25,21 +26,80 @@ def repeated_character(spark, d):
     return table(spark, d, "documents").select("doc_id", X.surface_flags(F.col("text"))[-1])
 
 
-_MARKS = {"statement_end": ["en.", "on."], "question": ["?"], "loud": ["!"], "article": ["der", "the", "las"]}
-
-
-@query("WITH c AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM benchmark) SELECT item_id, array_to_string(list_filter([CASE WHEN contains(t, 'der') OR contains(t, 'the') OR contains(t, 'las') THEN 'article' END, CASE WHEN contains(t, '!') THEN 'loud' END, CASE WHEN contains(t, '?') THEN 'question' END, CASE WHEN contains(t, 'en.') OR contains(t, 'on.') THEN 'statement_end' END], lambda x: x IS NOT NULL), ',') AS tags FROM c")
+#: Turns and what each is, found by hand: text, form, tags, setup, target of praise, posture, expected answer.
+PHRASES = [
+    ("卧槽！！", "brief_exclamation", "brief_exclamation", "", None, None, "instant_reaction"),
+    ("吃饭还是看电影？", "choice_question", "question", "", None, None, "direct_answer"),
+    ("为什么这么晚", "wh_question", "question", "", None, None, "direct_answer"),
+    ("你到家了吗", "yes_no_question", "arrival_status", "", None, None, None),
+    ("行了？", "other_question", "question", "", None, None, "direct_answer"),
+    ("好的", "brief_statement", "", "", None, None, None),
+    ("今天的会议改到下午三点开始", "statement", "", "", None, None, None),
+    ("帮我拿一下快递", "statement", "invitation_request", "task_request", None, None, "accept_decline_or_clarify"),
+    ("能不能替我看看", "statement", "invitation_request", "task_request", None, None, "accept_decline_or_clarify"),
+    ("晚上一起吃饭", "brief_statement", "invitation_request", "invitation", None, None, "accept_decline_or_clarify"),
+    ("一起来帮忙搬家", "statement", "invitation_request", "", None, None, "accept_decline_or_clarify"),
+    ("在吗", "yes_no_question", "calling_presence", "", None, None, "brief_presence"),
+    ("昨天说好的那个方案我已经整理完了并且发到了群里面，大家都看过了没有意见\n 在吗", "yes_no_question", "", "", None, None, None),
+    ("我太菜了，羡慕你们", "statement", "self_deprecation", "", "listener_group", "self_lowering", "downplay_or_counter_praise"),
+    ("我不行了要去睡了", "statement", "", "", None, None, None),
+    ("你真厉害", "brief_statement", "praise", "", "listener", None, "deflect_or_playfully_accept"),
+    ("你厉害吗", "yes_no_question", "", "", None, None, None),
+    ("他也太强了", "brief_statement", "praise", "", "third_party", None, "agree_or_comment"),
+    ("烦死了", "brief_statement", "complaint", "emotion_vent", None, None, "acknowledge_or_share_feeling"),
+    ("我下班了，在路上", "statement", "arrival_status", "", None, None, None),
+    ("看这个 https://x.org", "statement", "share", "", None, None, "acknowledge_share"),
+    ("就这？少装", "brief_statement", "question,teasing", "playful_teasing", None, None, "playful_counter"),
+    ("有些词不知道怎么翻", "wh_question", "needs_clarification,question", "", None, None, "clarify_detail"),
+    ("太坑了", "brief_statement", "needs_clarification", "", None, None, "clarify_detail"),
+    ("你昨天说的那个后来怎么样", "wh_question", "question", "thread_followup", None, None, "direct_answer"),
+    ("你在哪里", "wh_question", "question", "location_followup", None, None, "direct_answer"),
+    ("是3号楼吗", "yes_no_question", "", "address_confirmation", None, None, None),
+    ("我到了，这里是正门吗", "yes_no_question", "arrival_status", "address_confirmation", None, None, None),
+    ("出来玩", "brief_statement", "calling_presence", "invitation", None, None, "brief_presence"),
+    ("羡慕各位大佬", "brief_statement", "self_deprecation", "", "listener_group", "self_lowering", "downplay_or_counter_praise"),
+    ("恭喜你", "brief_statement", "praise", "", "listener", None, "deflect_or_playfully_accept"),
+    ("又亏了", "brief_statement", "self_deprecation", "", None, "self_lowering", "acknowledge_or_reassure"),
+    (" \n", "", "", "", None, None, None),
+]
+
+
+def _phrase_sql(columns: dict[int, str]) -> str:
+    """Each turn with the listed facts of the phrase that it gets by its place."""
+    value = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ", ".join(f"({i}, {', '.join(value(p[c]) for c in columns)})" for i, p in enumerate(PHRASES))
+    names = ", ".join(columns.values())
+    return f"SELECT conv_id AS chat_id, turn AS pos, {names} FROM conversations JOIN (VALUES {rows}) v(k, {names}) ON (conv_id * 7 + turn) % {len(PHRASES)} = k"
+
+
+def _phrases(spark, d):
+    place = (F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1
+    text = F.element_at(F.array(*[F.lit(p[0]) for p in PHRASES]), place.cast("int"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"), text.alias("text"))
+
+
+@query(_phrase_sql({2: "tags"}))
 def situation_tags(spark, d):
-    """Tags by marks; the library's own marks are Chinese, the driver's texts are not, so the query states its own."""
-    return table(spark, d, "benchmark").select("item_id", F.array_join(X.situation_tags(F.col("text"), _MARKS), ",").alias("tags"))
+    """Tags of turns that get a phrase by their place."""
+    return _phrases(spark, d).select("chat_id", "pos", F.array_join(S.situation_tags(F.col("text")), ",").alias("tags"))
 
 
-@query("WITH c AS (SELECT chat_id, pos, (['帮我拿', '少装', '好累啊', '牛逼', '为什么？', '看这个', 'ok'])[pos % 7 + 1] AS t FROM (SELECT conv_id AS chat_id, turn AS pos FROM conversations)) SELECT chat_id, pos, CASE t WHEN '帮我拿' THEN 'accept_decline_or_clarify' WHEN '少装' THEN 'playful_counter' WHEN '好累啊' THEN 'acknowledge_or_share_feeling' WHEN '牛逼' THEN 'deflect_or_playfully_accept' WHEN '为什么？' THEN 'direct_answer' WHEN '看这个' THEN 'acknowledge_share' END AS move FROM c")
+@query(_phrase_sql({4: "praise_target", 5: "speaker_posture", 6: "expected_move"}))
 def situation_profile(spark, d):
-    """Expected move of turns that get a phrase by their place."""
-    phrases = F.array(*[F.lit(x) for x in ("帮我拿", "少装", "好累啊", "牛逼", "为什么？", "看这个", "ok")])
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"))
-    return c.select("chat_id", "pos", X.expected_move(X.situation_tags(F.element_at(phrases, (F.col("pos") % 7 + 1).cast("int")))).alias("move"))
+    """Target of praise, posture and expected answer of turns that get a phrase by their place."""
+    return _phrases(spark, d).select("chat_id", "pos", S.situation_profile(F.col("text")).alias("p")).select("chat_id", "pos", "p.*")
+
+
+@query(_phrase_sql({1: "form"}))
+def turn_form(spark, d):
+    """Forms of turns that get a phrase by their place."""
+    return _phrases(spark, d).select("chat_id", "pos", S.turn_form(F.col("text")).alias("form"))
+
+
+@query(_phrase_sql({3: "setup"}))
+def precise_situation(spark, d):
+    """Setups of turns that get a phrase by their place."""
+    return _phrases(spark, d).select("chat_id", "pos", S.precise_situation(F.col("text")).alias("setup"))
 
 
 @query("SELECT a.item_id AS a, b.item_id AS b, CASE WHEN length(a.text) // 100 = length(b.text) // 100 THEN 2.5 ELSE -2.5 END + CASE WHEN a.item_id % 5 = 0 OR b.item_id % 5 = 0 THEN 0.0 WHEN a.item_id % 3 = b.item_id % 3 THEN 2.0 ELSE -2.0 END AS compat FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
@@ -50,11 +110,6 @@ def profile_compat(spark, d):
     return both.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), (X.profile_compat(F.col("x.len"), F.col("y.len"), 2.5) + X.profile_compat(F.col("x.kind"), F.col("y.kind"), 2.0)).alias("compat"))
 
 
-@query("WITH c AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS c FROM documents), b AS (SELECT *, length(regexp_replace(c, '[^0-9a-z一-鿿]+', '', 'g')) AS n FROM c) SELECT doc_id, CASE WHEN c = '' THEN '' WHEN regexp_matches(c, '(还是|或者|或是| or ).{0,18}[?？]$') THEN 'choice_question' WHEN regexp_matches(c, '(为什么|为啥|怎么|咋|什么|啥|谁|哪|多少|几|what|why|how|who|where).{0,24}[?？]?$') THEN 'wh_question' WHEN regexp_matches(c, '(是不是|有没有|能不能|可不可以|要不要|行不行|对不对|吗|么)[?？]?$') THEN 'yes_no_question' WHEN regexp_matches(c, '[?？]$') THEN 'other_question' WHEN n <= 6 THEN 'brief_statement' ELSE 'statement' END AS form FROM b")
-def turn_form(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.turn_form(F.col("text")).alias("form"))
-
-
 @query(f"WITH {MSG} SELECT message_id, CAST(CAST(value > 5 AS INT) + CAST(value > 10 AS INT) + CAST(value > 20 AS INT) + CAST(value > 40 AS INT) AS INTEGER) AS bin FROM msg")
 def bins(spark, d):
     return messages(spark, d).select("message_id", exceeded(F.col("value"), [5, 10, 20, 40]).alias("bin"))
@@ -197,14 +252,6 @@ def validity_state(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.validity_state(kind, until, F.lit("1998-01-01").cast("date")).alias("state"))
 
 
-@query("WITH c AS (SELECT conv_id AS chat_id, turn AS pos, (['你在哪', '帮我看看', '一起吃饭', '你可真行', '好累', 'ok'])[turn % 6 + 1] AS t FROM conversations) SELECT chat_id, pos, CASE t WHEN '你在哪' THEN 'location_followup' WHEN '帮我看看' THEN 'task_request' WHEN '一起吃饭' THEN 'invitation' WHEN '你可真行' THEN 'playful_teasing' WHEN '好累' THEN 'emotion_vent' ELSE '' END AS setup FROM c")
-def precise_situation(spark, d):
-    """Setups of turns that get a phrase by their place."""
-    phrases = F.array(*[F.lit(x) for x in ("你在哪", "帮我看看", "一起吃饭", "你可真行", "好累", "ok")])
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"))
-    return c.select("chat_id", "pos", X.precise_situation(F.element_at(phrases, (F.col("pos") % 6 + 1).cast("int"))).alias("setup"))
-
-
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 0.0 WHEN toxic = 1 AND quality = 0 THEN 1.0 ELSE doc_id % 10 / 10 END AS probability FROM labels")
 def owner_shift_decide(spark, d):
     """A flag on one side alone overrides the base probability."""
