@@ -89,3 +89,27 @@ def role_union(a: DataFrame, b: DataFrame, content: list[str]) -> tuple[DataFram
     rows = a.unionByName(b).withColumn("_d", F.xxhash64(*content))
     bad = rows.groupBy("id").agg(F.count_distinct("_d").alias("contents")).filter("contents > 1").select("id")
     return rows.drop("_d").dropDuplicates(["id"]), bad
+
+
+def journal_contract(planned: DataFrame, written: DataFrame, verdicts: list[str]) -> DataFrame:
+    """(case_id, issue): what a journal lacks of its plan. Every planned case is to be there once, and no other.
+
+    `planned` has case_id; `written` case_id, status, reason and the boolean columns `verdicts`. Issues: blank or repeated cases of
+    the plan, missing, foreign and repeated rows, a status that is neither ok nor failed, a failure without its reason, and an
+    ok row without all verdicts.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    plan = planned.select(F.col("case_id").cast("string").alias("case_id")).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = written.withColumn("case_id", F.col("case_id").cast("string"))
+    counts = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("found"))
+    met = plan.withColumnRenamed("n", "planned").join(counts, "case_id", "full")
+    of_plan = met.select("case_id", F.explode(F.array_compact(F.array(
+        F.when((F.col("planned") > 0) & blank(F.col("case_id")), "plan_blank"), F.when(F.col("planned") > 1, "plan_repeated"),
+        F.when((F.col("planned") > 0) & F.col("found").isNull(), "missing"), F.when(F.col("planned").isNull(), "foreign"), F.when(F.col("found") > 1, "repeated"),
+    ))).alias("issue"))
+    known = F.coalesce(F.col("status").isin("ok", "failed"), F.lit(False))
+    whole = F.forall(F.array(*verdicts), lambda v: v.isNotNull())
+    of_rows = rows.select("case_id", F.explode(F.array_compact(F.array(
+        F.when(~known, "bad_status"), F.when((F.col("status") == "failed") & blank(F.col("reason")), "no_reason"), F.when((F.col("status") == "ok") & ~whole, "no_verdict"),
+    ))).alias("issue"))
+    return of_plan.unionByName(of_rows).distinct()

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def eligible_history(cases: DataFrame, pool: DataFrame, key: list[str], bucket: int = 86400 * 7) -> DataFrame:
+def eligible_history(cases: DataFrame, pool: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
     """(case_id, example_id) of pool rows that ended before the case's cutoff, in a chat that isn't excluded, sharing no message with its answer.
 
     Cases have cutoff_ts, reply_ids, excluded; pool rows end_ts, chat_id, ids. `key` is the equi-key that bounds the join. Rows that end in
-    the cutoff's own second are not earlier. The latest cutoff prunes the pool first; conflicts leave by an anti-join on message ids.
+    the cutoff's own second are not earlier. The latest cutoff prunes the pool first; a key's pool is dealt to `salts` tasks, to each of
+    which its cases go; conflicts leave by an anti-join on message ids.
     """
     last = cases.groupBy(*key).agg(F.max("cutoff_ts").alias("_last"))
-    live = pool.join(last, key).filter(F.col("end_ts") < F.col("_last")).drop("_last")
-    pairs = cases.join(live, key).filter((F.col("end_ts") < F.col("cutoff_ts")) & ~F.array_contains("excluded", F.col("chat_id"))).select("case_id", "example_id", "cutoff_ts", "end_ts")
+    live = pool.join(last, key).filter(F.col("end_ts") < F.col("_last")).select(*key, "example_id", "chat_id", "end_ts", F.pmod(F.xxhash64("example_id"), F.lit(salts)).alias("_salt"))
+    asked = cases.select("case_id", *key, "cutoff_ts", "excluded").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    pairs = asked.join(live, [*key, "_salt"]).filter((F.col("end_ts") < F.col("cutoff_ts")) & ~F.array_contains("excluded", F.col("chat_id"))).select("case_id", "example_id", "cutoff_ts", "end_ts")
     return pairs.join(conflicts(cases, pool), ["case_id", "example_id"], "left_anti")
 
 

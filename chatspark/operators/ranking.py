@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.splits import running_before
+
 
 def pref_pairs(rows: DataFrame) -> DataFrame:
     """(target_id, better, worse, weight): pairs of unequal grades inside a target of bounded size; a target's weights sum to one."""
@@ -26,7 +28,7 @@ def directed_pairs(rows: DataFrame) -> DataFrame:
 def cat_encode(rows: DataFrame, fit: Column, field: str) -> DataFrame:
     """Adds code: the rank (from 1) of the field's value among the fit rows' values, 0 for others."""
     values = rows.filter(fit).select(field).filter(F.col(field).isNotNull()).distinct()
-    coded = values.withColumn("code", F.dense_rank().over(Window.orderBy(field)))  # distinct categories only
+    coded = running_before(values.withColumn("_one", F.lit(1)), "_one", [field]).select(field, (F.col("before") + 1).cast("int").alias("code"))
     return rows.join(coded, field, "left").na.fill(0, ["code"])
 
 

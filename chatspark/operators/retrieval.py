@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,16 +26,19 @@ def term_overlap(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return pool.join(q, "term").groupBy("case_id", "id").agg(F.sum(F.least("n", "_q")).alias("overlap"))
 
 
-def candidate_bucket(queries: DataFrame, pool: DataFrame) -> DataFrame:
+def candidate_bucket(queries: DataFrame, pool: DataFrame, salts: int = 32) -> DataFrame:
     """(case_id, id, route) of rows that share a situation within the same group flag; all of the flag's rows where none does.
 
-    Both have is_group and situations; the fallback is an equi-join on the flag for the cases that the first join left without a row.
+    Both have is_group and situations. The fallback owes each case left without a row half the pool: the pool is dealt to `salts` tasks a
+    flag, and the cases go to each of them.
     """
     q = queries.select("case_id", "is_group", F.explode("situations").alias("s"))
     p = pool.select("id", "is_group", F.explode("situations").alias("s"))
     exact = q.join(p, ["is_group", "s"]).select("case_id", "id").distinct().withColumn("route", F.lit("situation"))
     rest = queries.join(exact.select("case_id").distinct(), "case_id", "left_anti").select("case_id", "is_group")
-    return exact.unionByName(rest.join(pool.select("id", "is_group"), "is_group").select("case_id", "id", F.lit("all").alias("route")))
+    rest = rest.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    dealt = pool.select("id", "is_group", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("_salt"))
+    return exact.unionByName(rest.join(dealt, ["is_group", "_salt"]).select("case_id", "id", F.lit("all").alias("route")))
 
 
 def rule_score(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -139,38 +145,59 @@ def budget_sweep(rows: DataFrame, budgets: list[int], k: int) -> DataFrame:
     return out
 
 
+#: Bytes of query vectors that go to the pool's tasks at a time.
+QUERY_BYTES = 32 << 20
+
+
 def dense_route(queries: DataFrame, pool: DataFrame, k: int, least: float = 0.01, block: int = 1024) -> DataFrame:
-    """(case_id, id, cosine, rank): each query block times each partition of the pool; a partition keeps k rows of a query before the shuffle.
+    """(case_id, id, cosine, rank): all queries against all rows, in blocks; a batch of the pool keeps k rows of a query before the shuffle.
 
-    The stated queries (case_id, vector) go to the pool's tasks in blocks, one pass for each.
+    The stated queries (case_id, vector) are broadcast, up to QUERY_BYTES for each pass over the pool.
     """
     spark = pool.sparkSession
-    out = None
-    rows = [(r.case_id, r.vector) for r in queries.toLocalIterator()]
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        ids = np.array([r[0] for r in part])
-        q = np.array([r[1] for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    found = None
+    for ids, q in _query_parts(queries):
         shared = spark.sparkContext.broadcast((ids, q))
 
         def run(batches, shared=shared):
             ids, q = shared.value
             for table in batches:
+                if not len(table):
+                    continue
                 v = np.stack(table["vector"].to_numpy()).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = q @ v.T
-                n = min(k, score.shape[1])
-                top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(score, top, 1)
-                keep = value >= least
-                yield pd.DataFrame({"case_id": np.repeat(ids, n)[keep.ravel()], "id": table["id"].to_numpy()[top[keep]], "cosine": value[keep]})
+                for at in range(0, len(q), block):
+                    score = q[at : at + block] @ v.T
+                    n = min(k, score.shape[1])
+                    top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    value = np.take_along_axis(score, top, 1)
+                    keep = value >= least
+                    yield pd.DataFrame({"case_id": np.repeat(ids[at : at + block], n)[keep.ravel()], "id": table["id"].to_numpy()[top[keep]], "cosine": value[keep]})
 
         one = pool.select("id", "vector").mapInPandas(run, "case_id long, id long, cosine double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return spark.createDataFrame([], "case_id long, id long, cosine double, rank int")
-    return topk_rank(out, ["case_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
+    return topk_rank(found, ["case_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
+
+
+def _query_parts(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, QUERY_BYTES at a time."""
+    ids, vectors, size = [], [], 0
+
+    def part():
+        q = np.array(vectors, np.float64)
+        return np.array(ids), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+
+    for row in queries.select("case_id", "vector").toLocalIterator():
+        ids.append(row.case_id)
+        vectors.append(row.vector)
+        size += 8 * len(row.vector)
+        if size >= QUERY_BYTES:
+            yield part()
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield part()
 
 
 def hybrid_search(dense: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
@@ -186,9 +213,14 @@ def hit_windows(windows: DataFrame) -> DataFrame:
     """Hits (case_id, chat_id, rank, start, end) in order of rank, without those that overlap an earlier one; a case's hits are bounded."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        out: list[int] = []
-        for i, row in table.sort_values("rank").iterrows():
-            if all(row.chat_id != table.chat_id[j] or row.end < table.start[j] or row.start > table.end[j] for j in out):
+        table = table.sort_values("rank")
+        out, kept = [], {}  # by chat: starts and ends of what stays, in order; they don't overlap
+        for i, chat, start, end in zip(table.index, table.chat_id, table.start, table.end):
+            starts, ends = kept.setdefault(chat, ([], []))
+            at = bisect.bisect_left(ends, start)
+            if at == len(starts) or starts[at] > end:
+                starts.insert(at, start)
+                ends.insert(at, end)
                 out.append(i)
         return table.loc[out, ["case_id", "chat_id", "rank", "start", "end"]]
 

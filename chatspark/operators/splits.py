@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,21 @@ def hash_order(seed: int, column: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")), 256)
 
 
+def running_before(rows: DataFrame, value: str, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Adds before: the sum of `value` over the rows that come earlier in the order (of columns), within `by` if given.
+
+    Rows are dealt by ranges of the order; sums within a range add to those of the ranges before it, so no task holds a whole kind.
+    """
+    by = by or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
+    sums = dealt.groupBy("_part", *by).agg(F.sum(value).alias("_n"))  # a row per range and kind
+    earlier = lambda *c: Window.partitionBy(*by).orderBy(*c).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", *by, F.coalesce(F.sum("_n").over(earlier("_part")), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(F.broadcast(base), ["_part", *by]).withColumn("before", F.col("_base") + F.col("_own")).drop("_part", "_base", "_own")
+
+
 def split_by_chat(messages: DataFrame, fixed: dict[str, int], dev: dict[str, int], seed: int = 42, per_chat: int = 18) -> DataFrame:
     """(chat_id, chat_type, role): chats are taken in hash order until their own messages, `per_chat` at most each, fill a kind's quota.
 
@@ -21,8 +39,8 @@ def split_by_chat(messages: DataFrame, fixed: dict[str, int], dev: dict[str, int
     quota = lambda q: F.coalesce(*[F.when(F.col("chat_type") == k, v) for k, v in q.items()], F.lit(0))
 
     def pick(rows, q, salt):
-        order = Window.partitionBy("chat_type").orderBy(hash_order(seed + salt, "chat_id"), "chat_id").rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))).filter(F.col("_before") < quota(q)).drop("_before")
+        placed = running_before(rows.withColumn("_h", hash_order(seed + salt, "chat_id")), "n", ["_h", "chat_id"], ["chat_type"])
+        return placed.filter(F.col("before") < quota(q)).drop("_h", "before")
 
     first = pick(chats, fixed, 0).select("chat_id", F.lit("fixed_test").alias("role"))
     second = pick(chats.join(first, "chat_id", "left_anti"), dev, 1).select("chat_id", F.lit("development").alias("role"))
@@ -72,26 +90,33 @@ def choose_quota(rows: DataFrame, total: int, group_ratio: float, cap: int, seed
 def holdout_search(counts: DataFrame, needs: list[tuple[str, str, bool, int, int]], fraction: float, seed: int = 42, attempts: int = 1000) -> DataFrame:
     """The first attempt whose held-out chats leave enough capacity: attempt and its chats.
 
-    `counts` has chat_id, chat_type, window, n; a need is (window, chat_type, held out?, cap, amount). The chats' table is small
-    beside the rows; attempts are broadcast to it.
+    `counts` has chat_id, chat_type, window, n; a need is (window, chat_type, held out?, cap, amount). Attempts are tried in
+    rounds, each four times the one before, until one is enough; a round's attempts are broadcast to the chats' table.
     """
-    spark = counts.sparkSession
     chats = counts.select("chat_id", "chat_type").distinct()
-    tries = spark.range(attempts).select(F.col("id").cast("int").alias("attempt"))
-    ranked = chats.join(F.broadcast(tries)).withColumn("_h", F.sha2(F.concat(F.col("attempt") + seed, F.lit(":"), F.col("chat_id").cast("string")), 256))
+    at, size = 0, 8
+    while True:
+        tries = range(at, min(attempts, at + size))
+        held, best = _holdouts(chats, counts, needs, fraction, seed, tries)
+        found = best.first().attempt
+        if found is not None or tries.stop >= attempts:
+            return held.filter("held").filter(F.col("attempt") == F.lit(found)).select("attempt", "chat_id")
+        at, size = tries.stop, size * 4
+
+
+def _holdouts(chats: DataFrame, counts: DataFrame, needs: list[tuple[str, str, bool, int, int]], fraction: float, seed: int, tries: range) -> tuple[DataFrame, DataFrame]:
+    """(attempt, chat_id, held) of some attempts, and the first that is enough."""
+    numbers = chats.sparkSession.range(tries.start, tries.stop).select(F.col("id").cast("int").alias("attempt"))
+    ranked = chats.join(F.broadcast(numbers)).withColumn("_h", F.sha2(F.concat(F.col("attempt") + seed, F.lit(":"), F.col("chat_id").cast("string")), 256))
     per = Window.partitionBy("attempt", "chat_type")
     size = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(per) * fraction).cast("int"))
     held = ranked.withColumn("held", F.row_number().over(per.orderBy("_h", "chat_id")) <= size).select("attempt", "chat_id", "held")
-    joined = held.join(counts, "chat_id")
     enough = [
         F.coalesce(F.sum(F.when((F.col("window") == w) & (F.col("chat_type") == k) & (F.col("held") == F.lit(h)), F.least("n", F.lit(cap)))), F.lit(0)) >= need
         for w, k, h, cap, need in needs
     ]
-    ok = enough[0]
-    for e in enough[1:]:
-        ok = ok & e
-    best = joined.groupBy("attempt").agg(ok.alias("ok")).filter("ok").agg(F.min("attempt").alias("attempt"))
-    return held.filter("held").join(F.broadcast(best), "attempt").select("attempt", "chat_id")
+    ok = reduce(and_, enough)
+    return held, held.join(counts, "chat_id").groupBy("attempt").agg(ok.alias("ok")).filter("ok").agg(F.min("attempt").alias("attempt"))
 
 
 def seal_batches(rows: DataFrame, batches: int, stratum: list[str], seed: int = 42) -> DataFrame:
@@ -118,9 +143,8 @@ def stratified_candidates(rows: DataFrame, limit: int = 8, seed: int = 42) -> Da
 
 def cap_observations(targets: DataFrame, limit: int) -> DataFrame:
     """Targets (target_id, priority, n) in order until `limit` observations; `take` cuts the last."""
-    order = Window.orderBy("priority", "target_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(order), F.lit(0))
-    return targets.withColumn("_b", before).filter(F.col("_b") < limit).withColumn("take", F.least(F.col("n"), limit - F.col("_b"))).drop("_b")
+    placed = running_before(targets, "n", ["priority", "target_id"])
+    return placed.filter(F.col("before") < limit).withColumn("take", F.least(F.col("n"), limit - F.col("before"))).drop("before")
 
 
 def temporal_split(targets: DataFrame, materials: DataFrame, fit_fraction: float = 0.8, until_stable: bool = False) -> DataFrame:

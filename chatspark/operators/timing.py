@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.sources.scratch import written
+
 
 def latency_dist(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Measured and missing counts, mean, true median and nearest-rank 95th percentile."""
@@ -72,14 +74,15 @@ def failure_category(column: str):
 def cache_lineage(calls: DataFrame, max_hops: int = 16) -> DataFrame:
     """(call_id, root_id, hops, state) of calls (call_id, origin_id): origins are followed to the measured call, doubling the step each round.
 
-    State is measured, missing (an origin that isn't there), cycle or too_deep. Rounds are log2 of max_hops, each written by the caller's
-    checkpoint setting when there is one.
+    State is measured, missing (an origin that isn't there), cycle or too_deep. Rounds are log2 of max_hops, each written, so a round
+    reads the one before it and not all of them.
     """
     state = calls.select("call_id", F.coalesce("origin_id", "call_id").alias("root"), F.when(F.col("origin_id").isNull(), 0).otherwise(1).alias("hops"))
     reach = 1
     while reach < 2 * max_hops:
         step = state.select(F.col("call_id").alias("root"), F.col("root").alias("_next"), F.col("hops").alias("_more"))
         state = state.join(step, "root", "left").select("call_id", F.coalesce("_next", "root").alias("root"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+        state = written(state)
         reach *= 2
     ends = calls.select(F.col("call_id").alias("root"), F.col("origin_id").isNull().alias("_end"))
     out = state.join(ends, "root", "left")

@@ -20,9 +20,9 @@ def surface_flags(spark, d):
     return docs.select("doc_id", *[c for c in X.surface_flags(F.col("text"))[:-1]])
 
 
-@query()
+@query("WITH t AS (SELECT doc_id, string_split(text, '') AS c FROM documents) SELECT doc_id, len(list_filter(range(1, len(c) - 1), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] NOT IN (chr(10), chr(13)))) > 0 AS repeated_character FROM t")
 def repeated_character(spark, d):
-    """The flag that needs a back reference, which DuckDB's regular expressions lack."""
+    """The flag of a character that is there three times in a row."""
     return table(spark, d, "documents").select("doc_id", X.surface_flags(F.col("text"))[-1])
 
 
@@ -161,9 +161,12 @@ def reply_local(spark, d):
     return dialogue(spark, d).filter("is_self").select("message_id", F.size(lines).alias("bubbles"), exceeded(F.length("text"), [100, 400, 1600]).alias("length_bin"), F.instr("text", "?").alias("question_at"), F.element_at(lines, -1).rlike("[.]$").alias("ends_with_stop"))
 
 
-@query()
+_TERMS = "list_filter(string_split(regexp_replace(lower(text), '\\s+', '', 'g'), ''), lambda x: regexp_matches(x, '^[\\p{L}\\p{N}]$'))"
+
+
+@query(f"WITH c AS (SELECT item_id, {_TERMS} AS c FROM benchmark), t AS (SELECT item_id, list_distinct(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]))) AS t FROM c) SELECT a.item_id, round(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1")
 def token_jaccard(spark, d):
-    """Neighbouring benchmark items by their characters and bigrams; tested against Python sets."""
+    """Neighbouring benchmark items by their characters and bigrams."""
     b = table(spark, d, "benchmark")
     x, y = b.alias("x"), b.alias("y")
     return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("item_id"), F.round(X.token_jaccard(F.col("x.text"), F.col("y.text")), 6).alias("jaccard"))

@@ -247,3 +247,19 @@ def attribution_issues(spark, d):
 def feature_tasks(spark, d):
     docs = table(spark, d, "documents")
     return E.feature_tasks(docs, docs.filter("doc_id % 4 = 0").select(F.sha2(F.concat(F.lit("v1:"), "text"), 256).alias("task")), "v1")
+
+
+@query("""WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS case_id FROM customer WHERE c_custkey % 7 <> 3 UNION ALL SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 50 = 1), w AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 9 > 0 THEN 'timeout' WHEN o_orderkey % 2 = 0 THEN '' END AS reason, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 2 = 0 END AS a, o_orderkey % 3 = 0 AS b FROM orders),
+pc AS (SELECT case_id, count(*) AS n FROM p GROUP BY 1), wc AS (SELECT case_id, count(*) AS n FROM w GROUP BY 1)
+SELECT case_id, 'plan_repeated' AS issue FROM pc WHERE n > 1 UNION SELECT case_id, 'missing' FROM pc WHERE case_id NOT IN (SELECT case_id FROM wc) UNION SELECT case_id, 'foreign' FROM wc WHERE case_id NOT IN (SELECT case_id FROM pc) UNION SELECT case_id, 'repeated' FROM wc WHERE n > 1
+UNION SELECT case_id, 'bad_status' FROM w WHERE status = 'open' UNION SELECT case_id, 'no_reason' FROM w WHERE status = 'failed' AND coalesce(reason, '') = '' UNION SELECT case_id, 'no_verdict' FROM w WHERE status = 'ok' AND (a IS NULL OR b IS NULL)""")
+def journal_contract(spark, d):
+    """Customers are the plan, some of them twice; their orders the journal's rows."""
+    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders")
+    planned = c.filter("c_custkey % 7 != 3").unionByName(c.filter("c_custkey % 50 = 1")).select(F.col("c_custkey").alias("case_id"))
+    k = F.col("o_orderkey")
+    written = o.select(
+        F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").otherwise("open").alias("status"),
+        F.when(k % 9 > 0, "timeout").when(k % 2 == 0, "").alias("reason"), F.when(k % 11 > 0, k % 2 == 0).alias("a"), (k % 3 == 0).alias("b"),
+    )
+    return A.journal_contract(planned, written, ["a", "b"])

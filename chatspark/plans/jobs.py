@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from chatspark.functions import events as E
@@ -15,15 +12,10 @@ from chatspark.plans.corpus import _EX, _WIN, WIDE, examples
 from chatspark.plans.registry import query
 from chatspark.plans.tables import messages, table
 from chatspark.sources import io
+from chatspark.sources.scratch import folder
 from chatspark.streaming import jobs as J
 
 
-def _folder(spark) -> str:
-    """A new folder where the cluster keeps its checkpoints; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatspark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _pool(spark, d):
     return S.time_windows(examples(spark, d)).select(F.col("example_id").alias("id"), "chat_id", "chat_type", "window", F.concat("context_ids", "reply_ids").alias("ids"))
 
@@ -36,7 +28,7 @@ def _ranked(rel: str, seed: int, cap: int, group: int, private: int) -> str:
 occ AS (SELECT list(DISTINCT i) AS l FROM (SELECT unnest(ids) AS i FROM p WHERE id IN (SELECT id FROM dev))), ac AS (SELECT p.* FROM p, occ WHERE w = 'acceptance' AND NOT list_has_any(ids, coalesce(l, [])))
 SELECT 'gen_learning' AS role, id FROM learn UNION ALL SELECT 'gen_optimization', id FROM ({_ranked('learn', 42, 5, 30, 10)}) UNION ALL SELECT 'judge_training', id FROM ({_ranked('learn', 43, 5, 12, 12)}) UNION ALL SELECT 'development', id FROM dev UNION ALL SELECT 'judge_development', id FROM dev UNION ALL SELECT 'fixed_test', id FROM ({_ranked('ac', 42, 3, 30, 10)})""")
 def plan_roles(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     _pool(spark, d).write.parquet(path)  # six roles are drawn from it
     p = spark.read.parquet(path)
     held = p.filter("chat_id % 6 = 1").select("chat_id")
@@ -115,7 +107,7 @@ def ev_normalize(spark, d):
 @query("SELECT CAST(user_id AS VARCHAR) AS chat_id, event_id AS timestamp, event_type AS text FROM events")
 def io_read_unified(spark, d):
     """Messages written as JSON lines and read back with the checked schema."""
-    path = _folder(spark)
+    path = folder(spark)
     e = table(spark, d, "events")
     e.select(F.col("user_id").cast("string").alias("chat_id"), F.lit("group").alias("chat_type"), F.lit("s").alias("sender"), F.lit(False).alias("is_self"), F.col("event_id").alias("timestamp"), F.col("event_type").alias("text")).write.json(path)
     rows, bad = io.read_unified(spark, path)
@@ -127,7 +119,7 @@ def io_read_unified(spark, d):
 @query("SELECT conv_id AS peer, turn AS file_pos, role AS sender, length(text) AS n FROM conversations")
 def io_read_export(spark, d):
     """Conversations written as one export document each and read back."""
-    path = _folder(spark)
+    path = folder(spark)
     c = table(spark, d, "conversations")
     m = F.struct("turn", F.struct(F.col("text").alias("content"), F.col("role").alias("senderUsername")).alias("m"))
     doc = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: x["m"]).alias("messages"))
@@ -139,7 +131,7 @@ def io_read_export(spark, d):
 @query("SELECT conv_id AS case_id, turn AS line FROM conversations")
 def io_read_journal(spark, d):
     """Turns written as journals, one a conversation, and read back with their line numbers."""
-    path = _folder(spark)
+    path = folder(spark)
     c = table(spark, d, "conversations").withColumn("r", F.struct("turn", F.to_json(F.struct(F.col("conv_id").alias("case_id"), F.col("turn").alias("line"))).alias("j")))
     text = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["j"]), "\n").alias("value"))
     text.withColumn("part", F.col("conv_id")).select("value", "part").write.partitionBy("part").text(path)
@@ -152,11 +144,11 @@ def io_read_journal(spark, d):
 @query(f'WITH {_WIN} SELECT "window" AS role, count(*) AS total, count(DISTINCT chat_id) AS chats, CAST(sum(CAST(chat_type = \'group\' AS BIGINT)) AS BIGINT) AS group_rows FROM win WHERE "window" IS NOT NULL GROUP BY ALL')
 def io_write_roles(spark, d):
     e = S.time_windows(examples(spark, d)).filter("window is not null").withColumnRenamed("window", "role")
-    return io.write_roles(e.select("role", "example_id", "chat_id", "chat_type"), _folder(spark))
+    return io.write_roles(e.select("role", "example_id", "chat_id", "chat_type"), folder(spark))
 
 
 def _stream(spark, d):
-    path = _folder(spark)
+    path = folder(spark)
     e = table(spark, d, "events")
     e.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(path)
     return J.read_events(spark, path, 100)
@@ -166,37 +158,31 @@ def _stream(spark, d):
 def st_dedupe(spark, d):
     """Every event twice: each stays once."""
     s = _stream(spark, d)
-    return J.run_available(J.dedupe_stream(s.union(s), "40 days"), _folder(spark)).select("event_id", "user_id")
+    return J.run_available(J.dedupe_stream(s.union(s), "40 days"), folder(spark)).select("event_id", "user_id")
 
 
 @query("WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 2 HOUR, true) AS new FROM events), i AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), s AS (SELECT user_id, k, min(ts) AS start_ts, max(ts) + INTERVAL 2 HOUR AS end_ts, count(*) AS n FROM i GROUP BY ALL) SELECT user_id, start_ts, end_ts, n FROM s WHERE end_ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def st_sessions(spark, d):
     """Sessions that the watermark has closed."""
-    return J.run_available(J.session_stream(_stream(spark, d)), _folder(spark))
+    return J.run_available(J.session_stream(_stream(spark, d)), folder(spark))
 
 
 @query("SELECT date_trunc('day', ts) AS start_ts, CASE WHEN user_id % 4 = 0 THEN 'private' ELSE 'group' END AS chat_type, event_type AS kind, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL")
 def st_gap_counts(spark, d):
     """Counts of the days that the watermark has closed."""
-    return J.run_available(J.gap_counts_stream(_stream(spark, d)), _folder(spark))
+    return J.run_available(J.gap_counts_stream(_stream(spark, d)), folder(spark))
 
 
 @query("WITH m AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'purchase' AS own, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), p AS (SELECT *, coalesce(NOT lag(own) OVER w OR ts - lag(ts) OVER w > 21600, true) AS new, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS back FROM m WINDOW w AS (PARTITION BY user_id ORDER BY r)), b AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY r) AS k FROM p WHERE own), g AS (SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n, min(back) AS back FROM b GROUP BY user_id, k) SELECT user_id, start_ts, end_ts, n FROM g WHERE back > 1 OR end_ts + 21600 < (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) - 600 FROM events)")
 def st_bursts(spark, d):
     """Bursts of own messages with gaps of up to six hours, ended by another message, a gap or the watermark."""
-    return J.run_available(J.burst_stream(_stream(spark, d), 21600), _folder(spark))
+    return J.run_available(J.burst_stream(_stream(spark, d), 21600), folder(spark))
 
 
 @query("SELECT user_id AS case_id, max(event_id) AS line_no, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def st_final_records(spark, d):
     """The last event of each user, kept up to date batch by batch."""
-    out = _folder(spark)
+    out = folder(spark)
     s = _stream(spark, d).select(F.col("user_id").alias("case_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("status"))
-    versions = []
-
-    def sink(batch, epoch, merge=J.final_records_sink(out)):
-        merge(batch, epoch)
-        versions.append(epoch)
-
-    s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/v{versions[-1]}")
+    s.writeStream.foreachBatch(J.final_records_sink(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return J.current_records(spark, out, s.schema)

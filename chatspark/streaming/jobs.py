@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -70,20 +72,45 @@ def burst_stream(events: DataFrame, reply_gap: int = 120, lateness: str = "10 mi
     return grouped.applyInPandasWithState(step, "user_id long, start_ts long, end_ts long, n long", "start_ts long, last_ts long, n long", "append", "EventTimeTimeout")
 
 
-def final_records_sink(path: str):
-    """A foreachBatch function that keeps the last record (largest line_no) of each case: each batch writes a new version of the table next to the old one."""
+def final_records_sink(path: str, buckets: int = 32):
+    """A foreachBatch function that keeps the last record (largest line_no) of each case.
+
+    Cases are dealt to buckets; a batch writes a new version of the buckets that it touches and leaves the others. A batch that
+    is run again replaces its own version.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}").unionByName(batch)
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int"))
+        if (old := _versions(batch.sparkSession, path, batch.schema, epoch)) is not None:
+            touched = rows.select("bucket").distinct()
+            rows = rows.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi").select(*rows.columns))
         last = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("line_no")))
-        rows.withColumn("_r", last).filter("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        rows.withColumn("_r", last).filter("_r = 1").drop("_r").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
 
     return merge
 
 
+def _versions(spark, path: str, schema: StructType, before: int | None = None) -> DataFrame | None:
+    """The newest version of each bucket, of those before an epoch if given; None where there is none."""
+    full = StructType([*schema.fields, StructField("epoch", LongType()), StructField("bucket", IntegerType())])
+    try:
+        rows = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if before is not None:
+        rows = rows.filter(F.col("epoch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("epoch").alias("epoch"))  # a row per bucket, from the folders' names
+    return rows.join(F.broadcast(newest), ["bucket", "epoch"])
+
+
+def current_records(spark, path: str, schema: StructType) -> DataFrame:
+    """What a final_records_sink has kept so far."""
+    rows = _versions(spark, path, schema)
+    return spark.createDataFrame([], schema) if rows is None else rows.select(*schema.names)
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into Parquet files, and read them."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
