@@ -223,9 +223,16 @@ def test_record_files_follow_each_other(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_packing(docs, rows):
+@pytest.mark.parametrize("window", [64, 2048])
+def test_packing(spark, docs, rows, window):
+    """Awkward rows in short windows; many texts of few lengths, copies too, in full ones."""
+    if window == 2048:
+        rng = random.Random(6)
+        rows = [(i, " ".join(words(rng, rng.choice([3, 40, 41, 400, 900]), 10**6)) if i % 3 else "the same " * 300) for i in range(400)]
+        rows += [(5000, " ".join(words(rng, 5000)))]
+        docs = frame(spark, rows)
     by, sequences = {}, {}
-    for r in packing.pack(docs, tokenizer_path(), window=64).collect():
+    for r in packing.pack(docs, tokenizer_path(), window=window).collect():
         by.setdefault(r.doc_id, []).append(r)
         sequences.setdefault(r.sequence_id, []).append(r)
     for d, t in rows:
@@ -239,7 +246,9 @@ def test_packing(docs, rows):
         for r in sorted(s, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at == 64 or at & (at - 1) == 0
+        assert at == window or at < window and at & (at - 1) == 0
+    if window == 2048:  # little is cut that need not be
+        assert sum(len(x) for x in by.values()) <= 1.15 * sum(-(-len(tokens(t, 1)) // window) for _, t in rows)
 
 
 def test_text_special_tokens():
@@ -557,6 +566,25 @@ def test_null_and_shared_ids_keep_their_texts_apart(spark):
     assert stay.count() == accepted_documents(docs).count() and stay.filter("text like '1234567890%'").count() == 0
 
 
+def test_clashing_columns(spark):
+    """Stages keep columns whatever their names, and what they decide is the same."""
+    from pyspark.sql import functions as F
+
+    from chatspark.llm.language_id import accepted_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, "1234567890 " * 40, "en", "src1", 1), (1, "1234567890 " * 40, "en", "src1", 1)], docs.schema)
+    docs = docs.unionByName(odd)
+    bench = spark.createDataFrame([(1, docs.first().text[:400])], "item_id long, text string")
+    names = ["gone", "GONE_", "row", "_row", "_text", "_h", "_sha", "_maybe", "__gone", "__cs_text", "key", "hash", "copies", "range", "_range", "least_id", "cls"]
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for stage in (accepted_documents, exact_dedup, near_dedup, lambda d: clean_documents(d, bench), lambda d: clean_documents(d, bench, 0)):
+        a, b = stage(docs), stage(wide)
+        assert b.columns == wide.columns and 0 < a.count() < docs.count()
+        assert sorted(map(str, b.select("doc_id", "text").collect())) == sorted(map(str, a.select("doc_id", "text").collect()))
+        assert b.first()["_maybe"] == names.index("_maybe")
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(words(random.Random(8), 60))
     docs = frame(spark, [(None, t), (4, t), (4, t), (9, t), (9, "x")])
