@@ -15,6 +15,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch that a task exchanges with its Python worker, whatever the length of the texts.
 BATCH_BYTES = 8 << 20
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="chatspark-"))
         base = _own_dir[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all operators so far, once their results are written elsewhere."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -91,11 +104,9 @@ def written_by_key(df: DataFrame, key: str, label: str = "table") -> DataFrame:
 
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete intermediate tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, file.rpartition("/")[0])
 
 
 def text_key(column: str = "text"):

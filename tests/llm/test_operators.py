@@ -275,6 +275,20 @@ def test_ids_of_all_scripts():
     assert [x.tolist() for x in ChunkEncoder(tokenizer_path()).encode_all(pa.array(texts))] == want
 
 
+def test_intermediate_tables_are_cleared(spark):
+    from chatspark.llm import stage
+
+    kept = stage.written(spark.range(5))
+    bucketed = stage.written_by_key(spark.range(9), "id")
+    assert kept.count() == 5 and bucketed.count() == 9
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("table_", "texts_", "sets_"))]
+    path = Path(kept.inputFiles()[0].removeprefix("file://"))
+    stage.drop_written(spark, bucketed)
+    assert path.exists() and not Path(bucketed.inputFiles()[0].removeprefix("file://")).exists()
+    stage.clear(spark)
+    assert not path.exists() and not stage._made
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(None, 5), (7, 7)]
