@@ -52,16 +52,38 @@ def prob_metrics(rows: DataFrame, by: list[str], clip: float = 1e-6) -> DataFram
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.sum(((F.col("probability") >= 0.5).cast("int") == F.col("label")).cast("long")).alias("correct"), F.round(F.avg(loss), 6).alias("logloss"))
 
 
-def topk_expectation(rows: DataFrame, k: int) -> DataFrame:
-    """(target_id, hit, positives): expectations at K when ties are broken uniformly (hypergeometric at the cut)."""
-    tied = rows.groupBy("target_id", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("pos"))
-    run = Window.partitionBy("target_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+def topk_expectation(rows: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(target_id or other `by`, hit, positives): expectations at K when ties are broken uniformly (hypergeometric at the cut)."""
+    by = by or ["target_id"]
+    tied = rows.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("pos"))
+    run = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     cut = tied.withColumn("above", F.coalesce(F.sum("n").over(run), F.lit(0)))
     take = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - F.col("above")))
     cut = cut.withColumn("take", take.cast("int"))
     # probability of no positive among `take` of n with pos positives: product of (n - pos - i) / (n - i)
     miss = F.aggregate(F.sequence(F.lit(0), F.col("take")), F.lit(1.0), lambda acc, i: F.when(i < F.col("take"), acc * F.greatest(F.lit(0.0), (F.col("n") - F.col("pos") - i) / (F.col("n") - i))).otherwise(acc))
-    return cut.withColumn("miss", miss).groupBy("target_id").agg(F.round(1 - F.product("miss"), 6).alias("hit"), F.round(F.sum(F.when(F.col("n") > 0, F.col("take") * F.col("pos") / F.col("n"))), 6).alias("positives"))
+    return cut.withColumn("miss", miss).groupBy(*by).agg(F.round(1 - F.product("miss"), 6).alias("hit"), F.round(F.sum(F.when(F.col("n") > 0, F.col("take") * F.col("pos") / F.col("n"))), 6).alias("positives"))
+
+
+def graded_comparison(rows: DataFrame, methods: list[str], ks: list[int], thresholds: list[int]) -> DataFrame:
+    """(method, threshold, k, targets, available, hit_rate, hit_rate_given_available) of saved scores, one column for each method.
+
+    A row counts as positive from the threshold grade on; `available` are the targets that have one. Targets without stay
+    in the first rate's denominator, and leave the second's.
+    """
+    score = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("score")) for m in methods])).alias("s")
+    stacked = rows.select("target_id", "grade", score).select("target_id", "grade", "s.*").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    stacked = stacked.withColumn("z", (F.col("grade") >= F.col("threshold")).cast("int"))
+    by = ["method", "threshold", "target_id"]
+    any_of = stacked.groupBy(*by).agg(F.max("z").alias("available"))
+    out = None
+    for k in ks:
+        found = topk_expectation(stacked, k, by).join(any_of, by).groupBy("method", "threshold").agg(
+            F.count(F.lit(1)).alias("targets"), F.sum("available").alias("available"), F.round(F.avg("hit"), 5).alias("hit_rate"),
+            F.round(F.avg(F.when(F.col("available") == 1, F.col("hit"))), 5).alias("hit_rate_given_available"),
+        ).withColumn("k", F.lit(k))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def rank_metrics(rows: DataFrame) -> DataFrame:

@@ -63,12 +63,29 @@ def prob_metrics(spark, d):
     return K.prob_metrics(rows, ["l_returnflag"])
 
 
-@query()
+def _expected(rel: str, by: str, k: int) -> str:
+    """CTEs up to xp: hit and positives of each target of a relation with score and z."""
+    return f"""tied AS (SELECT {by}, score, count(*) AS n, sum(z) AS pos FROM {rel} GROUP BY ALL), ab AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM tied),
+tk AS (SELECT *, CAST(greatest(0, least(n, {k} - above)) AS BIGINT) AS take FROM ab), ms AS (SELECT *, CASE WHEN take = 0 THEN 1.0 ELSE list_aggregate(list_transform(range(take), lambda i: greatest(0.0, (n - pos - i) / (n - i))), 'product') END AS miss FROM tk),
+xp AS (SELECT {by}, round(1 - product(miss), 6) AS hit, round(sum(take * pos / n), 6) AS positives FROM ms GROUP BY ALL)"""
+
+
+@query(f"WITH {OB}, lb AS (SELECT * FROM ob WHERE z IS NOT NULL), {_expected('lb', 'target_id', 3)} SELECT * FROM xp")
 def topk_expectation(spark, d):
-    """Expected hits at 3 with ties broken uniformly; tested against an enumeration."""
+    """Expected hits at 3 with ties broken uniformly."""
     return K.topk_expectation(observations(spark, d).filter("z is not null"), 3)
 
 
+_GRADED = f"gr AS (SELECT target_id, grade, unnest([{{'method': 'plain', 'score': CAST(score AS DOUBLE)}}, {{'method': 'by_part', 'score': CAST(part % 7 AS DOUBLE)}}], recursive := true) FROM ob), st AS (SELECT *, CAST(grade >= threshold AS INTEGER) AS z FROM (SELECT *, unnest([1, 2, 3]) AS threshold FROM gr)), av AS (SELECT method, threshold, target_id, max(z) AS available FROM st GROUP BY ALL)"
+
+
+@query(" UNION ALL ".join(f"(WITH {OB}, {_GRADED}, {_expected('st', 'method, threshold, target_id', k)} SELECT method, CAST(threshold AS INTEGER) AS threshold, {k} AS k, count(*) AS targets, CAST(sum(available) AS BIGINT) AS available, round(avg(hit), 5) AS hit_rate, round(avg(CASE WHEN available = 1 THEN hit END), 5) AS hit_rate_given_available FROM xp JOIN av USING (method, threshold, target_id) GROUP BY ALL)" for k in (1, 3)))
+def graded_comparison(spark, d):
+    """Two saved scores of an order's lines, by their first and first three."""
+    rows = observations(spark, d).withColumn("plain", F.col("score")).withColumn("by_part", F.col("part") % 7)
+    return K.graded_comparison(rows, ["plain", "by_part"], [1, 3], [1, 2, 3])
+
+
 @query(f"""WITH {OB}, o AS (SELECT * FROM ob WHERE z IS NOT NULL), s AS (SELECT score, sum(z) AS p, sum(1 - z) AS q FROM o GROUP BY score), c AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq FROM s WINDOW w AS (ORDER BY score DESC)),
 w AS (SELECT a.target_id, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS win, count(*) AS n FROM o a JOIN o b USING (target_id) WHERE a.z = 1 AND b.z = 0 GROUP BY 1),
 t AS (SELECT target_id, avg(z) AS y FROM (SELECT *, max(score) OVER (PARTITION BY target_id) AS m FROM o) WHERE score = m GROUP BY 1)
