@@ -44,8 +44,10 @@ SLICE = 1 << 16
 #: Lists up to this many classes make pairs; longer ones are parted by the next order.
 HOT = 64
 #: Classes and tokens in a block of a cluster.
-BLOCK = 1024
+BLOCK = 256
 BLOCK_TOKENS = 1 << 21
+#: Tokens of dense lists up to this many (24 MB) are broadcast with their first class; more are joined by shuffle.
+MAX_BROADCAST_HEADS = 1_000_000
 #: Keys of dropped rows up to this many (32 MB) are broadcast against the documents; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _LEAST = -(1 << 63)
@@ -336,11 +338,11 @@ def _clusters(hot: DataFrame, sets: DataFrame) -> DataFrame:
 
     def joined(rows, key):
         """(cls, root): components of the classes that share a key."""
-        heads = rows.groupBy(*key).agg(F.min("cls").alias("head"))
-        edges = rows.join(heads, key).select("cls", "head").distinct()
-        alone = edges.filter("cls = head").select("cls", F.col("cls").alias("root"))
-        found = components(edges, "cls", "head").select(F.col("node").alias("cls"), "root")
-        return written(found.unionByName(alone).groupBy("cls").agg(F.min("root").alias("root")), "clusters")
+        heads = written(rows.groupBy(*key).agg(F.min("cls").alias("head")), "heads")
+        if heads.count() <= MAX_BROADCAST_HEADS:
+            heads = F.broadcast(heads)
+        found = components(rows.join(heads, key).select("cls", "head"), "cls", "head")
+        return found.select(F.col("node").alias("cls"), "root")
 
     def run(batches):
         for batch in batches:
