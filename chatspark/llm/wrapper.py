@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -358,8 +360,24 @@ def _references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _BLOCKS = "array<struct<node:long,path:long,hash:long,text:string>>"
 _TREE = "array<struct<path:long,parent:long,depth:int,flags:int>>"
-_BLOCK_KIND = pa.list_(pa.struct([("node", pa.int64()), ("path", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
-_TREE_KIND = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("flags", pa.int32())]))
+
+
+def _packed(sizes: list[int], columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.Array:
+    """A list array of structs from flat columns."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
+
+
+def _rows(lists: pa.Array, *names: str) -> Iterator[list[list]]:
+    """The columns of the structs of each list."""
+    flat = lists.flatten()
+    columns = [flat.field(n).to_pylist() for n in names]
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+    at = 0
+    for n in sizes:
+        yield [c[at : at + n] for c in columns]
+        at += n
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
@@ -368,7 +386,7 @@ def _aligned(rows: DataFrame) -> DataFrame:
     def run(batches):
         cache: dict[tuple, Reference] = {}
         for batch in batches:
-            digests, out, trees = [], [], []
+            digests, sizes, flat, tree_sizes, trees = [], [], ([], [], [], []), [], ([], [], [], [])
             for host, chosen, html, reference in zip(*[batch[c].to_pylist() for c in ("host", "chosen", "html", "reference")]):
                 html = html or ""
                 digests.append(_number(html))
@@ -378,9 +396,18 @@ def _aligned(rows: DataFrame) -> DataFrame:
                     cache[host, chosen] = Reference(reference or "")
                 root = parse(html)
                 page, known = Page(root), cache[host, chosen].nodes(root)
-                out.append([{"node": _number("node", chosen, known[id(n)]) if id(n) in known else None, "path": page.paths[id(n)], "hash": _number(t), "text": t} for n, t in page.blocks])
-                trees.append([{"path": p, "parent": up, "depth": depth, "flags": flags} for p, (up, depth, flags) in page.tree.items()])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.int64()), pa.array(out, _BLOCK_KIND), pa.array(trees, _TREE_KIND)], names=["page_id", "url", "host", "digest", "blocks", "tree"])
+                sizes.append(len(page.blocks))
+                for n, t in page.blocks:
+                    node = known.get(id(n))
+                    for column, value in zip(flat, (None if node is None else _number("node", chosen, node), page.paths[id(n)], _number(t), t)):
+                        column.append(value)
+                tree_sizes.append(len(page.tree))
+                for p, facts in page.tree.items():
+                    for column, value in zip(trees, (p, *facts)):
+                        column.append(value)
+            blocks = _packed(sizes, flat, [pa.int64(), pa.int64(), pa.int64(), pa.string()], ["node", "path", "hash", "text"])
+            tree = _packed(tree_sizes, trees, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["path", "parent", "depth", "flags"])
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], pa.array(digests, pa.int64()), blocks, tree], names=["page_id", "url", "host", "digest", "blocks", "tree"])
 
     return rows.select("page_id", "url", "host", "chosen", "html", "reference").mapInArrow(run, f"page_id long, url string, host string, digest long, blocks {_BLOCKS}, tree {_TREE}")
 
@@ -390,18 +417,21 @@ def _slots(judged: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for host, digest, tree, varying in zip(*[batch[c].to_pylist() for c in ("host", "digest", "tree", "varying")]):
-                chars: dict[int, int] = {}
-                for x in varying:
-                    chars[x["path"]] = chars.get(x["path"], 0) + x["n"]
-                for x in sorted(tree, key=lambda x: -x["depth"]):
-                    n = chars.get(x["path"], 0)
-                    if x["parent"] is not None:
-                        chars[x["parent"]] = chars.get(x["parent"], 0) + n
-                    rows.append((host, digest, x["path"], x["depth"], x["flags"], n))
+            hosts, digests, out = [], [], ([], [], [], [])
+            trees, blocks = _rows(batch["tree"], "path", "parent", "depth", "flags"), _rows(batch["varying"], "path", "n")
+            for host, digest, (path, parent, depth, flags), (at, n) in zip(batch["host"].to_pylist(), batch["digest"].to_pylist(), trees, blocks):
+                chars = dict.fromkeys(path, 0)
+                for p, k in zip(at, n):
+                    chars[p] += k
+                for i in sorted(range(len(path)), key=lambda i: -depth[i]):  # noqa: B023
+                    if parent[i] is not None:
+                        chars[parent[i]] += chars[path[i]]
+                hosts += [host] * len(path)
+                digests += [digest] * len(path)
+                for column, values in zip(out, (path, depth, flags, [chars[p] for p in path])):
+                    column += values
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["host", "digest", "path", "depth", "flags", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hosts, digests, *out), kinds)], names=["host", "digest", "path", "depth", "flags", "chars"])
 
     return judged.select("host", "digest", "tree", "varying").mapInArrow(run, "host string, digest long, path long, depth int, flags int, chars long")
 
@@ -433,8 +463,9 @@ def _texts(judged: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = []
-            for tree, varying, main, named in zip(*[batch[c].to_pylist() for c in ("tree", "varying", "main", "named")]):
-                up = {x["path"]: (x["parent"], x["flags"]) for x in tree}
+            trees, blocks = _rows(batch["tree"], "path", "parent", "flags"), _rows(batch["varying"], "path", "text")
+            for (path, parent, flags), (at, text), main, named in zip(trees, blocks, batch["main"].to_pylist(), batch["named"].to_pylist()):
+                up = dict(zip(path, parent))
                 gone, state = set(named or ()), {}
 
                 def below(path):
@@ -448,17 +479,18 @@ def _texts(judged: DataFrame) -> DataFrame:
                         if path in gone:
                             state[path] = False
                             break
-                        path = up[path][0]
+                        path = up[path]
                     found = state[path] if path is not None else False
                     for p in walk:
                         state[p] = found
                     return found
 
                 if main not in up:  # a page that lacks its host's slot keeps all that varies
-                    main = next((p for p, (parent, _) in up.items() if parent is None), None)
-                inside = [below(x["path"]) for x in varying]
+                    main = next((p for p, over in up.items() if over is None), None)
+                inside = [below(p) for p in at]
                 start = inside.index(True) if True in inside else len(inside)
-                texts.append("\n".join(x["text"] for i, x in enumerate(varying) if inside[i] or i < start and up[x["path"]][1] & TITLE))
+                titles = {p for p, f in zip(path, flags) if f & TITLE}
+                texts.append("\n".join(t for i, t in enumerate(text) if inside[i] or i < start and at[i] in titles))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return judged.select("page_id", "url", "tree", "varying", "main", "named").mapInArrow(run, "page_id long, url string, text string")
