@@ -37,7 +37,9 @@ GRAM = 16
 BUCKET_BYTES = 64 << 10
 #: Different segments of one minimizer beyond this size are cut into PIECES ranges and dealt to several tasks.
 GROUP_BYTES = 128 << 10
-PIECES = 16
+PIECES = 8
+#: Repeats of pieces up to this many (about 20 MB) are broadcast to the pieces; more are joined by shuffle.
+MAX_BROADCAST_PIECES = 200_000
 _LEAST = -(1 << 63)
 _SEGMENTS = "hash long, segment binary, doc long, start long, weight long"
 
@@ -158,11 +160,11 @@ def _merged(distinct: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
 
 
 def _pieces(distinct: DataFrame, length: int, parts: int) -> DataFrame:
-    """(hash, segment, gram, weight, parent, offset): the segments cut by the place of the minimizer in their windows.
+    """(hash, segment, gram, weight, parent, offsets): the segments cut by the place of the minimizer in their windows.
 
     Equal windows have their first minimizer at the same place j. The places fall into `parts` ranges; the windows of
     a range share the bytes from the least to the greatest j on, and these bytes' hash is the piece's key: equal windows
-    meet again, and segments that differ there no longer do.
+    meet again, and segments that differ there no longer do. A piece that a segment holds several times is one row.
     """
     places = length - GRAM + 1
 
@@ -176,31 +178,53 @@ def _pieces(distinct: DataFrame, length: int, parts: int) -> DataFrame:
                 part = (first - start) * parts // places
                 cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(first) != 0)) + 1
                 parent = hashlib.md5(segment).digest()
+                runs: list[tuple[int, int, int]] = []  # key, first and last window; runs of a repetitive text share their key
                 for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(start)).tolist()):
                     r, p = int(part[a]), int(first[a])
                     low, high = -(-r * places // parts), -(-(r + 1) * places // parts) - 1
                     common = hashlib.blake2b(segment[p - low : p - high + length], digest_size=8, salt=r.to_bytes(4, "little"))
-                    out.append((int.from_bytes(common.digest(), "little", signed=True), segment[a : b - 1 + length], gram, weight, parent, a))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                    key = int.from_bytes(common.digest(), "little", signed=True)
+                    if runs and runs[-1][0] == key:
+                        a = runs.pop()[1]
+                    runs.append((key, a, b - 1))
+                places_of: dict[tuple[int, bytes], list[int]] = {}  # a repetitive text has few different pieces
+                for key, a, b in runs:
+                    places_of.setdefault((key, segment[a : b + length]), []).append(a)
+                out += [(key, piece, gram, weight * len(at), parent, np.array(at, "<u4").tobytes()) for (key, piece), at in places_of.items()]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             for i in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000]), kinds)], names=["hash", "segment", "gram", "weight", "parent", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 10_000]), kinds)], names=["hash", "segment", "gram", "weight", "parent", "offsets"])
 
-    return distinct.mapInArrow(run, "hash long, segment binary, gram long, weight long, parent binary, offset long")
+    return distinct.mapInArrow(run, "hash long, segment binary, gram long, weight long, parent binary, offsets binary")
+
+
+def _in_parents(found: DataFrame) -> DataFrame:
+    """(segment_id, runs) of the segments that pieces (parent, offsets, runs) were cut from."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for offsets, runs in zip(batch["offsets"].to_pylist(), batch["runs"].to_pylist()):
+                own = np.concatenate([np.arange(a, b + 1) for a, b in np.frombuffer(runs, "<u4").reshape(-1, 2).tolist()])
+                out.append(_runs(np.unique(np.frombuffer(offsets, "<u4").astype(np.int64)[:, None] + own)))
+            yield pa.RecordBatch.from_arrays([batch["parent"], pa.array(out, pa.binary())], names=["segment_id", "runs"])
+
+    return found.select("parent", "offsets", "runs").mapInArrow(run, "segment_id binary, runs binary")
 
 
 def _repeats(segments: DataFrame, length: int, bucket_bytes: int, group_bytes: int, cuts: list[int]) -> DataFrame:
-    """(segment_id, offset, runs): the repeats of each distinct segment (hash, segment, gram, weight). Groups beyond `group_bytes` are cut and dealt anew."""
+    """(segment_id, runs): the repeats of each distinct segment (hash, segment, gram, weight). Groups beyond `group_bytes` are cut and dealt anew."""
     distinct = segments.groupBy("hash", "segment").agg(F.sum("weight").alias("weight"), F.first("gram").alias("gram"))
     thin = segments.select("hash", F.xxhash64("segment").alias("of"), F.length("segment").cast("long").alias("n")).distinct()
     large = written(thin.groupBy("hash").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("several")).filter((F.col("size") > group_bytes) & (F.col("several") > 1)).select("hash"), "large") if cuts else None
     if large is None or large.isEmpty():
-        return _merged(distinct, length, bucket_bytes).withColumn("offset", F.lit(0).cast("long"))
+        return _merged(distinct, length, bucket_bytes)
     pieces = written(_pieces(distinct.join(large, "hash", "left_semi"), length, cuts[0]), "pieces")
     found = written(_repeats(pieces.select("hash", "segment", "gram", "weight"), length, bucket_bytes, group_bytes, cuts[1:]), "repeats")
-    of = pieces.select(F.unhex(F.md5("segment")).alias("segment_id"), "parent", F.col("offset").alias("from"))
-    up = of.join(found, "segment_id").select(F.col("parent").alias("segment_id"), "runs", (F.col("from") + F.col("offset")).alias("offset"))
-    rest = _merged(distinct.join(large, "hash", "left_anti"), length, bucket_bytes)
-    return rest.withColumn("offset", F.lit(0).cast("long")).unionByName(up)
+    if found.count() <= MAX_BROADCAST_PIECES:
+        found = F.broadcast(found)
+    of = pieces.select(F.unhex(F.md5("segment")).alias("segment_id"), "parent", "offsets")
+    return _merged(distinct.join(large, "hash", "left_anti"), length, bucket_bytes).unionByName(_in_parents(of.join(found, "segment_id")))
 
 
 def _removed(joined: DataFrame, length: int) -> DataFrame:
@@ -238,7 +262,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCK
     segments = written(_segments(asked, length), "segments")
     repeats = written(_repeats(segments.withColumn("gram", F.col("hash")), length, bucket_bytes, group_bytes, [PIECES, length - GRAM + 1]), "repeats")
     places = segments.select(F.unhex(F.md5("segment")).alias("segment_id"), F.col("doc").alias("first_id"), "start").join(repeats, "segment_id")
-    places = places.select("first_id", (F.col("start") + F.col("offset")).alias("start"), "runs")
     found = places.groupBy("first_id").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
     own = written(_removed(texts.join(found, "first_id", "left"), length), "removed")
     return keyed_rows(docs).join(own, "key").select(F.nullif("doc_id", F.lit(_LEAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
