@@ -1,9 +1,10 @@
-"""Queries of the ten operators over the whole tables."""
+"""Queries of the operators over the whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatspark.llm.alignment import cross_tokenizer_alignment
 from chatspark.llm.binary_records import binary_output
 from chatspark.llm.decontaminate import contaminated_words
 from chatspark.llm.exact_dedup import exact_groups
@@ -12,8 +13,10 @@ from chatspark.llm.language_id import document_evidence, document_model, identif
 from chatspark.llm.oracle import ORACLE_SQL
 from chatspark.llm.packing import pack
 from chatspark.llm.secrets import scan_secrets
+from chatspark.llm.spelling import spelling_groups
 from chatspark.llm.substring_dedup import substring_dedup
 from chatspark.llm.suffix_dedup import suffix_dedup
+from chatspark.llm.vector_tree import vector_search
 from chatspark.llm.wrapper import main_text
 
 
@@ -21,10 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +72,23 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup, op8_substring_dedup, op9_exact_dedup, op10_binary_output)}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_secret_scan, op3_ngram_jaccard_join, op4_html_extraction, op5_benchmark_decontamination, op6_language_id, op7_suffix_array_dedup,
+        op8_substring_dedup, op9_exact_dedup, op10_binary_output, op11_cross_tokenizer_alignment, op12_nearest_neighbours, op13_spelling_variants,
+    )
+}
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
