@@ -97,7 +97,8 @@ class Tokens:
 
     def same(self, lists: pa.LargeListArray, sizes: np.ndarray, want: bytes, starts: np.ndarray) -> np.ndarray:
         """Whether each unit's tokens have its bytes."""
-        joined = b"".join(self.bytes.take(lists.flatten()).to_pylist())
+        taken = self.bytes.take(lists.flatten())
+        joined = bytes(taken.buffers()[2] or b"") if len(taken) else b""
         if joined == want and np.array_equal(sizes, np.diff(starts)):
             return np.ones(len(sizes), bool)
         at = np.concatenate([[0], np.cumsum(sizes)])
