@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.scan import running
+from chatspark.sources.scratch import written
+
 
 def eligible_history(cases: DataFrame, pool: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
     """(case_id, example_id) of pool rows that ended before the case's cutoff, in a chat that isn't excluded, sharing no message with its answer.
@@ -21,6 +24,35 @@ def eligible_history(cases: DataFrame, pool: DataFrame, key: list[str], salts: i
     return pairs.join(conflicts(cases, pool), ["case_id", "example_id"], "left_anti")
 
 
+def latest_eligible(cases: DataFrame, pool: DataFrame, key: list[str], k: int, first: int = 4) -> DataFrame:
+    """(case_id, example_id, end_ts, cutoff_ts, rank): the k newest rows that eligible_history() would give each case.
+
+    An as-of join by rank. Rows and cases are numbered together in order of time, range by range, so a case knows how many rows of its key
+    ended before it; its newest rows are the ranks just below that, which an equi-join fetches. Cases that exclusions leave short
+    go on to the ranks below, `first` times k at first and twice as many each round, so no case meets more than a few times k rows.
+    """
+    order = ["_ts", "_row", "_id"]
+    rows = pool.select(*key, F.col("end_ts").alias("_ts"), F.lit(1).alias("_row"), F.col("example_id").alias("_id"), "chat_id")
+    asks = cases.select(*key, F.col("cutoff_ts").alias("_ts"), F.lit(0).alias("_row"), F.col("case_id").alias("_id"), "excluded")
+    placed = written(running(rows.unionByName(asks, allowMissingColumns=True), {"_before": (F.sum, "_row")}, order, key).withColumn("_before", F.coalesce("_before", F.lit(0)).cast("long")))
+    ranked = placed.filter("_row = 1").select(*key, F.col("_before").alias("_rank"), F.col("_id").alias("example_id"), "chat_id", F.col("_ts").alias("end_ts"))
+    asked = placed.filter("_row = 0 and _before > 0").select(*key, F.col("_id").alias("case_id"), F.col("_ts").alias("cutoff_ts"), "excluded", F.col("_before").alias("_upto"), F.lit(0).cast("long").alias("_have"))
+    barred, width, found = written(conflicts(cases, pool)), first * k, None
+    while True:
+        spread = asked.withColumn("_rank", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_upto") - width), F.col("_upto") - 1)))
+        met = spread.join(ranked, [*key, "_rank"]).filter(~F.coalesce(F.array_contains("excluded", F.col("chat_id")), F.lit(False)))
+        good = written(met.join(barred, ["case_id", "example_id"], "left_anti").select("case_id", "example_id", "end_ts", "cutoff_ts", "_rank"))
+        found = good if found is None else found.unionByName(good)
+        more = good.groupBy("case_id").agg(F.count(F.lit(1)).alias("_more"))
+        left = asked.join(more, "case_id", "left").withColumns({"_have": F.col("_have") + F.coalesce("_more", F.lit(0)), "_upto": F.col("_upto") - width}).drop("_more")
+        asked = written(left.filter((F.col("_have") < k) & (F.col("_upto") > 0)).select(*asked.columns))
+        if asked.isEmpty():
+            break
+        width *= 2
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("_rank")))
+    return found.withColumn("rank", place - 1).filter(F.col("rank") < k).drop("_rank")
+
+
 def conflicts(cases: DataFrame, pool: DataFrame) -> DataFrame:
     """(case_id, example_id) of pool rows that hold a message of the case's answer."""
     answers = cases.select("case_id", F.explode("reply_ids").alias("m")).distinct()

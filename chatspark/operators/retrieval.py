@@ -26,21 +26,6 @@ def term_overlap(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return pool.join(q, "term").groupBy("case_id", "id").agg(F.sum(F.least("n", "_q")).alias("overlap"))
 
 
-def candidate_bucket(queries: DataFrame, pool: DataFrame, salts: int = 32) -> DataFrame:
-    """(case_id, id, route) of rows that share a situation within the same group flag; all of the flag's rows where none does.
-
-    Both have is_group and situations. The fallback owes each case left without a row half the pool: the pool is dealt to `salts` tasks a
-    flag, and the cases go to each of them.
-    """
-    q = queries.select("case_id", "is_group", F.explode("situations").alias("s"))
-    p = pool.select("id", "is_group", F.explode("situations").alias("s"))
-    exact = q.join(p, ["is_group", "s"]).select("case_id", "id").distinct().withColumn("route", F.lit("situation"))
-    rest = queries.join(exact.select("case_id").distinct(), "case_id", "left_anti").select("case_id", "is_group")
-    rest = rest.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    dealt = pool.select("id", "is_group", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("_salt"))
-    return exact.unionByName(rest.join(dealt, ["is_group", "_salt"]).select("case_id", "id", F.lit("all").alias("route")))
-
-
 def rule_score(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Adds score: the weighted sum of the named columns (null as 0)."""
     total = F.lit(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.scan import running
 from chatspark.sources.scratch import written
 
 
@@ -39,12 +40,19 @@ def paired_speed(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
     return wide.filter(b.isNotNull() & c.isNotNull() & (b > 0)).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg((1 - c / b) * 100), 4).alias("mean_reduction_pct"))
 
 
-def window_assign(events: DataFrame, windows: DataFrame, bucket: int) -> DataFrame:
-    """Adds window_id where exactly one window [start_ts, end_ts] holds the event's ts; the range join is an equi-join on buckets."""
-    buckets = windows.select("window_id", "start_ts", "end_ts", F.explode(F.sequence(F.floor(F.col("start_ts") / bucket), F.floor(F.col("end_ts") / bucket))).alias("_k"))
-    met = events.select("event_id", "ts", F.floor(F.col("ts") / bucket).alias("_k")).join(buckets, "_k").filter((F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts")))
-    one = met.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"), F.min("window_id").alias("window_id"))
-    return events.join(one, "event_id", "left").withColumn("window_id", F.when(F.col("_n") == 1, F.col("window_id"))).withColumn("matches", F.coalesce("_n", F.lit(0))).drop("_n")
+def window_assign(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Adds matches, the number of windows [start_ts, end_ts] that hold the event's ts, and window_id where there is exactly one.
+
+    One sweep over starts, events and ends in order of time, whatever the windows' lengths and overlaps: the windows that
+    hold a time are those begun less those ended, and so is the sum of their ids, which is the id itself where one is left.
+    """
+    number = F.col("window_id").cast("decimal(38,0)")
+    marks = windows.select(F.col("start_ts").alias("ts"), F.lit(0).alias("_kind"), F.lit(1).alias("_n"), number.alias("_id"))
+    marks = marks.unionByName(windows.select(F.col("end_ts").alias("ts"), F.lit(2).alias("_kind"), F.lit(-1).alias("_n"), (-number).alias("_id")))
+    asked = events.filter("ts is not null").select("ts", F.lit(1).alias("_kind"), F.lit(0).alias("_n"), F.lit(0).cast("decimal(38,0)").alias("_id"), "event_id")
+    swept = running(marks.unionByName(asked, allowMissingColumns=True), {"_open": (F.sum, "_n"), "_ids": (F.sum, "_id")}, ["ts", "_kind", "event_id"])
+    found = swept.filter("_kind = 1").select("event_id", F.coalesce("_open", F.lit(0)).cast("long").alias("matches"), F.when(F.col("_open") == 1, F.col("_ids")).cast("long").alias("window_id"))
+    return events.join(found, "event_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
 
 
 def stage_window_agg(assigned: DataFrame) -> DataFrame:
@@ -56,10 +64,15 @@ def stage_window_agg(assigned: DataFrame) -> DataFrame:
 
 
 def active_time(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Span, union, gap and overlap of windows [start_ts, end_ts), by islands of a running maximum."""
-    order = Window.partitionBy(*by).orderBy("start_ts", "end_ts")
-    seen = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = windows.withColumn("_new", (seen.isNull() | (F.col("start_ts") > seen)).cast("int")).withColumn("_i", F.sum("_new").over(order))
+    """Span, union, gap and overlap of windows [start_ts, end_ts) of each group, by islands of a running maximum.
+
+    Windows are scanned in ranges of their starts: the latest end so far is carried from range to range, then the number of islands, and
+    an island's sums are combined before they meet.
+    """
+    order = ["start_ts", "end_ts"]
+    rows = running(windows.select(*by, *order), {"_seen": (F.max, "end_ts")}, order, by)
+    fresh = (F.col("_seen").isNull() | (F.col("start_ts") > F.col("_seen"))).cast("int")
+    rows = running(rows.withColumn("_new", fresh), {"_before": (F.sum, "_new")}, order, by).withColumn("_i", F.coalesce("_before", F.lit(0)) + F.col("_new"))
     islands = rows.groupBy(*by, "_i").agg(F.min("start_ts").alias("s"), F.max("end_ts").alias("e"), F.sum(F.col("end_ts") - F.col("start_ts")).alias("total"))
     out = islands.groupBy(*by).agg((F.max("e") - F.min("s")).alias("span"), F.sum(F.col("e") - F.col("s")).alias("active"), F.sum("total").alias("total"))
     return out.select(*by, "span", "active", (F.col("span") - F.col("active")).alias("uncovered"), (F.col("total") - F.col("active")).alias("overlapping"))

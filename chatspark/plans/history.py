@@ -110,12 +110,18 @@ pool AS (SELECT example_id, chat_type, chat_id, end_ts, string_split(context_ids
 elig AS (SELECT case_id, example_id, c.cutoff_ts, p.end_ts FROM cases c JOIN pool p ON p.chat_type = c.chat_type AND p.chat_id % 10 = c.chat_id % 10 WHERE p.end_ts < c.cutoff_ts AND p.chat_id % 7 <> 2 AND NOT list_has_any(p.ids, c.r))"""
 
 
-def _eligible(spark, d):
+def _eligible_sides(spark, d):
+    """All examples as cases, and as their pool."""
     e = examples(spark, d).withColumn("kin", F.col("chat_id") % 10)
     barred = F.transform(F.sequence(F.lit(2), F.lit(149), F.lit(7)), lambda x: x.cast("long"))
-    cases = e.filter("reply_start % 9 = 4").select(F.col("example_id").alias("case_id"), "chat_type", "kin", "cutoff_ts", "reply_ids", F.filter(barred, lambda x: x % 10 == F.col("kin")).alias("excluded"))
+    cases = e.select(F.col("example_id").alias("case_id"), "chat_type", "kin", "cutoff_ts", "reply_ids", F.filter(barred, lambda x: x % 10 == F.col("kin")).alias("excluded"), "reply_start")
     pool = e.filter("chat_id % 7 != 2 or chat_id < 150").select("example_id", "chat_type", "kin", "chat_id", "end_ts", F.concat("context_ids", "reply_ids").alias("ids"))
-    return E.eligible_history(cases, pool, ["chat_type", "kin"])
+    return cases, pool
+
+
+def _eligible(spark, d):
+    cases, pool = _eligible_sides(spark, d)
+    return E.eligible_history(cases.filter("reply_start % 9 = 4"), pool, ["chat_type", "kin"])
 
 
 @query(f"WITH {_ELIG} SELECT case_id, example_id FROM elig")
@@ -129,6 +135,16 @@ def history_age(spark, d):
     return E.history_age(_eligible(spark, d)).select("case_id", "example_id", "age", "age_bin")
 
 
+_NEWEST = _ELIG.replace(" WHERE reply_start % 9 = 4", "")
+
+
+@query(f"WITH {_NEWEST}, l AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY end_ts DESC, example_id DESC) - 1 AS INTEGER) AS rank FROM elig) SELECT case_id, example_id, rank, cutoff_ts - end_ts AS age, CAST({' + '.join(f'CAST(cutoff_ts - end_ts > {86400 * x} AS INT)' for x in (1, 7, 30, 90, 365))} AS INTEGER) AS age_bin FROM l WHERE rank < 12")
+def eligible_latest(spark, d):
+    """The twelve newest examples that each example, taken as a case, may see, with their ages."""
+    newest = E.latest_eligible(*_eligible_sides(spark, d), ["chat_type", "kin"], 12)
+    return E.history_age(newest).select("case_id", "example_id", "rank", "age", "age_bin")
+
+
 @query(f"WITH {_EX} SELECT example_id FROM exs WHERE chat_id % 7 <> 2")
 def heldout_exclusion(spark, d):
     e = examples(spark, d)

@@ -67,11 +67,11 @@ def alias_refine(spark, d):
     return N.alias_refine(claims).withColumn("flags", F.array_join("flags", ",")).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("WITH m AS (SELECT DISTINCT o_custkey AS chat_id, o_orderstatus AS sender FROM orders WHERE o_orderkey % 9 = 0), two AS (SELECT chat_id, min(sender) AS a, max(sender) AS b FROM m GROUP BY 1 HAVING count(*) = 2), v AS (SELECT o_custkey AS chat_id, o_orderstatus AS sender, o_orderpriority AS alias FROM orders WHERE o_orderkey % 2 = 0) SELECT CASE WHEN sender = a THEN b ELSE a END AS target, alias, count(*) AS n, CASE WHEN count(*) >= 2 THEN 'kept' ELSE 'weak' END AS strength FROM v JOIN two USING (chat_id) GROUP BY ALL")
+@query("WITH m AS (SELECT DISTINCT o_custkey AS chat_id, o_orderstatus AS sender FROM orders), two AS (SELECT chat_id, min(sender) AS a, max(sender) AS b FROM m GROUP BY 1 HAVING count(*) = 2), v AS (SELECT o_custkey AS chat_id, o_orderstatus AS sender, o_orderpriority AS alias FROM orders) SELECT CASE WHEN sender = a THEN b ELSE a END AS target, alias, count(*) AS n, CASE WHEN count(*) >= 2 THEN 'kept' ELSE 'weak' END AS strength FROM v JOIN two USING (chat_id) GROUP BY ALL")
 def vocative_claims(spark, d):
     o = table(spark, d, "orders")
-    members = o.filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderstatus").alias("sender")).distinct()
-    return N.vocative_claims(o.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("chat_id"), F.col("o_orderstatus").alias("sender"), F.col("o_orderpriority").alias("alias")), members)
+    members = o.select(F.col("o_custkey").alias("chat_id"), F.col("o_orderstatus").alias("sender")).distinct()
+    return N.vocative_claims(o.select(F.col("o_custkey").alias("chat_id"), F.col("o_orderstatus").alias("sender"), F.col("o_orderpriority").alias("alias")), members)
 
 
 @query("WITH nm AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS name, p_size % 3 AS identity FROM part UNION SELECT 'the', 1 UNION SELECT 'der', 2 UNION SELECT 'para', 3 UNION SELECT 'dans', 4 UNION SELECT 'dans', 5), o AS (SELECT name, count(DISTINCT identity) AS identities FROM nm GROUP BY name) SELECT conv_id * 1000 + turn AS message_id, name, identities FROM conversations JOIN o ON regexp_matches(text, '(^|[^0-9A-Za-z_])' || name || '($|[^0-9A-Za-z_])')")

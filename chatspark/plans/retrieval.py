@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatspark.functions import text as X
+from chatspark.operators import recall as C
 from chatspark.operators import retrieval as R
+from chatspark.operators.pruned import pruned_topk
 from chatspark.plans.registry import query
 from chatspark.plans.tables import table
-from chatspark.sources.scratch import written
 
 #: Words of five letters and more stand for situations; terms are words, so that SQL can count them too.
 _WORDS = "list_filter(string_split(lower({}), ' '), lambda w: length(w) >= 5)"
@@ -56,37 +57,102 @@ def term_overlap(spark, d):
     return _overlap(spark, d)
 
 
-_BUCKET = """q AS (SELECT item_id AS case_id, item_id % 2 = 0 AS is_group, substr(text, 1, 1) AS s1, substr(text, length(text) - 5, 1) AS s2 FROM benchmark), p AS (SELECT doc_id AS id, doc_id % 2 = 0 AS is_group, substr(text, 1, 1) || lang AS s1 FROM documents),
-ex AS (SELECT DISTINCT case_id, id FROM q JOIN p ON p.is_group = q.is_group AND (p.s1 = q.s1 || 'fr' OR p.s1 = q.s2 || 'es')),
-bk AS (SELECT case_id, id, 'situation' AS route FROM ex UNION ALL SELECT case_id, id, 'all' FROM q JOIN p USING (is_group) WHERE case_id NOT IN (SELECT case_id FROM ex))"""
+#: Cases and pool of the full recall. A pool row's context and reply are short phrases after the length and digits of its text.
+_RECALL = f"""p AS (SELECT doc_id AS id, doc_id % 2 = 0 AS is_group, doc_id * 10 AS ended, doc_id % 37 AS chat_id, lang AS relationship,
+  list_filter([CASE WHEN contains(text, '!') THEN 'cheer' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'number' END, CASE WHEN n_chars > 4000 THEN 'long' END], lambda x: x IS NOT NULL) AS situations,
+  CASE WHEN doc_id % 11 = 0 THEN source END AS precise, lang AS praise_target, CASE WHEN doc_id % 3 > 0 THEN source END AS speaker_posture, CASE WHEN contains(text, '!') THEN 'cheer' WHEN doc_id % 4 = 0 THEN 'ask' END AS expected_move,
+  CASE WHEN n_chars < 500 THEN 'brief' WHEN n_chars < 3000 THEN 'statement' END AS form, CASE WHEN doc_id % 13 > 0 THEN [doc_id % 2 = 0, doc_id % 3 = 0, doc_id % 5 = 0, n_chars > 500, lang = 'en'] END AS participants,
+  n_chars AS chars, doc_id % 4 = 0 AS several, n_chars % 14 < 10 AND NOT regexp_matches(substr(text, 1, 50), '[0-9]') AS bare, n_chars % 14 < 10 AND NOT regexp_matches(substr(text, 1, 50), '[0-9]') AND n_chars % 3 < 2 AS portable FROM documents),
+c AS (SELECT item_id AS case_id, item_id % 2 = 0 AS is_group, item_id * 300 + 500 AS cutoff, item_id % 37 AS chat_id, CASE WHEN item_id % 3 = 0 THEN 'en' ELSE 'fr' END AS relationship,
+  CASE WHEN item_id % 5 = 0 THEN [] WHEN item_id % 5 = 1 THEN ['number', 'long'] WHEN item_id % 5 = 2 THEN ['absent'] ELSE ['cheer', 'number'] END AS situations, CASE WHEN item_id % 7 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS precise,
+  CASE WHEN item_id % 2 = 0 THEN 'en' END AS praise_target, CASE WHEN item_id % 4 > 0 THEN 'src1' END AS speaker_posture, CASE item_id % 3 WHEN 0 THEN 'ask' WHEN 1 THEN 'cheer' END AS expected_move, CASE WHEN item_id % 4 = 1 THEN 'brief' ELSE 'statement' END AS form,
+  CASE WHEN item_id % 6 > 0 THEN [true, item_id % 3 = 0, false, true, item_id % 4 = 0] END AS participants, length(text) AS chars, item_id % 3 = 0 AS several, item_id % 6 = 1 AS sparse, item_id % 12 = 1 AS brief, len({_WORDS.format('text')}) AS n_terms FROM benchmark),
+free AS (SELECT c.case_id, p.*, coalesce(p.precise = c.precise, false) AS same_precise, list_has_any(p.situations, c.situations) AS shared FROM c JOIN p ON p.is_group = c.is_group AND p.ended < c.cutoff AND p.chat_id <> 5 AND p.id <> c.case_id * 3),
+tier AS (SELECT case_id, CASE WHEN sum(CAST(same_precise AS INT)) > 0 THEN 'precise' WHEN sum(CAST(shared AS INT)) > 0 THEN 'situation' ELSE 'all' END AS tier FROM free GROUP BY case_id),
+cand AS (SELECT free.* FROM free JOIN tier USING (case_id) JOIN c USING (case_id) WHERE (tier = 'all' OR tier = 'precise' AND same_precise OR tier = 'situation' AND shared) AND (NOT sparse OR CASE WHEN brief THEN bare ELSE portable END)),
+top AS (SELECT c.case_id, coalesce(tier, 'all') AS tier, coalesce(sparse AND NOT brief AND tier <> 'all' AND (SELECT count(*) FROM cand WHERE cand.case_id = c.case_id) < 12, false) AS topped FROM c LEFT JOIN tier USING (case_id)),
+use AS (SELECT * FROM cand UNION SELECT free.* FROM free JOIN top USING (case_id) WHERE topped AND portable)"""
+
+#: Phrases of a pool row's reply.
+_REPLIES = ["真的假的?", "哈哈哈哈"]
+
+
+def _recall_pool(spark, d):
+    t, n, i = F.col("text"), F.col("n_chars"), F.col("doc_id")
+    head = F.regexp_replace(F.substring("text", 1, 50), "[^0-9]+", "")
+    rows = table(spark, d, "documents").select(
+        i.alias("id"), (i % 2 == 0).alias("is_group"), (i * 10).alias("ended"), (i % 37).alias("chat_id"), F.col("lang").alias("relationship"),
+        F.array_compact(F.array(F.when(t.contains("!"), "cheer"), F.when(t.rlike("[0-9]"), "number"), F.when(n > 4000, "long"))).alias("situations"), F.when(i % 11 == 0, F.col("source")).alias("precise"),
+        F.col("lang").alias("praise_target"), F.when(i % 3 > 0, F.col("source")).alias("speaker_posture"), F.when(t.contains("!"), "cheer").when(i % 4 == 0, "ask").alias("expected_move"),
+        F.when(n < 500, "brief").when(n < 3000, "statement").alias("form"), F.when(i % 13 > 0, F.array(i % 2 == 0, i % 3 == 0, i % 5 == 0, n > 500, F.col("lang") == "en")).alias("participants"),
+        n.alias("chars"), (i % 4 == 0).alias("several"), _words("text").alias("terms"),
+        F.array(F.concat(F.repeat(F.lit("在"), (1 + n % 14).cast("int")), head)).alias("context"), F.array(F.when(n % 3 == 0, _REPLIES[0]).when(n % 3 == 1, _REPLIES[1]).otherwise(F.substring("text", 1, 12))).alias("reply"),
+    )
+    return C.sparse_marks(rows)
+
+
+def _recall_cases(spark, d):
+    i = F.col("item_id")
+    of = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    return table(spark, d, "benchmark").select(
+        i.alias("case_id"), (i % 2 == 0).alias("is_group"), (i * 300 + 500).alias("cutoff"), (i % 37).alias("chat_id"), F.when(i % 3 == 0, "en").otherwise("fr").alias("relationship"),
+        F.when(i % 5 == 0, of()).when(i % 5 == 1, of("number", "long")).when(i % 5 == 2, of("absent")).otherwise(of("cheer", "number")).alias("situations"), F.when(i % 7 == 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("precise"),
+        F.when(i % 2 == 0, "en").alias("praise_target"), F.when(i % 4 > 0, "src1").alias("speaker_posture"), F.when(i % 3 == 0, "ask").when(i % 3 == 1, "cheer").alias("expected_move"), F.when(i % 4 == 1, "brief").otherwise("statement").alias("form"),
+        F.when(i % 6 > 0, F.array(F.lit(True), i % 3 == 0, F.lit(False), F.lit(True), i % 4 == 0)).alias("participants"), F.char_length("text").cast("long").alias("chars"), (i % 3 == 0).alias("several"), (i % 6 == 1).alias("sparse"), (i % 12 == 1).alias("brief"),
+        F.array(F.lit(5).cast("long")).alias("excluded_chats"), F.array(i * 3).alias("excluded_ids"), _words("text").alias("terms"),
+    )
+
+
+@query(f"WITH {_RECALL} SELECT case_id, tier, topped, (SELECT count(*) FROM use WHERE use.case_id = top.case_id) AS n FROM top")
+def candidate_bucket(spark, d):
+    """Where each case chooses from: its precise situation, a shared one, or its whole flag where these have nothing."""
+    return C.bucket_counts(_recall_cases(spark, d), _recall_pool(spark, d), 12).select("case_id", "tier", "topped", "n")
 
 
-def _bucket(spark, d):
-    c = _cases(spark, d)
-    q = c.select("case_id", (F.col("case_id") % 2 == 0).alias("is_group"), F.array(F.concat(F.substring("text", 1, 1), F.lit("fr")), F.concat(F.expr("substring(text, length(text) - 5, 1)"), F.lit("es"))).alias("situations"))
-    p = _pool(spark, d).select("id", (F.col("id") % 2 == 0).alias("is_group"), F.array(F.concat(F.substring("text", 1, 1), "lang")).alias("situations"))
-    return R.candidate_bucket(q, p)
+@query(f"WITH {_RECALL} SELECT id, bare, portable FROM p")
+def sparse_filter(spark, d):
+    """Rows for sparse turns: nothing concrete in the context; a reply that fits anywhere."""
+    return _recall_pool(spark, d).select("id", "bare", "portable")
 
 
-@query(f"WITH {_BUCKET} SELECT * FROM bk")
-def candidate_bucket(spark, d):
-    return _bucket(spark, d)
+def _points(policy_first: bool) -> str:
+    """SQL of the score and the order of recall rows, with priority of the move and of the own chat or without."""
+    same = lambda a: f"CASE WHEN c.{a} IS NULL OR u.{a} IS NULL THEN 0 WHEN c.{a} = u.{a} THEN {C.PROFILE[a]} ELSE -{C.PROFILE[a]} END"
+    compatible = " + ".join(map(same, C.PROFILE))
+    order = "CASE WHEN c_move IS NULL OR u_move IS NULL THEN 1 WHEN c_move = u_move THEN 0 ELSE 2 END, CASE WHEN near AND (compatible >= best OR c_move IS NOT NULL AND c_move = u_move) THEN 0 ELSE 1 END, " if policy_first else ""
+    return f"""{_RECALL}, {_BAG}, sc AS (SELECT u.case_id, u.id, c.expected_move AS c_move, u.expected_move AS u_move, u.chat_id = c.chat_id AND (u.shared OR u.same_precise) AS near, {compatible} AS compatible,
+  round(1.5 * coalesce(overlap, 0) / greatest(1, n_terms) + 0.5 / (1 + abs(c.chars - u.chars) / 20.0) + {compatible} + CASE WHEN u.shared THEN 7 WHEN len(c.situations) > 0 AND len(u.situations) > 0 THEN -3 ELSE 0 END
+    + CASE WHEN c.is_group OR u.form IS NULL THEN 0 WHEN c.form = u.form THEN 4 ELSE -1 END
+    + CASE WHEN c.is_group AND c.participants IS NOT NULL AND u.participants IS NOT NULL THEN list_sum(list_transform(range(1, 6), lambda i: CASE WHEN c.participants[i] = u.participants[i] THEN 1.5 ELSE -1.5 END)) ELSE 0 END
+    + CASE WHEN u.chat_id <> c.chat_id THEN 0 WHEN u.shared THEN 2.5 ELSE 0.5 END + CASE WHEN u.relationship = c.relationship THEN 0.5 ELSE 0 END + CASE WHEN c.several AND u.several THEN 1 ELSE 0 END, 6) AS score
+  FROM use u JOIN c USING (case_id) LEFT JOIN ov USING (case_id, id)),
+bs AS (SELECT *, max(compatible) OVER (PARTITION BY case_id) AS best FROM sc)
+SELECT case_id, id, tier, topped, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY {order}score DESC, id) - 1 AS INTEGER) AS rank FROM bs) JOIN top USING (case_id) WHERE rank < 12"""
 
 
-@query("SELECT doc_id AS id FROM documents WHERE length(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g')) > 4 AND NOT regexp_matches(text, '[0-9]')")
-def sparse_filter(spark, d):
-    """Portable examples: something is said, and no number binds it to its context."""
-    body = F.length(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", ""))
-    return _pool(spark, d).filter((body > 4) & ~F.col("text").rlike("[0-9]")).select("id")
+@query(f"WITH {_points(False)}")
+def recall_rows(spark, d):
+    """The twelve best examples of each case under every rule of the score."""
+    return _recalled(spark, d, C.Policy())
+
+
+@query(f"WITH {_points(True)}")
+def recall_order(spark, d):
+    """The same where the expected move, then the own chat, come before the score."""
+    return _recalled(spark, d, C.Policy(move_first=True, same_chat_after_situation=True, same_chat_after_move=True))
+
+
+def _recalled(spark, d, policy):
+    return C.recall(_recall_cases(spark, d), _recall_pool(spark, d), 12, policy).select("case_id", "id", "tier", "topped", F.round("score", 4).alias("score"), "rank")
 
 
 _SCORE = f"""{_BAG}, sc AS (SELECT case_id, id, round(2.0 * overlap + 1.5 * CAST(doc.lang = 'en' AS INT) + 0.5 * least(1.0, 200.0 / greatest(1, doc.n_chars)), 6) AS score FROM ov JOIN documents doc ON doc.doc_id = ov.id),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) - 1 AS rank FROM sc) WHERE rank < 12)"""
 
 
-def _scored(spark, d, overlap=None):
+def _scored(spark, d):
     facts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").cast("int").alias("english"), F.least(F.lit(1.0), 200.0 / F.greatest(F.lit(1), F.col("n_chars"))).alias("brevity"))
-    return R.rule_score((_overlap(spark, d) if overlap is None else overlap).join(facts, "id"), {"overlap": 2.0, "english": 1.5, "brevity": 0.5})
+    return R.rule_score(_overlap(spark, d).join(facts, "id"), {"overlap": 2.0, "english": 1.5, "brevity": 0.5})
 
 
 @query(f"WITH {_SCORE} SELECT case_id, id, score FROM sc")
@@ -94,13 +160,20 @@ def rule_score(spark, d):
     return _scored(spark, d).select("case_id", "id", "score")
 
 
-def _ranked(spark, d, overlap=None):
-    return R.topk_rank(_scored(spark, d, overlap), ["case_id"], [F.desc("score"), F.col("id")], 12)
+def _pruned(spark, d, weight, static, descending=False):
+    q = R.term_postings(_cases(spark, d).withColumnRenamed("case_id", "id"), _words("text")).withColumnRenamed("id", "case_id")
+    facts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), static.alias("static"))
+    return pruned_topk(q, R.term_postings(_pool(spark, d), _words("text")), facts, 12, weight, descending)
+
+
+def _ranked(spark, d):
+    english, brevity = (F.col("lang") == "en").cast("int"), F.least(F.lit(1.0), 200.0 / F.greatest(F.lit(1), F.col("n_chars")))
+    return _pruned(spark, d, 2.0, 1.5 * english + 0.5 * brevity)
 
 
 @query(f"WITH {_SCORE} SELECT case_id, id, score, rank FROM rk")
 def topk_rank(spark, d):
-    """Recall: the twelve best documents of each case."""
+    """Recall: the twelve best documents of each case, from the blocks whose bounds reach them."""
     return _ranked(spark, d).select("case_id", "id", "score", "rank")
 
 
@@ -108,9 +181,8 @@ _ROUTES = f"""{_SCORE}, lr AS (SELECT * FROM (SELECT case_id, id, row_number() O
 
 
 def _routes(spark, d):
-    overlap = written(_overlap(spark, d))  # both routes rank it
-    a = _ranked(spark, d, overlap).select("case_id", "id", "rank", F.lit("context").alias("route"))
-    b = R.topk_rank(overlap, ["case_id"], [F.desc("overlap"), F.desc("id")], 12).select("case_id", "id", "rank", F.lit("latest").alias("route"))
+    a = _ranked(spark, d).select("case_id", "id", "rank", F.lit("context").alias("route"))
+    b = _pruned(spark, d, 1.0, F.lit(0.0), descending=True).select("case_id", "id", "rank", F.lit("latest").alias("route"))
     return a.unionByName(b)
 
 

@@ -250,26 +250,29 @@ def paired_speed(spark, d):
     return T.paired_speed(rows, "A", "N")
 
 
-_WIN = "win AS (SELECT o_orderkey AS window_id, CAST(epoch(o_orderdate) AS BIGINT) AS start_ts, CAST(epoch(o_orderdate) AS BIGINT) + 86400 * (o_orderkey % 5) AS end_ts FROM orders WHERE o_orderkey % 40 = 0)"
+#: Every order opens a window of up to some hours, every line is an event, both at a second of their day.
+_START = "CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey * 7919 % 86400"
+_WIN = f"win AS (SELECT o_orderkey AS window_id, {_START} AS start_ts, {_START} + 600 + 3600 * (o_orderkey % 5) AS end_ts FROM orders)"
 
 
 def _windows(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 40 = 0")
-    return o.select(F.col("o_orderkey").alias("window_id"), F.unix_timestamp("o_orderdate").alias("start_ts"), (F.unix_timestamp("o_orderdate") + 86400 * (F.col("o_orderkey") % 5)).alias("end_ts"))
+    k = F.col("o_orderkey")
+    start = F.unix_timestamp("o_orderdate") + k * 7919 % 86400
+    return table(spark, d, "orders").select(k.alias("window_id"), start.alias("start_ts"), (start + 600 + 3600 * (k % 5)).alias("end_ts"), "o_custkey")
 
 
-_ASG = f"""{_WIN}, ev AS (SELECT l_orderkey * 8 + l_linenumber AS event_id, CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_linestatus AS stage, l_returnflag = 'R' AS cached, CASE WHEN l_quantity > 48 THEN 'failed' ELSE 'ok' END AS status, CAST(l_quantity AS BIGINT) * 3600 AS elapsed FROM lineitem WHERE l_linenumber = 1),
+_ASG = f"""{_WIN}, ev AS (SELECT l_orderkey * 8 + l_linenumber AS event_id, CAST(epoch(l_shipdate) AS BIGINT) + (l_orderkey * 8 + l_linenumber) * 17 % 86400 AS ts, l_linestatus AS stage, l_returnflag = 'R' AS cached, CASE WHEN l_quantity > 48 THEN 'failed' ELSE 'ok' END AS status, CAST(l_quantity AS BIGINT) * 360 AS elapsed FROM lineitem),
 evd AS (SELECT event_id, min(ts) AS ts, min(stage) AS stage, bool_and(cached) AS cached, min(status) AS status, min(elapsed) AS elapsed FROM ev GROUP BY event_id), m AS (SELECT event_id, count(*) AS n, min(window_id) AS window_id FROM evd JOIN win ON ts BETWEEN start_ts AND end_ts GROUP BY event_id),
 asg AS (SELECT evd.*, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN window_id END AS window_id FROM evd LEFT JOIN m USING (event_id))"""
 
 
 def _assigned(spark, d):
-    l = table(spark, d, "lineitem").filter("l_linenumber = 1")  # noqa: E741
-    ev = l.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id")).agg(
-        F.min(F.unix_timestamp("l_shipdate")).alias("ts"), F.min("l_linestatus").alias("stage"), F.bool_and(F.col("l_returnflag") == "R").alias("cached"),
-        F.min(F.when(F.col("l_quantity") > 48, "failed").otherwise("ok")).alias("status"), F.min(F.col("l_quantity").cast("long") * 3600).alias("elapsed"),
+    event = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ev = table(spark, d, "lineitem").groupBy(event.alias("event_id")).agg(
+        F.min(F.unix_timestamp("l_shipdate") + event * 17 % 86400).alias("ts"), F.min("l_linestatus").alias("stage"), F.bool_and(F.col("l_returnflag") == "R").alias("cached"),
+        F.min(F.when(F.col("l_quantity") > 48, "failed").otherwise("ok")).alias("status"), F.min(F.col("l_quantity").cast("long") * 360).alias("elapsed"),
     )
-    return T.window_assign(ev, _windows(spark, d), 86400 * 8)
+    return T.window_assign(ev, _windows(spark, d).drop("o_custkey"))
 
 
 @query(f"WITH {_ASG} SELECT event_id, ts, window_id, matches FROM asg")
@@ -283,13 +286,11 @@ def stage_window_agg(spark, d):
     return T.stage_window_agg(_assigned(spark, d).filter("window_id is not null").join(ends, "window_id"))
 
 
-@query("""WITH w AS (SELECT o_custkey % 16 AS worker, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + 86400 * (o_orderkey % 5) AS e FROM orders WHERE o_orderkey % 5 = 1 OR o_orderkey % 35 = 3),
+@query(f"""WITH w AS (SELECT o_custkey % 16 AS worker, {_START} AS s, {_START} + 600 + 3600 * (o_orderkey % 5) AS e FROM orders),
 n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY worker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM w), i AS (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM n),
 g AS (SELECT worker, k, min(s) AS s, max(e) AS e, sum(e - s) AS total FROM i GROUP BY ALL) SELECT worker, max(e) - min(s) AS span, CAST(sum(e - s) AS BIGINT) AS active, CAST(max(e) - min(s) - sum(e - s) AS BIGINT) AS uncovered, CAST(sum(total) - sum(e - s) AS BIGINT) AS overlapping FROM g GROUP BY worker""")
 def active_time(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 5 = 1 or o_orderkey % 35 = 3")
-    start = F.unix_timestamp("o_orderdate")
-    return T.active_time(o.select((F.col("o_custkey") % 16).alias("worker"), start.alias("start_ts"), (start + 86400 * (F.col("o_orderkey") % 5)).alias("end_ts")), ["worker"])
+    return T.active_time(_windows(spark, d).withColumn("worker", F.col("o_custkey") % 16), ["worker"])
 
 
 _ERR = ["HTTP 429 from upstream", "Read timed out", "SSL: unexpected EOF", "boom"]
