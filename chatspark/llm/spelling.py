@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from chatspark.llm.stage import drop_written, written
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of a tile, and at most of a product.
-TILE = 512
+#: Words of a tile, and of a product of several small blocks.
+TILE, TOGETHER = 512, 128
 PARTS = 4
 #: Parts that near words of one length, and of adjacent lengths, have in common.
 _SAME = list(combinations(range(PARTS), PARTS - 2))
@@ -94,17 +94,24 @@ def block_keys(words: DataFrame, part: np.ndarray) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, _KEYED)
 
 
+def _changes(table: pa.Table) -> np.ndarray:
+    """Whether each row but the first is of another block, or pair of tiles, than the one before."""
+    group = np.stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
+    return (group[:, 1:] != group[:, :-1]).any(axis=0)
+
+
 def _pairs(table: pa.Table, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of the rows of whole blocks (or pairs of tiles) within the squared distance."""
     row, code = _letters(table["word"].combine_chunks())
     present, column = np.unique(code, return_inverse=True)
     n = table.num_rows
     counts = np.bincount(row * len(present) + column, minlength=n * len(present)).reshape(n, len(present)).astype(np.float64)
-    key, role, combo, tile, across = (table[c].to_numpy() for c in ("key", "role", "combo", "tile", "across"))
+    role, combo, tile, across = (table[c].to_numpy() for c in ("role", "combo", "tile", "across"))
+    block = np.cumsum(np.append(0, _changes(table)))
     squared = (counts * counts).sum(axis=1)
     size = counts.sum(axis=1)
     distance = squared[:, None] + squared[None, :] - 2 * (counts @ counts.T)
-    met = (key[:, None] == key[None, :]) & (combo[:, None] == combo[None, :]) & ((tile[:, None] != tile[None, :]) | ~across[:, None])
+    met = (block[:, None] == block[None, :]) & (combo[:, None] == combo[None, :]) & ((tile[:, None] != tile[None, :]) | ~across[:, None])
     equal = (role[:, None] == _EQUAL) & (role[None, :] == _EQUAL) & (size[:, None] == size[None, :]) & np.tri(n, k=-1, dtype=bool)
     longer = (role[:, None] == _SHORT) & (role[None, :] == _LONG) & (size[:, None] + 1 == size[None, :])
     a, b = np.nonzero(met & (equal & (distance <= 2) | longer & (distance <= 1)))
@@ -125,14 +132,13 @@ def _blocks(part: np.ndarray):
     """Cuts sorted rows where a block ends: small blocks share a product, a pair of tiles has one of its own."""
 
     def whole(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
-        group = np.stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
-        starts = np.concatenate([[0], np.nonzero((group[:, 1:] != group[:, :-1]).any(axis=0))[0] + 1])
+        starts = np.concatenate([[0], np.nonzero(_changes(table))[0] + 1])
         ends = np.append(starts[1:], table.num_rows)
         if not last:
             starts, ends = starts[:-1], ends[:-1]
         out, at = [], 0
         for i, end in enumerate(ends):
-            if end - at > TILE and starts[i] > at:
+            if end - at > TOGETHER and starts[i] > at:
                 out.append(table.slice(at, starts[i] - at))
                 at = starts[i]
         done = int(ends[-1]) if len(ends) else 0
