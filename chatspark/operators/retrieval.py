@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,70 +129,6 @@ def budget_sweep(rows: DataFrame, budgets: list[int], k: int) -> DataFrame:
     return out
 
 
-#: Bytes of query vectors that go to the pool's tasks at a time.
-QUERY_BYTES = 32 << 20
-
-
-def dense_route(queries: DataFrame, pool: DataFrame, k: int, least: float = 0.01, block: int = 1024) -> DataFrame:
-    """(case_id, id, cosine, rank): all queries against all rows, in blocks; a batch of the pool keeps k rows of a query before the shuffle.
-
-    The stated queries (case_id, vector) are broadcast, up to QUERY_BYTES for each pass over the pool.
-    """
-    spark = pool.sparkSession
-    found = None
-    for ids, q in _query_parts(queries):
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for table in batches:
-                if not len(table):
-                    continue
-                v = np.stack(table["vector"].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                for at in range(0, len(q), block):
-                    score = q[at : at + block] @ v.T
-                    n = min(k, score.shape[1])
-                    top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    value = np.take_along_axis(score, top, 1)
-                    keep = value >= least
-                    yield pd.DataFrame({"case_id": np.repeat(ids[at : at + block], n)[keep.ravel()], "id": table["id"].to_numpy()[top[keep]], "cosine": value[keep]})
-
-        one = pool.select("id", "vector").mapInPandas(run, "case_id long, id long, cosine double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "case_id long, id long, cosine double, rank int")
-    return topk_rank(found, ["case_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
-
-
-def _query_parts(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the queries, QUERY_BYTES at a time."""
-    ids, vectors, size = [], [], 0
-
-    def part():
-        q = np.array(vectors, np.float64)
-        return np.array(ids), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-    for row in queries.select("case_id", "vector").toLocalIterator():
-        ids.append(row.case_id)
-        vectors.append(row.vector)
-        size += 8 * len(row.vector)
-        if size >= QUERY_BYTES:
-            yield part()
-            ids, vectors, size = [], [], 0
-    if ids:
-        yield part()
-
-
-def hybrid_search(dense: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
-    """.6 * cosine + .4 * keyword / its largest, times 1.15 when both routes have the row; the first k of each case."""
-    kw = keyword.withColumn("_max", F.max("hits").over(Window.partitionBy("case_id")))
-    both = dense.select("case_id", "id", "cosine").join(kw.select("case_id", "id", "hits", "_max"), ["case_id", "id"], "full")
-    score = 0.6 * F.coalesce("cosine", F.lit(0.0)) + 0.4 * F.coalesce(F.col("hits") / F.col("_max"), F.lit(0.0))
-    boost = F.when(F.col("cosine").isNotNull() & F.col("hits").isNotNull(), 1.15).otherwise(1.0)
-    return topk_rank(both.withColumn("score", F.round(score * boost, 6)), ["case_id"], [F.desc("score"), F.col("id")], k).select("case_id", "id", "score", "rank")
-
-
 def hit_windows(windows: DataFrame) -> DataFrame:
     """Hits (case_id, chat_id, rank, start, end) in order of rank, without those that overlap an earlier one; a case's hits are bounded."""
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatspark.functions import text as X
+from chatspark.operators import memory as M
 from chatspark.operators import recall as C
 from chatspark.operators import retrieval as R
 from chatspark.operators.pruned import pruned_topk
 from chatspark.plans.registry import query
 from chatspark.plans.tables import table
+from chatspark.sources.scratch import written
 
 #: Words of five letters and more stand for situations; terms are words, so that SQL can count them too.
 _WORDS = "list_filter(string_split(lower({}), ' '), lambda w: length(w) >= 5)"
@@ -234,9 +236,9 @@ _DENSE = """dn AS (SELECT q.vec_id AS case_id, p.vec_id AS id, list_cosine_simil
 dr AS (SELECT case_id, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(cosine, 9) DESC, id) - 1 AS rank FROM dn WHERE cosine >= 0.01) WHERE rank < 20)"""
 
 
-def _dense(spark, d):
+def _dense(spark, d, recall=1.0):
     v = _vectors(spark, d)
-    return R.dense_route(v.filter("id % 50 = 0").select(F.col("id").alias("case_id"), "vector"), v, 20)
+    return M.dense_route(v.filter("id % 50 = 0").select(F.col("id").alias("case_id"), "vector"), v, 20, recall=recall)
 
 
 @query(f"WITH {_DENSE} SELECT case_id, id, round(cosine, 5) AS cosine, rank FROM dr")
@@ -245,15 +247,42 @@ def dense_route(spark, d):
     return _dense(spark, d).select("case_id", "id", F.round("cosine", 5).alias("cosine"), "rank")
 
 
-@query(f"""WITH {_DENSE}, kw AS (SELECT q.vec_id AS case_id, p.vec_id AS id, 1 + p.vec_id % 4 AS hits FROM embeddings q JOIN embeddings p ON p.label = q.label AND q.vec_id % 50 = 0), m AS (SELECT *, max(hits) OVER (PARTITION BY case_id) AS mx FROM kw),
-s AS (SELECT case_id, id, round((0.6 * coalesce(cosine, 0) + 0.4 * coalesce(hits / mx, 0)) * CASE WHEN cosine IS NOT NULL AND hits IS NOT NULL THEN 1.15 ELSE 1 END, 6) AS score FROM dr FULL JOIN m USING (case_id, id))
-SELECT case_id, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < 10""")
+@query()
+def probed_route(spark, d):
+    """The same from the cells that hold nine tenths of the neighbours and more; tested against the exact rows."""
+    return _dense(spark, d, 0.95).select("case_id", "id", F.round("cosine", 5).alias("cosine"), "rank")
+
+
+#: Turns as messages of their conversation's account; each has one of the vectors. The first user turn of every conversation asks before its answer.
+_MEMORY = """n AS (SELECT count(*) AS n FROM embeddings),
+m AS (SELECT conv_id * 100 + turn AS id, conv_id AS chat_id, CAST(turn AS BIGINT) AS pos, conv_id * 200 + turn * 250 AS ts, conv_id % 3 AS account, role AS sender, text, CAST(embedding AS DOUBLE[]) AS v FROM conversations, n JOIN embeddings ON vec_id = (conv_id * 100 + turn) * 7 % n),
+q AS (SELECT id AS case_id, account, ts AS cutoff, [chat_id, chat_id - 9] AS excluded, [id - 100] AS blocked, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[\\p{L}\\p{M}\\p{N}_]+')) AS terms, v FROM m WHERE sender = 'user' AND pos <= 1),
+e AS (SELECT q.case_id, m.id, m.chat_id, m.pos, m.ts, round(list_cosine_similarity(m.v, q.v), 9) AS cosine, len(list_filter(q.terms, lambda t: contains(lower(m.sender || ' ' || m.text), t))) AS hits FROM q JOIN m ON m.ts < q.cutoff AND m.account = q.account AND NOT list_contains(q.excluded, m.chat_id) AND NOT list_contains(q.blocked, m.id)),
+r1 AS (SELECT * FROM e WHERE cosine >= 0.01 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY cosine DESC, chat_id, pos) <= 25), r2 AS (SELECT * FROM e WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, ts DESC, chat_id, pos) <= 25),
+f AS (SELECT coalesce(r1.case_id, r2.case_id) AS case_id, coalesce(r1.id, r2.id) AS id, coalesce(r1.chat_id, r2.chat_id) AS chat_id, coalesce(r1.pos, r2.pos) AS pos, r1.cosine, r2.hits FROM r1 FULL JOIN r2 ON r1.case_id = r2.case_id AND r1.id = r2.id),
+s AS (SELECT *, round((0.6 * coalesce(cosine, 0) + 0.4 * coalesce(hits / max(hits) OVER (PARTITION BY case_id), 0)) * CASE WHEN cosine IS NOT NULL AND hits IS NOT NULL THEN 1.15 ELSE 1 END, 7) AS score FROM f)"""
+
+
+def _memory(spark, d):
+    c, v = table(spark, d, "conversations"), table(spark, d, "embeddings")
+    number = F.col("conv_id") * 100 + F.col("turn")
+    own = c.crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", number * 7 % F.col("n")).join(v, "vec_id")
+    messages = written(own.select(number.alias("id"), F.col("conv_id").alias("chat_id"), F.col("turn").cast("long").alias("pos"), (F.col("conv_id") * 200 + F.col("turn") * 250).alias("ts"), (F.col("conv_id") % 3).alias("account"), F.col("role").alias("sender"), "text", F.col("embedding").alias("vector")))
+    asking = messages.filter("sender = 'user' and pos <= 1")
+    cases = asking.select(F.col("id").alias("case_id"), "account", F.col("ts").alias("cutoff"), F.array("chat_id", F.col("chat_id") - 9).alias("excluded"), F.array(F.col("id") - 100).alias("blocked"), F.substring("text", 1, 60).alias("query"), "vector")
+    return cases, messages
+
+
+@query(f"WITH {_MEMORY} SELECT case_id, id, round(score, 4) AS score, CASE WHEN cosine IS NULL THEN 'keyword' WHEN hits IS NULL THEN 'dense' ELSE 'dense,keyword' END AS routes FROM s")
 def hybrid_search(spark, d):
-    """Dense neighbours and, as keyword route, all vectors with the query's label."""
-    v = _vectors(spark, d)
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("case_id"), "label")
-    kw = q.join(v.select("id", "label"), "label").select("case_id", "id", (1 + F.col("id") % 4).alias("hits"))
-    return R.hybrid_search(_dense(spark, d), kw, 10).select("case_id", "id", F.round("score", 4).alias("score"))
+    """Messages before each first question, by vector and by words contained, fused; all cells are probed, so rows are exact."""
+    return M.fused(M.search_routes(*_memory(spark, d), 5, recall=1)).select("case_id", "id", F.round("score", 4).alias("score"), "routes")
+
+
+@query()
+def memory_search(spark, d):
+    """The five best of these with the messages around them, from calibrated cells; tested against loops."""
+    return M.memory_search(*_memory(spark, d), 5).select("case_id", "n", "hit_id", F.array_join(F.transform("messages", lambda x: x.cast("string")), ",").alias("messages"))
 
 
 @query()
