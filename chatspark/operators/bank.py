@@ -46,11 +46,10 @@ def bank_explode(records: DataFrame) -> DataFrame:
 
 
 def bank_upsert(bank: DataFrame, new: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, conflicts): a key that is there with equal values is ignored, with others a conflict; a round that any source already has for the case and side is skipped."""
-    digest = F.xxhash64(*values)
-    there = bank.select(*KEY, digest.alias("_old"))
-    met = new.withColumn("_new", digest).join(there, KEY, "left")
-    conflicts = met.filter("_old is not null and _old != _new").select(*KEY)
+    """(rows to insert, conflicts): a key that is there with equal values is ignored, with others (a null is a value of its own) a conflict; a round that any source already has for the case and side is skipped."""
+    there = bank.select(*KEY, F.struct(*values).alias("_old"))
+    met = new.withColumn("_new", F.struct(*values)).join(there, KEY, "left")
+    conflicts = met.filter(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new"))).select(*KEY)
     rounds = bank.select("round_fp", "case_id", "side_fp").distinct()
     insert = met.filter("_old is null").join(rounds, ["round_fp", "case_id", "side_fp"], "left_anti")
     return insert.drop("_old", "_new"), conflicts

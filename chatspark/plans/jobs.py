@@ -147,11 +147,11 @@ def io_write_roles(spark, d):
     return io.write_roles(e.select("role", "example_id", "chat_id", "chat_type"), folder(spark))
 
 
-def _stream(spark, d):
+def _stream(spark, d, files=100):
     path = folder(spark)
     e = table(spark, d, "events")
     e.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return J.read_events(spark, path, 100)
+    return J.read_events(spark, path, files)
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -173,16 +173,24 @@ def st_gap_counts(spark, d):
     return J.run_available(J.gap_counts_stream(_stream(spark, d)), folder(spark))
 
 
-@query("WITH m AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'purchase' AS own, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), p AS (SELECT *, coalesce(NOT lag(own) OVER w OR ts - lag(ts) OVER w > 21600, true) AS new, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS back FROM m WINDOW w AS (PARTITION BY user_id ORDER BY r)), b AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY r) AS k FROM p WHERE own), g AS (SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n, min(back) AS back FROM b GROUP BY user_id, k) SELECT user_id, start_ts, end_ts, n FROM g WHERE back > 1 OR end_ts + 21600 < (SELECT max(CAST(floor(epoch(ts)) AS BIGINT)) - 600 FROM events)")
+@query("""WITH w AS (SELECT epoch_ms(max(ts)) - 25200000 AS w FROM events), m AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'purchase' AS own, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events, w WHERE epoch_us(ts) < w * 1000),
+p AS (SELECT *, coalesce(NOT lag(own) OVER w OR ts - lag(ts) OVER w > 21600, true) AS new, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS back FROM m WINDOW w AS (PARTITION BY user_id ORDER BY r)),
+b AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY r) AS k FROM p WHERE own), g AS (SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n, min(back) AS back FROM b GROUP BY user_id, k)
+SELECT user_id, start_ts, end_ts, n FROM g, w WHERE back > 1 OR (end_ts + 21600) * 1000 < w""")
 def st_bursts(spark, d):
-    """Bursts of own messages with gaps of up to six hours, ended by another message, a gap or the watermark."""
-    return J.run_available(J.burst_stream(_stream(spark, d), 21600), folder(spark))
+    """Bursts of own messages with gaps of up to six hours, of the rows that the watermark has passed; rows come in three batches, up to six hours out of order."""
+    path = folder(spark)
+    late = table(spark, d, "events").withColumn("_s", F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(21600)))
+    a, b = late.approxQuantile("_s", [0.33, 0.67], 0.01)
+    for part in ("_s < {a}", "_s >= {a} and _s < {b}", "_s >= {b}"):
+        late.filter(part.format(a=a, b=b)).drop("_s").repartition(2).write.mode("append").parquet(path)
+    return J.run_available(J.burst_stream(J.read_events(spark, path, 2), 21600, "7 hours"), folder(spark))
 
 
 @query("SELECT user_id AS case_id, max(event_id) AS line_no, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def st_final_records(spark, d):
     """The last event of each user, kept up to date batch by batch."""
     out = folder(spark)
-    s = _stream(spark, d).select(F.col("user_id").alias("case_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("status"))
+    s = _stream(spark, d, 2).select(F.col("user_id").alias("case_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("status"))
     s.writeStream.foreachBatch(J.final_records_sink(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return J.current_records(spark, out, s.schema)
