@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,38 +52,6 @@ def clean_cases(cases: DataFrame, max_gap: int = 600) -> DataFrame:
     return cases.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_pattern_reuse(replies: DataFrame, history: DataFrame, least: float = 0.65, salts: int = 16) -> DataFrame:
-    """(id, exact, fuzzy): a sentence of the reply is in two or more of the group's messages; or block-matches one of its candidate sentences.
-
-    Exact repeats are an equi-join on sentences; the fuzzy part compares a reply with all sentences of its chat that can reach `least`: they are long enough
-    and share enough characters, which bounds what blocks can match.
-    """
-    sentence = F.explode(F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)).alias("s")
-    r = replies.select("id", "chat_id", sentence)
-    h = history.select("chat_id", "message_id", sentence).distinct()
-    often = h.groupBy("chat_id", "s").agg(F.count_distinct("message_id").alias("n"))
-    exact = r.join(often, ["chat_id", "s"]).filter("n >= 2").select("id").distinct().withColumn("exact", F.lit(True))
-    salted = r.select("chat_id", "s").distinct().withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(salts)))
-    others = often.select("chat_id", F.col("s").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    pairs = salted.join(others, ["chat_id", "salt"]).filter((F.col("s") != F.col("t")) & (F.length("t") >= least * F.length("s") - 1e-6))
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        count = lru_cache(20_000)(Counter)
-
-        def one(x, y):
-            own, other = count(x), count(y)
-            if sum(min(n, other[c]) for c, n in own.items() if c in other) < least * len(x) - 1e-6:
-                return False
-            return sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / max(1, len(x)) >= least
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    alike = pairs.filter(near("s", "t")).select("chat_id", "s").distinct()
-    fuzzy = r.join(alike, ["chat_id", "s"]).select("id").distinct().withColumn("fuzzy", F.lit(True))
-    return replies.select("id").join(exact, "id", "left").join(fuzzy, "id", "left").na.fill(False, ["exact", "fuzzy"])
-
-
 def contribution_decide(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds decision: a side that meets every need while the other misses one wins; blocked diagnostics and near ties keep the base. Rows have needs_a, needs_b (arrays of booleans), blocked, base."""
     all_a, all_b = F.forall("needs_a", lambda x: x), F.forall("needs_b", lambda x: x)

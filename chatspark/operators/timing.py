@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.quantiles import order_statistics
 from chatspark.operators.scan import running
 from chatspark.sources.scratch import written
 
 
 def latency_dist(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Measured and missing counts, mean, true median and nearest-rank 95th percentile."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("measured"), F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 4).alias("p50"),
-        F.expr(f"round(percentile_disc(0.95) within group (order by {value}), 4)").alias("p95"),
-    ).withColumn("missing", F.col("n") - F.col("measured")).drop("n")
+    whole = rows.groupBy(*by).agg(F.count(value).alias("measured"), F.count(F.lit(1)).alias("_rows"), F.round(F.avg(value), 4).alias("mean"))
+    ranks = {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.ceil((n - 1) / 2), "_p95": lambda n: F.ceil(n * F.lit(0.95)) - 1}
+    placed = order_statistics(rows, by, value, ranks)
+    joined = whole.alias("w").join(placed.alias("p"), [F.col(f"w.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by], "left")
+    return joined.select(*[f"w.{c}" for c in by], "measured", "mean", F.round((F.col("_lower") + F.col("_upper")) / 2, 4).alias("p50"), F.round("_p95", 4).alias("p95"), (F.col("_rows") - F.col("measured")).alias("missing"))
 
 
 def latency_index_pct(rows: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
     """The element at index int(n * p) of the sorted values."""
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    run = counted.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    return run.filter(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))).groupBy(*by).agg(F.min(value).alias("value"))
+    return order_statistics(rows, by, value, {"value": lambda n: F.least(n - 1, F.floor(n * F.lit(p)))}).drop("n")
 
 
 def attempt_totals(operations: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatspark.functions import events as E
 from chatspark.operators import conversation as C
+from chatspark.operators import patterns as P
 from chatspark.operators import roles as L
 from chatspark.operators import splits as S
 from chatspark.plans.corpus import _EX, _WIN, WIDE, examples
@@ -69,7 +70,7 @@ def clean_cases(spark, d):
 def group_pattern_reuse(spark, d):
     """Replies of assistants that repeat sentences of their conversation; tested against Python's difflib."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (F.col("conv_id") % 20).alias("chat_id"), "role", "text")
-    return L.group_pattern_reuse(c.filter("role = 'assistant'").select(F.col("message_id").alias("id"), "chat_id", "text"), c.filter("role != 'assistant'"))
+    return P.group_pattern_reuse(c.filter("role = 'assistant'").select(F.col("message_id").alias("id"), "chat_id", "text"), c.filter("role != 'assistant'"), P.ENDS.replace("[", "[."))
 
 
 @query("WITH r AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS a, bool_and(l_linestatus = 'O') AS b, l_orderkey % 9 = 0 AS blocked, l_orderkey % 100 / 100 AS base FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN blocked THEN base WHEN a AND NOT b THEN 1.0 WHEN b AND NOT a THEN 0.0 WHEN abs(base - 0.5) < 0.05 THEN 0.5 ELSE base END AS decision FROM r")

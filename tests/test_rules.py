@@ -160,24 +160,6 @@ def test_entry(spark):
     assert DATA
 
 
-def test_group_pattern_reuse_compares_whole_texts_with_all_sentences(spark):
-    import difflib
-    import random
-
-    from chatspark.operators.roles import group_pattern_reuse
-
-    rng = random.Random(2)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
-    history = [(i, i % 3, ". ".join(" ".join(word() for _ in range(6)) for _ in range(rng.randrange(1, 30)))) for i in range(12)]
-    replies = [(i, i % 3, "fill " * 100 + ". " + f"Zz{i}" + rng.choice(history[i % 3 :: 3])[2].split(". ")[-1][1:]) for i in range(9)]
-    replies += [(9 + i, i % 3, " ".join(word() for _ in range(5))) for i in range(30)]
-    parts = lambda t: {x for y in t.split(".") if len(x := y.strip(" ")) >= 4}
-    like = lambda x, y: sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / len(x) >= 0.65
-    want = {i: any(x != y and like(x, y) for x in parts(t) for _, d, u in history if d == c for y in parts(u)) for i, c, t in replies}
-    out = group_pattern_reuse(spark.createDataFrame(replies, "id long, chat_id long, text string"), spark.createDataFrame(history, "message_id long, chat_id long, text string"))
-    assert {r.id: r.fuzzy for r in out.collect()} == want and all(want[i] for i in range(9))
-
-
 def test_group_pattern_query_reads_whole_texts(spark, tmp_path):
     from chatspark.plans import QUERIES
 
