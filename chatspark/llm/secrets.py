@@ -1,8 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are long tokens (MIN_CHARS or more of letters, digits and the marks of base64 and of names)
-that hold a digit or change case inside, and every value, of any length and marks, that follows the name of a
-credential. A token `name=value` counts by its value. Each has features of five kinds: its length and character classes,
+that hold a digit or change case inside, every value, of any length and marks, that follows the name of a
+credential, and passwords within addresses. Candidates are found in time that grows with the text's length, however it is made. A token `name=value` counts by its value. Each has features of five kinds: its length and character classes,
 how likely its character transitions are in the corpus' own words, the share of it that dictionary words
 cover, its path (the source: its parts, and how many candidates its documents have), and its neighbouring words. A random forest trained on labelled findings
 scores every candidate.
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from chatspark.llm.stage import written
 
 MIN_CHARS = 16
+#: Candidates that leave a task at a time.
+OUT_ROWS = 4096
 DICTIONARY = 20_000
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
@@ -49,12 +51,17 @@ NAMES = frozenset("token secret password passwd pwd apikey api_key key auth cred
 #: Names that are sure of a credential as a part of a longer name, as in DB_PASSWORD; a `key` may be any.
 SURE = NAMES - {"key", "auth"}
 _JOINED = "|".join(sorted(NAMES, key=len, reverse=True))
-#: A credential's name or the end of a name from it on, what parts it from the value, and the value: quoted, or up to a space.
+#: A credential's name or the end of a name from it on, what parts it from the value, and the value: quoted, or up to a space, a
+#: mark that parts assignments, or the next assignment to a credential. So values of unquoted assignments don't overlap.
 _NAMED = re.compile(
     rf"(?i)(?:{_JOINED})(?P<rest>[a-z0-9_.\-]{{0,60}}?)"
     r"""(?P<gap>["'\])}]{0,3}(?:[ \t]*(?:=>|:=|==?|:)[ \t]*|[ \t]+(?:is|was)[ \t]+|[ \t]+)(?:bearer[ \t]+|basic[ \t]+)?)"""
-    r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s"'`]\S*))"""
+    r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s"'`&;,]"""
+    rf"""(?:(?!(?:{_JOINED})[a-z0-9_.\-]{{0,60}}[=:])[^\s"'`&;,])*))"""
 )
+#: What stands between an address' scheme and its host: a user and a password.
+_LOGIN = re.compile(r"://[^\s/:@]*:(?P<value>[^\s/@]+)@")
+_LOGIN_BEFORE = re.compile(r"://[^\s/:@]*:$")
 _ASSIGNED = re.compile(r"""([A-Za-z0-9_.\-]+)["'\])}]{0,3}\s*(?:=>|:=|==?|:)\s*(?:[Bb]earer\s+|[Bb]asic\s+)?["'`]?$""")
 _NAME_OF_TOKEN = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)=+(?=[^=])")
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -127,6 +134,8 @@ def rule_label(value: str, before: str) -> int | None:
     address = "://" in value or re.fullmatch(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+", value) is not None
     if named and not address:
         return 1 if sum(c.isdigit() for c in value) >= 3 else None
+    if _LOGIN_BEFORE.search(before):
+        return 1 if any(c.isdigit() for c in value) else None
     if "@" in value or "://" in value or re.fullmatch(r"[A-Za-z.\-]+|[\d.\-+/]+", value):
         return 0
     return None
@@ -143,10 +152,12 @@ def places(text: str) -> list[tuple[int, int]]:
             continue  # within running text only whole words are names
         value = m[kind] if kind != "bare" else m[kind].rstrip(",;)]}>.") or m[kind]
         found.add((m.start(kind), m.start(kind) + len(value)))
+    found.update(m.span("value") for m in _LOGIN.finditer(text))
     for m in _CANDIDATE.finditer(text):
-        start, whole = m.start(), m[0]
-        while (name := _NAME_OF_TOKEN.match(whole)) and (len(whole) - name.end() >= MIN_CHARS or credential(name["name"], NAMES)):
-            start, whole = start + name.end(), whole[name.end() :]
+        start, end = m.span()
+        while (name := _NAME_OF_TOKEN.match(text, start, end)) and (end - name.end() >= MIN_CHARS or credential(name["name"], NAMES)):
+            start = name.end()
+        whole = text[start:end]
         value = whole.strip(".=-")
         inner = value.swapcase()[1:]
         if len(value) < MIN_CHARS or not (any(c.isdigit() for c in value) or not (inner.isupper() or inner.islower())):
@@ -161,6 +172,11 @@ def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> Da
     model = docs.sparkSession.sparkContext.broadcast((table, words))
     schema = "doc_id long, source string, start long, length long, value string, label int, features array<double>"
 
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
     def run(batches):
         table, words = model.value
         for batch in batches:
@@ -170,9 +186,11 @@ def _candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str]) -> Da
                     value = text[start:end]
                     before, after = text[max(0, start - 40) : start], text[start + len(value) : start + len(value) + 20]
                     rows.append((doc_id, source, start, len(value), value, rule_label(value, before), features(value, before, after, source or "", table, words)))
+                    if len(rows) == OUT_ROWS:
+                        yield packed(rows)
+                        rows = []
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                yield packed(rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(run, schema)
