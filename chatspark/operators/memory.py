@@ -60,6 +60,8 @@ class Cells:
         usual = known.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
         if usual is None:
             return cls(np.zeros((0, 0)))
+        if cells == 1:
+            return cls(np.zeros((1, usual["size"])))
         share = min(1.0, SAMPLE / usual["count"])
         drawn = known.filter((F.size("vector") == usual["size"]) & ~F.exists("vector", lambda x: x.isNull()) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)))
         raw = drawn.select(array_to_vector(F.col("vector").cast("array<double>")).alias("raw"))
@@ -187,7 +189,7 @@ def search_routes(cases: DataFrame, messages: DataFrame, k: int, cells: int = 64
     vector. Equal cosines go by chat and place, equal counts of words by the later time first.
     """
     limit = max(20, 5 * k)
-    index = Cells.fit(messages, cells)
+    index = Cells.fit(messages, cells if recall < 1 else 1)  # what is probed whole needs no cells
     hay = F.lower(F.concat_ws(" ", "sender", "text"))
     held, blocks = inverted_file(messages.select(*[F.col(c).cast("long").alias(c) for c in ("id", "chat_id", "pos", "ts", "account")], hay.alias("hay"), "vector"), index)
     asks = written(cases.select("case_id", "account", "cutoff", "excluded", "blocked", words(F.col("query")).alias("terms"), "vector"))
@@ -238,7 +240,7 @@ def dense_route(queries: DataFrame, pool: DataFrame, k: int, cells: int = 64, re
     """(case_id, id, cosine, rank): the k nearest rows (id, vector) of each query (case_id, vector), from LEAST on; all rows with recall=1."""
     none = lambda kind: F.lit(None).cast(kind)
     rows = pool.select(F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("chat_id"), F.col("id").cast("long").alias("pos"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("account"), F.lit("").alias("hay"), "vector")
-    index = Cells.fit(rows, cells)
+    index = Cells.fit(rows, cells if recall < 1 else 1)
     held, blocks = inverted_file(rows, index)
     asks = written(queries.select("case_id", F.lit(0).cast("long").alias("account"), F.lit(1).cast("long").alias("cutoff"), none("array<long>").alias("excluded"), none("array<long>").alias("blocked"), none("array<string>").alias("terms"), "vector"))
     probes = calibrated_probes(asks, held, index, blocks, k, recall)

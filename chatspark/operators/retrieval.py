@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.sources.scratch import written
+
 
 def term_postings(rows: DataFrame, terms: Column) -> DataFrame:
     """(id, term, n): the bag of terms of each row."""
@@ -84,8 +86,9 @@ def diversity_cap(rows: DataFrame, limits: dict[str, int], k: int) -> DataFrame:
     def run(table: pd.DataFrame) -> pd.DataFrame:
         counts: dict[tuple, int] = {}
         out = []
-        for i, row in table.sort_values("rank").iterrows():
-            keys = [(n, row[n]) for n in names if not pd.isna(row[n])]
+        ordered = table.sort_values("rank")
+        for i, *values in zip(ordered.index, *(ordered[n] for n in names)):
+            keys = [(n, v) for n, v in zip(names, values) if not pd.isna(v)]
             if len(out) < k and all(counts.get(x, 0) < limits[x[0]] for x in keys):
                 out.append(i)
                 for x in keys:
@@ -118,8 +121,8 @@ def budget_select(rows: DataFrame, k: int, budget: int) -> DataFrame:
 
 
 def budget_sweep(rows: DataFrame, budgets: list[int], k: int) -> DataFrame:
-    """Selected and rejected counts of budget_select at each budget."""
-    out = None
+    """Selected and rejected counts of budget_select at each budget; the rows are made once."""
+    rows, out = written(rows), None
     for b in budgets:
         one = budget_select(rows, k, b).groupBy(F.lit(b).alias("budget")).agg(
             F.sum((F.col("decision") == "selected").cast("long")).alias("selected"), F.sum((F.col("decision") == "over_budget").cast("long")).alias("over_budget"),

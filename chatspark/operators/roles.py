@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.scan import running
 from chatspark.operators.splits import choose_quota, hash_order
 
 
@@ -36,8 +37,10 @@ def take_testset(rows: DataFrame, group: int, private: int, cap: int = 25, seed:
     order = [hash_order(seed, "id"), F.col("id")]
     capped = rows.withColumn("_c", F.row_number().over(Window.partitionBy("chat_id").orderBy(*order))).filter(F.col("_c") <= cap)
     quota = F.when(F.col("chat_type") == "group", group).otherwise(private)
-    ranked = capped.withColumn("_r", F.row_number().over(Window.partitionBy("chat_type").orderBy(*order))).filter(F.col("_r") <= quota)
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_r", "chat_type"))).drop("_c", "_r")  # quota rows only
+    hashed = capped.drop("_c").withColumns({"_h": hash_order(seed, "id"), "_one": F.lit(1)})
+    placed = running(hashed, {"_before": (F.sum, "_one")}, ["_h", "id"], ["chat_type"])  # no task ranks a whole kind
+    ranked = placed.withColumn("_r", F.coalesce("_before", F.lit(0)) + 1).filter(F.col("_r") <= quota).drop("_h", "_one", "_before")
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy("_r", "chat_type"))).drop("_r")  # quota rows only
 
 
 def refresh_fixed(rows: DataFrame, reserved: DataFrame, total: int, group: float, cap: int, seed: int) -> DataFrame:

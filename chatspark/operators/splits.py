@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.operators.scan import running
+from chatspark.sources.scratch import written
+
 
 def hash_order(seed: int, column: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")), 256)
@@ -87,6 +90,17 @@ def choose_quota(rows: DataFrame, total: int, group_ratio: float, cap: int, seed
     return trimmed.withColumn("rank", F.row_number().over(Window.partitionBy("chat_type").orderBy(*order))).filter(F.col("rank") <= quota).drop("_r", "_s")
 
 
+def checked_quota(rows: DataFrame, total: int, group_ratio: float, cap: int, seed: int, occupied: DataFrame | None = None) -> DataFrame:
+    """choose_quota(), written; an error where a kind has too few rows, which names the kind, what there is and what is due."""
+    chosen = written(choose_quota(rows, total, group_ratio, cap, seed, occupied))
+    have = {r.chat_type: r.n for r in chosen.groupBy("chat_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    group = round(total * group_ratio)
+    short = [f"{kind}: {have.get(kind, 0)} of {need}" for kind, need in (("group", group), ("private", total - group)) if have.get(kind, 0) < need]
+    if short:
+        raise ValueError("not enough capacity: " + ", ".join(short))
+    return chosen
+
+
 def holdout_search(counts: DataFrame, needs: list[tuple[str, str, bool, int, int]], fraction: float, seed: int = 42, attempts: int = 1000) -> DataFrame:
     """The first attempt whose held-out chats leave enough capacity: attempt and its chats.
 
@@ -121,11 +135,12 @@ def _holdouts(chats: DataFrame, counts: DataFrame, needs: list[tuple[str, str, b
 
 def seal_batches(rows: DataFrame, batches: int, stratum: list[str], seed: int = 42) -> DataFrame:
     """Adds batch: round robin in hash order within each stratum, strata shifted by the rows before them."""
-    order = Window.partitionBy(*stratum).orderBy(hash_order(seed, "id"), "id")
     sizes = rows.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy(*stratum)) - F.col("_n")).drop("_n")  # a row per stratum
-    ranked = rows.withColumn("_r", F.row_number().over(order) - 1).join(F.broadcast(base), stratum)
-    return ranked.withColumn("batch", ((F.col("_base") + F.col("_r")) % batches).cast("int")).drop("_r", "_base")
+    hashed = rows.withColumns({"_h": hash_order(seed, "id"), "_one": F.lit(1)})
+    placed = running(hashed, {"_r": (F.sum, "_one")}, ["_h", "id"], stratum).withColumn("_r", F.coalesce("_r", F.lit(0)))  # no task ranks a whole stratum
+    ranked = placed.join(F.broadcast(base), stratum)
+    return ranked.withColumn("batch", ((F.col("_base") + F.col("_r")) % batches).cast("int")).drop("_r", "_base", "_h", "_one")
 
 
 def stratified_candidates(rows: DataFrame, limit: int = 8, seed: int = 42) -> DataFrame:

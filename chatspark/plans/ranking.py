@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatspark.operators import graded as G
 from chatspark.operators import ranking as K
 from chatspark.plans.registry import query
 from chatspark.plans.tables import table
@@ -175,6 +176,27 @@ def field_profile(spark, d):
     return K.field_profile(o, "target_id", ["flag", "part"])
 
 
+@query(f"""WITH {OB}, r AS (SELECT *, rank() OVER (PARTITION BY target_id ORDER BY score DESC) + (count(*) OVER (PARTITION BY target_id, score) - 1) / 2 AS r FROM ob),
+p AS (SELECT a.target_id, CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END AS w, b.grade AS low FROM ob a JOIN ob b ON a.target_id = b.target_id AND a.grade > b.grade), pt AS (SELECT target_id, avg(w) AS a, avg(CASE WHEN low > 0 THEN w END) AS p FROM p GROUP BY 1),
+g AS (SELECT target_id, score, count(*) AS m, sum(grade) AS g FROM ob GROUP BY ALL), b AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY target_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+k AS (SELECT target_id, k, sum(g * least(greatest(k - before, 0), m) / m) / sum(least(greatest(k - before, 0), m)) AS v FROM b, (SELECT unnest([1, 3, 5]) AS k) GROUP BY ALL), z AS (SELECT count(*) AS c, count(*) FILTER (grade > 0) AS p FROM ob GROUP BY target_id)
+SELECT 'mean_rank' AS measure, CAST(grade AS VARCHAR) AS key, count(*) AS n, round(avg(r), 6) AS value FROM r GROUP BY grade UNION ALL SELECT 'ordered_pairs', '', count(a), round(avg(a), 6) FROM pt UNION ALL SELECT 'positive_pairs', '', count(p), round(avg(p), 6) FROM pt
+UNION ALL SELECT 'grade_at', CAST(k AS VARCHAR), count(*), round(avg(v), 6) FROM k GROUP BY k UNION ALL SELECT 'positives', CAST(p AS VARCHAR), count(*), NULL FROM z GROUP BY p UNION ALL SELECT 'candidates', CAST(c AS VARCHAR), count(*), NULL FROM z GROUP BY c""")
+def graded_report(spark, d):
+    return G.graded_report(observations(spark, d))
+
+
+@query()
+def tuned_pairwise(spark, d):
+    """The penalty of a pairwise model chosen on later orders, with the losses; tested against a fit in plain NumPy."""
+    o = observations(spark, d).withColumns({"f1": F.col("score") / 50.0, "f2": (F.col("flag") == "A").cast("double"), "f3": (F.col("status") == "O").cast("double")})
+    when = table(spark, d, "orders").select(F.col("o_orderkey").alias("target_id"), F.unix_timestamp("o_orderdate").alias("cutoff_ts"))
+    targets = when.withColumn("answer_ids", F.array("target_id"))
+    materials = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("target_id")).agg((F.max(F.unix_timestamp("l_shipdate")) - 90 * 86400).alias("end_ts"), F.collect_set("l_partkey").alias("message_ids"))
+    weights, trials = G.tuned_pairwise(targets, materials, o, ["f1", "f2", "f3"])
+    return spark.createDataFrame([("weight", k, round(v, 6)) for k, v in sorted(weights.items())] + [("loss", str(c), round(x, 6)) for c, x in trials], "kind string, name string, value double")
+
+
 @query()
 def pairwise_lr(spark, d):
     """Coefficients of three features learned from preference pairs; tested for direction on planted preferences."""
