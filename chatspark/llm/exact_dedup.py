@@ -15,17 +15,16 @@ and kept by `exact_dedup`.
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatspark.llm.stage import fresh, written
+from chatspark.llm.stage import written
 
 SLOTS_PER_ROW = 16
-#: Slots of one filter for each probe: PROBES * MAX_SLOTS / 64 words, two million, can be broadcast. More rows than
-#: MAX_SLOTS / SLOTS_PER_ROW (four million) are parted by ranges of their hash, each with a filter of its own.
+#: Slots of a filter for each probe that is broadcast: PROBES * MAX_SLOTS / 64 words, two million. With more rows than
+#: MAX_SLOTS / SLOTS_PER_ROW (four million) thin rows of 48 bytes and words meet by shuffle.
 MAX_SLOTS = 1 << 26
 PROBES = 2
 #: Groups of possible repeats up to this many (about 100 MB) are broadcast to their rows; more are joined by shuffle.
@@ -44,35 +43,28 @@ def repeated_slots(hashes: DataFrame, slots: int) -> DataFrame:
 
 
 def with_maybe_repeated(rows: DataFrame, words: DataFrame, slots: int) -> DataFrame:
-    """Adds _maybe: false for rows that are certainly unique. `rows` has _h."""
+    """Adds _maybe: false for rows that are certainly unique. `rows` has _h.
+
+    The words of up to MAX_SLOTS slots are broadcast; those of a larger filter meet the rows by shuffle, once for each probe.
+    """
     out, maybe = rows, F.lit(True)
+    words = F.broadcast(words) if slots <= MAX_SLOTS else words
     for p in range(PROBES):
         slot = _slot(p, slots) + F.lit(p * slots)
-        side = F.broadcast(words).select(F.col("word").alias(f"_w{p}"), F.col("bits").alias(f"_b{p}"))
+        side = words.select(F.col("word").alias(f"_w{p}"), F.col("bits").alias(f"_b{p}"))
         out = out.withColumn(f"_s{p}", slot).join(side, F.shiftright(f"_s{p}", 6) == F.col(f"_w{p}"), "left")
         maybe = maybe & F.expr(f"coalesce(shiftright(_b{p}, cast(_s{p} & 63 as int)) & 1, 0) = 1")
     out = out.withColumn("_maybe", maybe)
     return out.drop(*[f"_{c}{p}" for p in range(PROBES) for c in "swb"])
 
 
-def _tested(thin: DataFrame) -> DataFrame:
-    """`thin`, a table of _h and other columns, with _maybe.
-
-    Beyond one filter's rows, the table is written in ranges of its hash, and each range gets its filter, so the share
-    of unique rows that test as possible repeats doesn't rise with the input: 10^10 rows make 2,400 ranges of four
-    million rows, each read once for its filter and once against it.
-    """
-    ranges = max(1, math.ceil(thin.count() * SLOTS_PER_ROW / MAX_SLOTS))
-    if ranges == 1:
-        return _tested_range(thin)
-    of = fresh(thin.columns, "range")
-    parted = written(thin.withColumn(of, F.pmod(F.xxhash64("_h", F.lit("range")), F.lit(ranges)).cast("int")), "ranges", of)
-    tested = [_tested_range(parted.filter(F.col(of) == i).drop(of)) for i in range(ranges)]
-    return functools.reduce(DataFrame.unionByName, tested)
+def _slots(rows: int) -> int:
+    return 1 << max(10, math.ceil(math.log2(max(1, rows) * SLOTS_PER_ROW)))
 
 
-def _tested_range(thin: DataFrame) -> DataFrame:
-    slots = min(MAX_SLOTS, 1 << max(10, math.ceil(math.log2(max(1, thin.count()) * SLOTS_PER_ROW))))
+def _tested(thin: DataFrame) -> DataFrame:
+    """`thin`, a table of _h and other columns, with _maybe. The filter grows with the rows, so the share of unique rows that test as possible repeats doesn't."""
+    slots = _slots(thin.count())
     return with_maybe_repeated(thin, written(repeated_slots(thin, slots), "bloom"), slots)
 
 
@@ -99,8 +91,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64(F.unhex(F.sha2("_text", 256))))
     hashes = written(rows.select("_h"), "hashes")
-    if hashes.count() * SLOTS_PER_ROW <= MAX_SLOTS:
-        slots = 1 << max(10, math.ceil(math.log2(max(1, hashes.count()) * SLOTS_PER_ROW)))
+    slots = _slots(hashes.count())
+    if slots <= MAX_SLOTS:
         tested = with_maybe_repeated(rows, written(repeated_slots(hashes, slots), "bloom"), slots)
     else:  # the filters leave a list of the hashes that really occur again
         again = written(_tested(hashes).filter("_maybe").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"), "again")

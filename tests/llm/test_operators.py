@@ -69,8 +69,8 @@ def test_exact(docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _, k, _ in brute.exact(rows) if k)
 
 
-def test_exact_in_ranges(docs, rows, monkeypatch):
-    """More rows than a filter takes: ranges of hashes; groups joined by shuffle."""
+def test_exact_beyond_a_broadcast(docs, rows, monkeypatch):
+    """More rows than a filter that is broadcast takes: words and groups joined by shuffle."""
     from chatspark.llm import exact_dedup as module
 
     monkeypatch.setattr(module, "MAX_SLOTS", 1 << 9)
@@ -78,6 +78,20 @@ def test_exact_in_ranges(docs, rows, monkeypatch):
     test_exact(docs, rows)
 
 
+@pytest.mark.parametrize("n", [3_000, 60_000])
+def test_exact_plan_has_a_fixed_number_of_exchanges(spark, monkeypatch, n):
+    """Beyond one broadcast filter the plan is the same however many rows there are, without a broadcast of the filter."""
+    from chatspark.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "MAX_SLOTS", 1 << 9)
+    thin = spark.range(n).selectExpr("xxhash64(id % 2000) AS _h", "id")
+    tested = module._tested(thin)
+    plan = tested._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == module.PROBES and plan.count("Union") == 0
+    once = 1000 if n == 3_000 else 0  # hashes that occur once; few of them pass for repeats
+    assert 0.8 * once <= tested.filter("not _maybe").count() <= once
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard(docs, rows, k, percent):
     assert got(jaccard_components(docs, k, percent), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(rows, k, percent)
