@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chatspark.sources.scratch import written
+
+#: Bits of the filter of names, 8 MB when broadcast.
+MAX_BITS = 1 << 26
+
 
 def _evidence(k: int) -> Column:
     """The k smallest (ts, message_id), as message ids: a bounded buffer by merging sorted slices."""
@@ -73,13 +80,23 @@ def vocative_claims(vocatives: DataFrame, members: DataFrame, least: int = 2) ->
 def mention_scan(messages: DataFrame, names: DataFrame) -> DataFrame:
     """(message_id, name, identities): names found with word bounds, also within or across longer ones; several identities make a mention ambiguous.
 
-    Each message sends its pieces between word bounds that have the length of some name, which are joined with the names; the driver
-    gets the lengths only.
+    Of each message the pieces between word bounds that have the length of some name are tested against a filter of the names' hashes, of
+    MAX_BITS at most whatever the names' number; only those that pass are joined with the names.
     """
-    owned = names.groupBy("name").agg(F.count_distinct("identity").alias("identities"))
+    owned = written(names.groupBy("name").agg(F.count_distinct("identity").alias("identities")))
     lengths = sorted(r.n for r in owned.select(F.length("name").alias("n")).filter("n > 0").distinct().collect())
+    bits = min(MAX_BITS, 1 << max(10, (16 * owned.count()).bit_length()))
+    slot = F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(bits))
+    words = owned.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    known = messages.sparkSession.sparkContext.broadcast(table.tobytes())
     word = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
 
+    def passes(piece: str) -> bool:
+        h = zlib.crc32(piece.encode()) & (bits - 1)
+        return bool(known.value[h >> 3] >> (h & 7) & 1)
+
     def pieces(batches):
         for table in batches:
             hits = []
@@ -87,7 +104,7 @@ def mention_scan(messages: DataFrame, names: DataFrame) -> DataFrame:
                 t = t or ""
                 ends = [j == len(t) or t[j] not in word for j in range(len(t) + 1)]
                 found = {t[a : a + n] for a in range(len(t)) if a == 0 or t[a - 1] not in word for n in lengths if a + n <= len(t) and ends[a + n]}
-                hits += [(i, x) for x in found]
+                hits += [(i, x) for x in found if passes(x)]
             yield pd.DataFrame(hits, columns=["message_id", "name"])
 
     found = messages.select("message_id", "text").mapInPandas(pieces, "message_id long, name string")
