@@ -121,10 +121,10 @@ def holdout_search(counts: DataFrame, needs: list[tuple[str, str, bool, int, int
 def _holdouts(chats: DataFrame, counts: DataFrame, needs: list[tuple[str, str, bool, int, int]], fraction: float, seed: int, tries: range) -> tuple[DataFrame, DataFrame]:
     """(attempt, chat_id, held) of some attempts, and the first that is enough."""
     numbers = chats.sparkSession.range(tries.start, tries.stop).select(F.col("id").cast("int").alias("attempt"))
-    ranked = chats.join(F.broadcast(numbers)).withColumn("_h", F.sha2(F.concat(F.col("attempt") + seed, F.lit(":"), F.col("chat_id").cast("string")), 256))
-    per = Window.partitionBy("attempt", "chat_type")
-    size = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(per) * fraction).cast("int"))
-    held = ranked.withColumn("held", F.row_number().over(per.orderBy("_h", "chat_id")) <= size).select("attempt", "chat_id", "held")
+    sizes = chats.groupBy("chat_type").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * fraction).cast("int")).alias("_size"))  # a row per kind
+    hashed = chats.join(F.broadcast(numbers)).withColumns({"_h": F.sha2(F.concat(F.col("attempt") + seed, F.lit(":"), F.col("chat_id").cast("string")), 256), "_one": F.lit(1)})
+    placed = running(hashed, {"_before": (F.sum, "_one")}, ["_h", "chat_id"], ["attempt", "chat_type"])  # no task ranks all chats of an attempt
+    held = placed.join(F.broadcast(sizes), "chat_type").select("attempt", "chat_id", (F.coalesce("_before", F.lit(0)) < F.col("_size")).alias("held"))
     enough = [
         F.coalesce(F.sum(F.when((F.col("window") == w) & (F.col("chat_type") == k) & (F.col("held") == F.lit(h)), F.least("n", F.lit(cap)))), F.lit(0)) >= need
         for w, k, h, cap, need in needs
