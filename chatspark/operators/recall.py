@@ -23,6 +23,8 @@ from chatspark.sources.scratch import written
 
 #: Rows of a block; blocks hold rows of one flag that ended at about the same time.
 BLOCK_ROWS = 2048
+#: A range of the pool's order has up to 2 ** RANGE_BITS blocks.
+RANGE_BITS = 24
 
 # Replies that fit any short turn, the marks that don't count in them, the question words of a turn, and the bounds.
 PORTABLE = (
@@ -168,28 +170,23 @@ class Block:
 
 
 def time_blocks(pool: DataFrame) -> DataFrame:
-    """Adds block and began: rows of one flag by ranges of the time they ended, dealt by hash where many end at once."""
-    n = pool.count()
-    cuts = max(1, -(-n // BLOCK_ROWS))
-    bounds = sorted(set(pool.approxQuantile("ended", [i / cuts for i in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("ended"))) if bounds else F.lit(0)
-    ranged = written(pool.withColumn("_range", (2 * place + F.col("is_group").cast("int")).cast("long")))
-    size = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()
-    first, table, at = [], [], 0
-    for r in size:
-        own = -(-r.n // BLOCK_ROWS)
-        first += [F.lit(r._range), F.lit(at).cast("long")]
-        table += [F.lit(r._range), F.lit(own).cast("long")]
-        at += own
-    if not size:
-        return ranged.withColumn("block", F.lit(0).cast("long")).drop("_range")
-    return written(ranged.withColumn("block", F.create_map(*first)[F.col("_range")] + F.pmod(F.xxhash64("id"), F.create_map(*table)[F.col("_range")])).drop("_range"))
+    """Adds block: each BLOCK_ROWS rows in order of flag, time and id; written, so that numbers hold.
+
+    Ranges of that order are sorted by one task each, and cut there: a block's number is its range's, its place in the range, and its flag.
+    """
+    order = ["is_group", "ended", "id"]
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pool.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    place = F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)
+    number = (F.shiftright("_at", 33) * (1 << RANGE_BITS) + place) * 2 + F.col("is_group").cast("int")
+    return written(dealt.withColumn("block", number.cast("long")).drop("_at"))
 
 
 def _asked(cases: DataFrame, held: DataFrame) -> DataFrame:
-    """Each case for each block of its flag that began before it."""
-    blocks = F.broadcast(held.groupBy("block", "is_group").agg(F.min("ended").alias("_began")))
-    return cases.join(blocks, "is_group").filter(F.col("_began") < F.col("cutoff")).drop("_began")
+    """Each case for each block of its flag in the ranges that began before it. The broadcast has two rows for each range, however many rows there are."""
+    spans = held.groupBy(F.shiftright("block", RANGE_BITS + 1).alias("_range"), "is_group").agg(F.min("block").alias("_first"), F.max("block").alias("_last"), F.min("ended").alias("_began"))
+    met = cases.join(F.broadcast(spans), "is_group").filter(F.col("_began") < F.col("cutoff"))
+    return met.withColumn("block", F.explode(F.sequence("_first", "_last", F.lit(2).cast("long")))).drop("_range", "_first", "_last", "_began")
 
 
 def _cases(table: pa.Table) -> list[dict]:
