@@ -129,7 +129,7 @@ def _points(policy_first: bool) -> str:
     + CASE WHEN u.chat_id <> c.chat_id THEN 0 WHEN u.shared THEN 2.5 ELSE 0.5 END + CASE WHEN u.relationship = c.relationship THEN 0.5 ELSE 0 END + CASE WHEN c.several AND u.several THEN 1 ELSE 0 END, 6) AS score
   FROM use u JOIN c USING (case_id) LEFT JOIN ov USING (case_id, id)),
 bs AS (SELECT *, max(compatible) OVER (PARTITION BY case_id) AS best FROM sc)
-SELECT case_id, id, tier, topped, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY {order}score DESC, id) - 1 AS INTEGER) AS rank FROM bs) JOIN top USING (case_id) WHERE rank < 12"""
+SELECT case_id, id, tier, topped, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY {order}score DESC, id) - 1 AS INTEGER) AS rank FROM bs) JOIN top USING (case_id) WHERE rank < 12"""
 
 
 @query(f"WITH {_points(False)}")
@@ -145,7 +145,7 @@ def recall_order(spark, d):
 
 
 def _recalled(spark, d, policy):
-    return C.recall(_recall_cases(spark, d), _recall_pool(spark, d), 12, policy).select("case_id", "id", "tier", "topped", F.round("score", 4).alias("score"), "rank")
+    return C.recall(_recall_cases(spark, d), _recall_pool(spark, d), 12, policy).select("case_id", "id", "tier", "topped", "score", "rank")
 
 
 _SCORE = f"""{_BAG}, sc AS (SELECT case_id, id, round(2.0 * overlap + 1.5 * CAST(doc.lang = 'en' AS INT) + 0.5 * least(1.0, 200.0 / greatest(1, doc.n_chars)), 6) AS score FROM ov JOIN documents doc ON doc.doc_id = ov.id),
