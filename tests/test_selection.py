@@ -159,4 +159,4 @@ def test_record_sink_rewrites_touched_buckets_only(spark, tmp_path):
     merge(spark.createDataFrame([(7, 0, "old"), (99, 1, "new")], schema), 2)
     rows = {r.case_id: r.status for r in current_records(spark, path, spark.createDataFrame([], schema).schema).collect()}
     assert rows == {**{i: "a" for i in range(40)}, 3: "b", 99: "new"}
-    assert len(list(Path(path, "epoch=1").glob("bucket=*"))) == 1
+    assert len(list(Path(path, "data", "epoch=1").glob("bucket=*"))) == 1
