@@ -8,9 +8,10 @@ must also share a prefix token under these before its sets are compared.
 
 Texts that are equal, and texts with equal shingle sets (by 128 bits), are one class throughout, so
 copies cost one row. A token that more than HOT classes have in their prefix would make a quadratic
-number of pairs: its list is parted by the classes' order 2 prefixes, and only the parts within HOT make
-pairs. What is still longer than that are groups of near copies, or pass for such: they form clusters,
-parted once more by the order 3 prefixes, whose sets are compared in blocks of bounded size, those of
+number of pairs: the classes that such lists connect are parted by their order 2 prefixes, with one row for
+a class and token however many long lists it is in, and only the parts within HOT make pairs. What is still
+longer than that are groups of near copies, or pass for such: they form clusters, parted once more by the
+order 3 prefixes, whose sets are compared in blocks of bounded size, those of
 similar sizes only, by a matrix product. A block returns a spanning forest of its links and the number of
 each class' links. No pair is dropped, and no group meets in one task.
 
@@ -166,18 +167,27 @@ def _postings(texts: DataFrame, k: int, percent: int, rarity) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "token long, cls long, n int")
 
 
-def _second_postings(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(token, cls, n) of the hot lists, each parted by the order 2 prefix of its classes: a token stands for one of each order."""
+def _joined(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(cls, root): components of the classes that share a key; a class alone with all its keys has no row."""
+    heads = written(rows.groupBy(*key).agg(F.min("cls").alias("head")), "heads")
+    if heads.count() <= MAX_BROADCAST_HEADS:
+        heads = F.broadcast(heads)
+    found = components(rows.join(heads, key).select("cls", "head").distinct(), "cls", "head")
+    return found.select(F.col("node").alias("cls"), "root")
+
+
+def _second_postings(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, cls, n) for the order 2 prefix of each class (cls, n, root): a token stands for the root and one of order 2."""
 
     def run(batches):
         for batch in batches:
             second = [np.frombuffer(x, np.uint64) for x in batch["second"].to_pylist()]
             own = [len(x) for x in second]
-            first = np.repeat(batch["token"].to_numpy().view(np.uint64), own)
-            token = mix(mix(first) + np.concatenate(second)) if second else np.zeros(0, np.uint64)
+            root = np.repeat(batch["root"].to_numpy().view(np.uint64), own)
+            token = mix(mix(root) + np.concatenate(second)) if second else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(np.repeat(batch[c].to_numpy(), own)) for c in ("cls", "n")]], names=["token", "cls", "n"])
 
-    return hot.join(sets.select("cls", "second"), "cls").select("token", "cls", "n", "second").mapInArrow(run, "token long, cls long, n int")
+    return rooted.join(sets.select("cls", "second"), "cls").select("cls", "n", "root", "second").mapInArrow(run, "token long, cls long, n int")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -336,23 +346,15 @@ def block_links(tokens: list[np.ndarray], percent: int) -> np.ndarray:
 def _clusters(hot: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls, n, root): classes that hot lists of two orders connect, parted by the prefixes of order 3."""
 
-    def joined(rows, key):
-        """(cls, root): components of the classes that share a key."""
-        heads = written(rows.groupBy(*key).agg(F.min("cls").alias("head")), "heads")
-        if heads.count() <= MAX_BROADCAST_HEADS:
-            heads = F.broadcast(heads)
-        found = components(rows.join(heads, key).select("cls", "head"), "cls", "head")
-        return found.select(F.col("node").alias("cls"), "root")
-
     def run(batches):
         for batch in batches:
             third = [np.frombuffer(x, np.uint64) for x in batch["third"].to_pylist()]
             own = [len(x) for x in third]
             yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(batch[c].to_numpy(), own)) for c in ("cls", "root")], pa.array(np.concatenate(third).view(np.int64) if third else np.zeros(0, np.int64))], names=["cls", "root", "token"])
 
-    by_two = joined(hot.select("cls", "token"), ["token"])
+    by_two = _joined(hot.select("cls", "token"), ["token"])
     third = by_two.join(sets.select("cls", "third"), "cls").select("cls", "root", "third").mapInArrow(run, "cls long, root long, token long")
-    return joined(third, ["root", "token"]).join(hot.select("cls", "n").distinct(), "cls")
+    return _joined(third, ["root", "token"]).join(hot.select("cls", "n").distinct(), "cls")
 
 
 def _cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -413,7 +415,8 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     drop_written(spark, texts)
     clusters = None
     if not hot.isEmpty():
-        second = written(_lists(_second_postings(hot, sets), percent), "second_lists")
+        by_one = written(_joined(hot.select("cls", "token"), ["token"]).join(hot.select("cls", "n").distinct(), "cls"), "by_one")
+        second = written(_lists(_second_postings(by_one, sets), percent), "second_lists")
         pairs = pairs.unionByName(ordered(second))
         dense = second.filter("hot").select("token", F.col("a").alias("cls"), "n")
         if not dense.isEmpty():

@@ -140,6 +140,27 @@ def test_jaccard_boilerplate(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in out} == {i: links[cls[frozenset(s)]] for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("copies,length", [(90, 150), (180, 150), (90, 600)])
+def test_jaccard_hot_lists_grow_with_their_classes(spark, monkeypatch, copies, length):
+    """Classes of long lists have a row for each token of a prefix, not for each pair of tokens of two prefixes."""
+    from chatspark.llm import jaccard_join
+
+    counts, write = {}, jaccard_join.written
+
+    def counted(df, label="stage", by=None):
+        out = write(df, label, by)
+        counts[label] = out.filter("hot").count() if label == "second_lists" else 0
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    rng = random.Random(17)
+    base = words(rng, length, 10**6)
+    rows = [(i, " ".join([*base[:i], f"z{i}", *base[i + 1 :]])) for i in range(min(copies, length))]
+    rows += [(1000 + i, " ".join([*base[: i + 3], f"y{i}", *base[i + 4 :]])) for i in range(copies - len(rows))]
+    assert got(jaccard_components(frame(spark, rows), 3, 90), ["doc_id", "n_shingles", "component_id"]) == brute.jaccard(rows, 3, 90)
+    assert 0 < counts["second_lists"] <= copies * jaccard_join.prefix_length(length - 2, 90)
+
+
 def test_near_dedup(docs, rows):
     kept = near_dedup(docs)
     assert kept.columns == docs.columns
