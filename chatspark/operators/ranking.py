@@ -33,9 +33,12 @@ def cat_encode(rows: DataFrame, fit: Column, field: str) -> DataFrame:
 
 
 def linear_score(rows: DataFrame, weights: DataFrame, fields: list[str]) -> DataFrame:
-    """(id, score): sum of the weights of each field's value; unknown values weigh nothing. Weights have field, value, weight."""
-    stacked = rows.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("id", "x.*")
-    return stacked.join(weights, ["field", "value"], "left").groupBy("id").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.0))), 6).alias("score"))
+    """(id, score) of each row, ids may recur: sum of the weights of its fields' values; unknown values weigh nothing. Weights have field, value, weight and fit a task."""
+    known = weights.groupBy("field", "value").agg(F.sum("weight").alias("weight"))
+    for i, f in enumerate(fields):
+        own = known.filter(F.col("field") == f).select(F.col("value").alias(f"_v{i}"), F.col("weight").alias(f"_w{i}"))
+        rows = rows.join(F.broadcast(own), F.col(f).cast("string") == F.col(f"_v{i}"), "left")
+    return rows.select("id", F.round(sum((F.coalesce(f"_w{i}", F.lit(0.0)) for i in range(len(fields))), F.lit(0.0)), 6).alias("score"))
 
 
 def score_fusion(rows: DataFrame, train: Column, a: str, b: str, weight: float = 0.8) -> DataFrame:
