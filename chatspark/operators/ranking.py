@@ -129,10 +129,12 @@ def graded_metrics(rows: DataFrame, k: int) -> DataFrame:
     return per.groupBy("threshold").agg(F.sum("p").alias("positives"), F.round(F.avg("h"), 6).alias("hit_rate"), F.round(F.avg("m"), 6).alias("mean_grade"))
 
 
-def selection_vs_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Model top-1 against the first baseline id of the same targets: wins, losses, ties, exclusions."""
-    top = rows.withColumn("_r", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), "id"))).filter("_r = 1").select("target_id", F.col("z").alias("model"))
-    base = baseline.join(rows.select("target_id", "id", F.col("z").alias("base")), ["target_id", "id"], "left").select("target_id", "base")
+def selection_vs_baseline(rows: DataFrame, baseline: DataFrame, ties: tuple[str, ...] = ("z",)) -> DataFrame:
+    """Model top-1 against the baseline id (one for a target) of the same targets: wins, losses, ties, exclusions. Rows that share an id go by `ties`, the first counts."""
+    after = [F.asc_nulls_last(c) for c in ("id", *ties)]
+    top = rows.withColumn("_r", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), *after))).filter("_r = 1").select("target_id", F.col("z").alias("model"))
+    met = baseline.select("target_id", F.col("id").alias("_id")).join(rows, "target_id").filter(F.col("id").eqNullSafe(F.col("_id")))
+    base = met.groupBy("target_id").agg(F.min_by("z", F.struct(*[x for c in ties for x in (F.col(c).isNull(), F.col(c))])).alias("base"))
     both = top.join(base, "target_id", "left")
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     m, b = F.col("model"), F.col("base")

@@ -21,6 +21,7 @@ def observations(spark, d):
     return one.select(
         F.col("l_orderkey").alias("target_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id"), F.col("l_quantity").cast("int").alias("score"), z.alias("z"), (F.col("l_suppkey") % 4).alias("grade"),
         F.when(F.col("l_orderkey") % 5 == 0, "validation").otherwise("fit").alias("split"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_partkey") % 50).alias("part"),
+        F.col("l_linenumber").alias("line"),
     )
 
 
@@ -113,7 +114,7 @@ SELECT count(*) AS targets, count(*) FILTER (base IS NULL OR model IS NULL) AS e
 def selection_vs_baseline(spark, d):
     o = observations(spark, d)
     base = o.filter("target_id % 11 != 3").groupBy("target_id").agg(F.min("id").alias("id"))
-    return K.selection_vs_baseline(o, base)
+    return K.selection_vs_baseline(o, base, ("line",))
 
 
 @query(f"""WITH {OB}, m AS (SELECT target_id, sum(z) AS model, count(z) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS r FROM ob) WHERE r <= 2 GROUP BY 1), b AS (SELECT target_id, sum(z) AS base, count(z) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY id) AS r FROM ob) WHERE r <= 2 GROUP BY 1)

@@ -4,10 +4,13 @@ import datetime
 
 import duckdb
 import oracle
+import pytest
 
 from chatspark.operators import ranking as K
 from chatspark.plans import QUERIES, SQL
 
+ROWS = "target_id long, id long, line int, score int, z int"
+
 
 def lines(path):
     """Lines of three orders; 1:100003 and 2:3 of an order share an id."""
@@ -29,3 +32,18 @@ def test_linear_score_adds_equal_weights(spark):
     rows = spark.createDataFrame([(1, "x", 2), (1, "x", 3), (None, None, 2)], "id long, a string, b int")
     weights = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 0.5), ("b", "2", 4.0), ("b", "x", 9.0)], "field string, value string, weight double")
     assert sorted((r.id or 0, r.score) for r in K.linear_score(rows, weights, ["a", "b"]).collect()) == [(0, 4.0), (1, 1.5), (1, 5.5)]
+
+
+def test_selection_counts_a_target_once(spark, tmp_path):
+    lines(tmp_path)
+    out = QUERIES["selection_vs_baseline"](spark, str(tmp_path)).first()
+    assert out.targets == 3 and out.excluded + out.wins + out.losses + out.ties == 3
+
+
+@pytest.mark.parametrize("ties,want", [(("line",), (1, 0)), (("z",), (0, 1))])
+def test_selection_settles_ties(spark, ties, want):
+    """The base's id has two rows; `ties` says which counts."""
+    rows = spark.createDataFrame([(1, 5, 2, 3, 0), (1, 5, 1, 3, 1), (1, 9, 3, 8, 1), (2, 4, 1, 2, None), (2, 4, 2, 2, 0)], ROWS)
+    base = spark.createDataFrame([(1, 5)], "target_id long, id long")
+    out = K.selection_vs_baseline(rows, base, ties).first()
+    assert out.targets == 2 and out.excluded == 1 and (out.ties, out.wins) == want
