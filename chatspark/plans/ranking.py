@@ -120,14 +120,14 @@ def selection_vs_baseline(spark, d):
 @query(f"""WITH {OB}, m AS (SELECT target_id, sum(z) AS model, count(z) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS r FROM ob) WHERE r <= 2 GROUP BY 1), b AS (SELECT target_id, sum(z) AS base, count(z) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY id) AS r FROM ob) WHERE r <= 2 GROUP BY 1)
 SELECT count(*) AS targets, count(*) FILTER (model > base) AS wins, count(*) FILTER (model < base) AS losses FROM m JOIN b USING (target_id) WHERE m.n = 2 AND b.n = 2""")
 def topk_vs_baseline(spark, d):
-    """Two choices of the model against the first two ids, where both pairs are labelled."""
+    """Two choices of the model against the first two ids, where both pairs are labelled; lines that share an id go by their number, the order of `ob`."""
     from pyspark.sql.window import Window
 
     def first(order, name):
         r = F.row_number().over(Window.partitionBy("target_id").orderBy(*order))
         return observations(spark, d).withColumn("r", r).filter("r <= 2").groupBy("target_id").agg(F.sum("z").alias(name), F.count("z").alias("n")).filter("n = 2").drop("n")
 
-    both = first([F.desc("score"), F.col("id")], "model").join(first([F.col("id")], "base"), "target_id")
+    both = first([F.desc("score"), F.asc_nulls_last("id"), F.col("line")], "model").join(first([F.asc_nulls_last("id"), F.col("line")], "base"), "target_id")
     return both.agg(F.count(F.lit(1)).alias("targets"), F.sum((F.col("model") > F.col("base")).cast("long")).alias("wins"), F.sum((F.col("model") < F.col("base")).cast("long")).alias("losses"))
 
 

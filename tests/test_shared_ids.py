@@ -47,3 +47,19 @@ def test_selection_settles_ties(spark, ties, want):
     base = spark.createDataFrame([(1, 5)], "target_id long, id long")
     out = K.selection_vs_baseline(rows, base, ties).first()
     assert out.targets == 2 and out.excluded == 1 and (out.ties, out.wins) == want
+
+
+def test_topk_takes_lines_in_order(spark, tmp_path):
+    """Where lines that share an id cross the cut the lower one counts, as in the SQL's relation."""
+    lines(tmp_path)
+    made = f"SELECT * REPLACE (o AS l_orderkey, x[1] AS l_linenumber, x[2] AS l_partkey, x[3] + o AS l_suppkey, x[4] AS l_quantity) FROM (SELECT * FROM '{tmp_path}/lineitem.parquet' LIMIT 1), range(300) t(o), (SELECT unnest([[1, 5, 0, 9], [2, 100003, 1, 4], [3, 3, 2, 8]]) AS x)"
+    (tmp_path / "many").mkdir()
+    duckdb.connect().execute(f"COPY (SELECT * EXCLUDE (o, x) FROM ({made}) ORDER BY l_linenumber DESC) TO '{tmp_path}/many/lineitem.parquet' (FORMAT parquet)")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # rows of a target come from several tasks
+    try:
+        out = QUERIES["topk_vs_baseline"](spark, f"{tmp_path}/many").first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    z = lambda o, line, supp: None if o % 13 == 5 and line == 2 else int((o + supp) % 3 == 0)
+    pairs = [(z(o, 3, 2), z(o, 2, 1)) for o in range(300) if z(o, 2, 1) is not None]
+    assert (out.targets, out.wins, out.losses) == (len(pairs), sum(m > b for m, b in pairs), sum(m < b for m, b in pairs))
