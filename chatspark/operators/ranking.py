@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatspark.operators.splits import running_before
+from chatspark.sources.scratch import written
 
 
 def pref_pairs(rows: DataFrame) -> DataFrame:
@@ -18,6 +19,15 @@ def pref_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select("target_id", "better", "worse", F.round(1 / F.count(F.lit(1)).over(Window.partitionBy("target_id")), 9).alias("weight"))
 
 
+def pair_differences(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(weight, features): better less worse of the pairs of unequal grades inside a target, whose weights sum to one as in pref_pairs(); pairs stay in their target's task."""
+    rows = rows.select("target_id", F.struct("grade", *features).alias("_x")).filter("target_id is not null").groupBy("target_id").agg(F.collect_list("_x").alias("_all"))
+    grades = F.transform("_all", lambda x: x["grade"])
+    pairs = F.aggregate(grades, F.lit(0).cast("long"), lambda n, g: n + F.size(F.filter(grades, lambda h: g > h)))
+    each = rows.withColumn("weight", F.round(1 / F.nullif(pairs, F.lit(0)), 9)).withColumn("_a", F.explode("_all")).withColumn("_b", F.explode("_all")).filter("_a.grade > _b.grade")
+    return each.select("weight", *[(F.col(f"_a.{f}") - F.col(f"_b.{f}")).alias(f) for f in features])
+
+
 def directed_pairs(rows: DataFrame) -> DataFrame:
     """(target_id, win, lose) of complete targets (no null z) that have both."""
     state = rows.groupBy("target_id").agg((F.count("z") == F.count(F.lit(1))).alias("_c"), F.min("z").alias("_lo"), F.max("z").alias("_hi")).filter("_c and _lo < _hi").select("target_id")
@@ -210,10 +220,14 @@ def field_profile(rows: DataFrame, context: str, fields: list[str], least: int =
 
 
 def pairwise_lr(pairs: DataFrame, features: list[str], reg: float = 0.01):
-    """Weighted logistic model of feature differences (better minus worse), both ways round, without intercept; the coefficients by feature."""
+    """Weighted logistic model of feature differences (better minus worse), both ways round, without intercept; the coefficients by feature.
+
+    Equal differences are one row with the sum of their weights, so what the fit keeps grows with distinct ones only.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    pairs = written(pairs.groupBy(*features).agg(F.sum("weight").alias("weight")))
     flip = pairs.select(*[(-F.col(f)).alias(f) for f in features], "weight", F.lit(0.0).alias("label"))
     both = pairs.select(*features, "weight", F.lit(1.0).alias("label")).unionByName(flip)
     ready = VectorAssembler(inputCols=features, outputCol="x").transform(both)
