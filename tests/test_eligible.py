@@ -23,7 +23,7 @@ def test_eligible_history(spark, seed):
     assert len(out) == len(want) > 100 and {(r.case_id, r.example_id) for r in out} == want
 
 
-@pytest.mark.parametrize("make", [lambda pairs: pairs])
+@pytest.mark.parametrize("make", [lambda pairs: pairs, E.history_age], ids=["pairs", "ages"])
 def test_pairs_are_not_shuffled(spark, make):
     """One join alone makes pairs, and no exchange stands above it."""
     _, _, c, p = made(spark, 3)
