@@ -39,3 +39,21 @@ def test_terms_do_not_scan_texts():
     for term in vocabulary[:3000]:
         held.holding(term)
     assert time.process_time() - began < 10
+
+
+def test_words_meet_full_blocks(spark, monkeypatch):
+    """With sixteen cells a query meets one block for its words, not one for each cell."""
+    met, asks = [], M._asks
+
+    def counted(cases, cells, blocks, probes, keywords):
+        out = asks(cases, cells, blocks, probes, keywords)
+        met.extend([out.count()] if keywords else [])
+        return out
+
+    monkeypatch.setattr(M, "_asks", counted)
+    rng = random.Random(5)
+    rows = [(i, 0, i, i, 0, "a", f"word{i % 7}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    cases = [(i, 0, 500, [], [], f"word{i}", [1.0, 0.0, 0.0, 0.0]) for i in range(5)]
+    out = M.search_routes(spark.createDataFrame(cases, "case_id long, account long, cutoff long, excluded array<long>, blocked array<long>, query string, vector array<float>"), spark.createDataFrame(rows, "id long, chat_id long, pos long, ts long, account long, sender string, text string, vector array<float>"), 1, cells=16, recall=0.9)
+    words = [r for r in out.collect() if r.route == "keyword"]
+    assert met == [5] and all(r.id % 7 == r.case_id and r.value == 1 for r in words) and len(words) == 100
